@@ -14,7 +14,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import extract as X
-from ..sources.pages import decode_pages, load_pages, read_table
+from ..sources.pages import decode_pages, load_pages, read_table, spread
 
 QUERIES: dict = {}
 
@@ -25,7 +25,7 @@ def register(fn):
 
 
 def _docs(spark, sf_dir) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 # --- 2.1 scans, sources ------------------------------------------------------
@@ -186,3 +186,267 @@ def declared_charset(spark, sf_dir):
 def page_text(spark, sf_dir):
     p = load_pages(spark, sf_dir)
     return p.select("page_id", H.page_text("html").alias("text"))
+
+
+# --- shared derivations -----------------------------------------------------
+
+from ..functions import markup as M  # noqa: E402
+from ..operators import books as B  # noqa: E402
+from ..operators import language as LG  # noqa: E402
+from ..operators import translate as TR  # noqa: E402
+from ..operators.chains import follow_chain  # noqa: E402
+from ..operators.numbering import number_within  # noqa: E402
+
+
+def _numbered(spark, sf_dir):
+    """Pages with chapter_no per book (F1)."""
+    return B.number_chapters(load_pages(spark, sf_dir))
+
+
+def _chain(spark, sf_dir, num=None):
+    """C6 on the test tables: (book_id, page_no, url)."""
+    num = num if num is not None else _numbered(spark, sf_dir)
+    edges = B.next_page_edges(num)
+    ch = follow_chain(edges)
+    heads = num.select(F.col("url").alias("head"), "book_id")
+    return ch.join(heads, "head").select("book_id", "page_no", F.col("node").alias("url"))
+
+
+def _toc_links(spark, sf_dir):
+    """Contents pages (the chain) with their nav links."""
+    chain = _chain(spark, sf_dir)
+    links = X.nav_links(load_pages(spark, sf_dir)).select("url", "pos", "href", "link_text", "markup")
+    return chain.withColumnRenamed("page_no", "toc_page").join(links, "url")
+
+
+def _link_keys(spark, sf_dir):
+    """Sort key of each nav link: its markup translated (G1)."""
+    p = load_pages(spark, sf_dir)
+    links = X.nav_links(p).join(p.select("page_id", H.html_lang("html").alias("src_lang")), "page_id")
+    tr, _ = TR.translate_texts(links.select("page_id", "pos", "src_lang", F.col("markup").alias("text")),
+                               ["page_id", "pos"])
+    return links.join(tr.withColumnRenamed("translated_text", "sort_key"), ["page_id", "pos"], "left")
+
+
+def _doc_chunks(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return TR.chunk_texts(d.withColumnRenamed("lang", "src_lang"), ["doc_id", "src_lang"])
+
+
+def _memory(spark, sf_dir):
+    """Translation memory derived from the corpus: glossary translations of
+    the distinct chunks not already in English."""
+    todo = TR.distinct_chunks(_doc_chunks(spark, sf_dir).where(F.col("src_lang") != TR.TARGET_LANG))
+    return TR.glossary_translate(todo, TR.glossary_frame(spark), ["src_lang", "chunk_hash"])
+
+
+def _contents(spark, sf_dir):
+    """E2 over non-blank paragraphs: (page_id, content)."""
+    return B.join_paragraphs(X.drop_blank(X.explode_paragraphs(load_pages(spark, sf_dir))))
+
+
+def _book_meta(spark, sf_dir, num=None):
+    num = num if num is not None else _numbered(spark, sf_dir)
+    first_pages = num.where(F.col("chapter_no") == 1).select("page_id", "url", "book_id", "html")
+    meta = X.page_metadata(first_pages)
+    return meta.select("book_id", "title", "author", "description", "cover_url",
+                       F.col("html_lang").alias("language_code"))
+
+
+# --- 2.3 chains -------------------------------------------------------------
+
+@register
+def follow_next_page(spark, sf_dir):
+    return _chain(spark, sf_dir)
+
+
+@register
+def paged_toc(spark, sf_dir):
+    t = _toc_links(spark, sf_dir)
+    n = number_within(t, ["book_id"], ["toc_page", "pos"], "link_no")
+    return n.select("book_id", "link_no", "toc_page", "pos", "href", "link_text")
+
+
+# --- 2.4 joins --------------------------------------------------------------
+
+def _contents_links(spark, sf_dir, num):
+    p = load_pages(spark, sf_dir)
+    nav = (B.absolute(X.nav_links(p))
+           .select("book_id", F.col("page_id").alias("from_page_id"), "pos", F.lit("nav").alias("kind"), "link_url"))
+    edges = B.next_page_edges(num).where(F.col("to_url").isNotNull())
+    nxt = (edges.join(num.select(F.col("url").alias("from_url"), F.col("page_id").alias("from_page_id")), "from_url")
+                .select("book_id", "from_page_id", F.lit(None).cast("long").alias("pos"),
+                        F.lit("next").alias("kind"), F.col("to_url").alias("link_url")))
+    return nav.unionByName(nxt)
+
+
+@register
+def toc_join_pages(spark, sf_dir):
+    num = _numbered(spark, sf_dir)
+    links = _contents_links(spark, sf_dir, num)
+    pages = load_pages(spark, sf_dir).select(F.col("url").alias("link_url"), F.col("page_id").alias("target_page_id"))
+    return links.join(pages, "link_url", "left").select("book_id", "from_page_id", "pos", "kind", "link_url",
+                                                        "target_page_id")
+
+
+@register
+def missing_chapters(spark, sf_dir):
+    num = _numbered(spark, sf_dir)
+    links = _contents_links(spark, sf_dir, num)
+    return B.missing_chapters(links, load_pages(spark, sf_dir), _contents(spark, sf_dir))
+
+
+@register
+def translate_lookup(spark, sf_dir):
+    looked = TR.lookup_translations(_doc_chunks(spark, sf_dir), _memory(spark, sf_dir))
+    return looked.select("doc_id", "chunk_no", "translated")
+
+
+@register
+def glossary_override(spark, sf_dir):
+    return _memory(spark, sf_dir).select("src_lang", "chunk_hash", "translated_text")
+
+
+@register
+def book_chapters(spark, sf_dir):
+    num = _numbered(spark, sf_dir)
+    books = _book_meta(spark, sf_dir, num).select("book_id", F.col("title").alias("book_title"))
+    chapters = num.select("book_id", "chapter_no", H.title_text(H.drop_scripts("html")).alias("chapter_title"))
+    return books.join(chapters, "book_id").select("book_id", "book_title", "chapter_no", "chapter_title")
+
+
+# --- 2.5 aggregations -------------------------------------------------------
+
+@register
+def reassemble_chunks(spark, sf_dir):
+    c = _doc_chunks(spark, sf_dir).withColumn("translated", F.col("chunk"))
+    return TR.reassemble(c, ["doc_id"], "translated", "text")
+
+
+@register
+def join_paragraphs(spark, sf_dir):
+    return _contents(spark, sf_dir)
+
+
+@register
+def conditional_normalize(spark, sf_dir):
+    # fragments = 500-character chunks of each document; the trigger is the
+    # line break these tables carry (the reference's '\r' is absent here)
+    frags = _doc_chunks(spark, sf_dir).select("doc_id", F.col("chunk_no").alias("pos"), F.col("chunk").alias("text"))
+    return B.conditional_normalize(frags, ["doc_id"], trigger="\n")
+
+
+@register
+def assemble_book(spark, sf_dir):
+    num = _numbered(spark, sf_dir)
+    chapters = num.select("book_id", "chapter_no", H.title_text(H.drop_scripts("html")).alias("title"))
+    return B.toc_items(chapters)
+
+
+@register
+def distinct_chunks(spark, sf_dir):
+    return TR.distinct_chunks(_doc_chunks(spark, sf_dir))
+
+
+@register
+def chapters_per_book(spark, sf_dir):
+    return B.chapters_per_book(load_pages(spark, sf_dir))
+
+
+# --- 2.6 windows, 2.7 sorts, 2.8 set operations -----------------------------
+
+@register
+def number_chapters(spark, sf_dir):
+    return _numbered(spark, sf_dir).select("book_id", "page_id", "chapter_no")
+
+
+@register
+def first_occurrence(spark, sf_dir):
+    links = X.nav_links(load_pages(spark, sf_dir)).select("page_id", "pos", "href")
+    return B.first_occurrence(links, "page_id", "href")
+
+
+@register
+def order_chapters(spark, sf_dir):
+    from pyspark.sql import Window
+    k = _link_keys(spark, sf_dir)
+    w = Window.partitionBy("page_id").orderBy("sort_key", "pos")  # one contents page: bounded
+    return k.select("page_id", "pos", "href", F.row_number().over(w).cast("long").alias("order_no"))
+
+
+@register
+def pagewise_order(spark, sf_dir):
+    t = _toc_links(spark, sf_dir)
+    keys = _link_keys(spark, sf_dir).select("url", "pos", "sort_key")
+    t = t.join(keys, ["url", "pos"], "left").withColumn(
+        "page_key", F.when(F.col("toc_page") > 1, F.col("sort_key")))
+    n = number_within(t, ["book_id"], ["toc_page", "page_key", "pos"], "link_no")
+    return n.select("book_id", "toc_page", "pos", "href", "link_no")
+
+
+@register
+def lexical_order(spark, sf_dir):
+    num = _numbered(spark, sf_dir).select("book_id", "chapter_no",
+                                          M.chapter_file_name("chapter_no").alias("file_name"))
+    n = number_within(num, ["book_id"], ["file_name"], "lexical_no")
+    return n.select("book_id", "chapter_no", "file_name", "lexical_no")
+
+
+@register
+def append_links(spark, sf_dir):
+    t = _toc_links(spark, sf_dir).select("book_id", "toc_page", "pos", "href")
+    return t.where(F.col("toc_page") == 1).unionByName(t.where(F.col("toc_page") > 1))
+
+
+# --- 2.9 markup -------------------------------------------------------------
+
+@register
+def chapter_html(spark, sf_dir):
+    num = _numbered(spark, sf_dir)
+    title = num.select("page_id", "book_id", "chapter_no", H.title_text(H.drop_scripts("html")).alias("title"))
+    j = title.join(_contents(spark, sf_dir), "page_id", "left")
+    return j.select("book_id", "chapter_no", M.chapter_html("title", M.wrap_paragraphs("content")).alias("chapter_html"))
+
+
+@register
+def title_page(spark, sf_dir):
+    meta = _book_meta(spark, sf_dir)
+    return meta.select("book_id", M.title_page_html("title", "author").alias("title_page"))
+
+
+# --- 2.10 language and translation ------------------------------------------
+
+def _article_texts(spark, sf_dir):
+    p = load_pages(spark, sf_dir)
+    return p.select("page_id", H.node_text(F.coalesce(H.article(H.drop_scripts("html")), F.lit(""))).alias("text"),
+                    H.html_lang("html").alias("html_lang"))
+
+
+@register
+def detect_language(spark, sf_dir):
+    model = LG.train(_docs(spark, sf_dir))
+    texts = _article_texts(spark, sf_dir)
+    det = LG.detect(texts, model, "page_id")
+    return det.join(texts.select("page_id", "html_lang"), "page_id")
+
+
+@register
+def translate_documents(spark, sf_dir):
+    d = _docs(spark, sf_dir).withColumnRenamed("lang", "src_lang")
+    tr, _ = TR.translate_texts(d, ["doc_id"])
+    return d.select("doc_id").join(tr, "doc_id", "left")
+
+
+@register
+def apply_corrections(spark, sf_dir):
+    mem = _memory(spark, sf_dir)
+    t = F.col("translated_text")
+    first = F.substring(t, 1, 1)
+    fix1 = (mem.where(t.contains("\n"))
+               .select("src_lang", "chunk_hash", T.normalize_text(t).alias("translated_text"),
+                       F.lit(1).alias("priority")))
+    fix2 = (mem.where(first.rlike("^[a-z]$"))
+               .select("src_lang", "chunk_hash",
+                       F.concat(F.upper(first), F.substring(t, 2, 1 << 30)).alias("translated_text"),
+                       F.lit(2).alias("priority")))
+    return TR.apply_corrections(mem, fix1.unionByName(fix2))

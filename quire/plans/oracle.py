@@ -179,3 +179,236 @@ def _():
 @sql("page_text")
 def _():
     return with_(S.PAGES) + f"SELECT page_id, {S.node_text(S.drop_scripts('html'))} AS text FROM P"
+
+
+# --- batch 2: chains, joins, aggregations, ordering, translation ------------
+
+from ..functions import markup as M  # noqa: E402
+
+_TITLE_N = S.title_text(S.drop_scripts("N.html"))
+
+
+def _base(*more):
+    return [S.PAGES, S.CLEAN, S.NAV, S.NUM, S.EDGES, S.WALK, S.CHAIN, S.TOC, *more]
+
+
+_NUM_TOC = "NT AS (SELECT *, CAST(row_number() OVER (PARTITION BY book_id ORDER BY toc_page, pos) AS BIGINT) AS link_no FROM TL)"
+
+
+@sql("follow_next_page")
+def _():
+    return S.with_rec(S.PAGES, S.EDGES, S.WALK, S.CHAIN) + "SELECT book_id, page_no, url FROM CH"
+
+
+@sql("paged_toc")
+def _():
+    return S.with_rec(*_base(_NUM_TOC)) + "SELECT book_id, link_no, toc_page, pos, href, link_text FROM NT"
+
+
+_ABS = (f"CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href "
+        f"ELSE array_to_string(string_split(url, '/')[1:3], '/') || href END")
+_CLINKS = ("CL AS (SELECT book_id, page_id AS from_page_id, pos, 'nav' AS kind, " + _ABS + " AS link_url FROM NL "
+           "UNION ALL SELECT E.book_id, P.page_id, CAST(NULL AS BIGINT), 'next', E.to_url FROM E JOIN P "
+           "ON E.from_url = P.url WHERE E.to_url IS NOT NULL)")
+_CONTENT = "CT AS (SELECT page_id, string_agg(text, '</p><p>' ORDER BY pos) AS content FROM PB GROUP BY page_id)"
+
+
+@sql("toc_join_pages")
+def _():
+    return with_(S.PAGES, S.CLEAN, S.NAV, S.EDGES, _CLINKS) + (
+        "SELECT CL.book_id, CL.from_page_id, CL.pos, CL.kind, CL.link_url, P.page_id AS target_page_id "
+        "FROM CL LEFT JOIN P ON CL.link_url = P.url")
+
+
+@sql("missing_chapters")
+def _():
+    return with_(S.PAGES, S.CLEAN, S.NAV, S.EDGES, _CLINKS, S.PARAS, S.NONBLANK, _CONTENT) + (
+        "SELECT book_id, link_url AS url, 'no page' AS reason FROM CL WHERE link_url NOT IN (SELECT url FROM P) "
+        "UNION ALL SELECT book_id, url, 'no content' FROM P WHERE page_id NOT IN "
+        "(SELECT page_id FROM CT WHERE content IS NOT NULL AND content <> '')")
+
+
+_DOCC = S.chunks("(SELECT doc_id, lang AS src_lang, text FROM documents)", "doc_id", "DC")
+_MEM = [_DOCC, S.distinct_chunks("DC", "DD"), *S.glossary_ctes(), S.glossary_translate("DD", "MEM")]
+
+
+@sql("translate_lookup")
+def _():
+    return with_(*_MEM, S.lookup("DC", "MEM", "LK")) + "SELECT doc_id, chunk_no, translated FROM LK"
+
+
+@sql("glossary_override")
+def _():
+    return with_(*_MEM) + "SELECT src_lang, chunk_hash, translated_text FROM MEM"
+
+
+_META_TITLE = S.title_text(S.drop_scripts("html"))
+
+
+@sql("book_chapters")
+def _():
+    return with_(S.PAGES, S.NUM) + (
+        f"SELECT N.book_id, B.book_title, N.chapter_no, {_TITLE_N} AS chapter_title FROM N JOIN "
+        f"(SELECT book_id, {_META_TITLE} AS book_title FROM N WHERE chapter_no = 1) B ON N.book_id = B.book_id")
+
+
+@sql("reassemble_chunks")
+def _():
+    return with_(_DOCC) + (
+        "SELECT doc_id, nullif(string_agg(chunk, ' ' ORDER BY chunk_no), '') AS text FROM DC "
+        "WHERE chunk IS NOT NULL AND chunk <> '' GROUP BY doc_id")
+
+
+@sql("join_paragraphs")
+def _():
+    return with_(S.PAGES, S.CLEAN, S.PARAS, S.NONBLANK, _CONTENT) + "SELECT page_id, content FROM CT"
+
+
+@sql("conditional_normalize")
+def _():
+    joined = "string_agg(piece, '</p><p>' ORDER BY pos, sub)"
+    return with_(_DOCC) + (
+        "SELECT f.doc_id, f.normalized, CASE WHEN f.normalized THEN "
+        + S.normalize_text("coalesce(j.joined, '')", True) + " ELSE coalesce(j.joined, '') END AS content "
+        "FROM (SELECT doc_id, bool_or(contains(chunk, chr(10))) AS normalized FROM DC GROUP BY doc_id) f "
+        f"LEFT JOIN (SELECT doc_id, {joined} AS joined FROM (SELECT doc_id, chunk_no AS pos, "
+        "generate_subscripts(l, 1) AS sub, unnest(l) AS piece FROM (SELECT doc_id, chunk_no, "
+        "string_split(chunk, chr(10)) AS l FROM DC)) WHERE piece <> '' AND piece <> chr(10) GROUP BY doc_id) j "
+        "ON f.doc_id = j.doc_id")
+
+
+@sql("assemble_book")
+def _():
+    return with_(S.PAGES, S.NUM) + (
+        "SELECT DISTINCT book_id, CAST(0 AS BIGINT) AS item_no, 'nav' AS file_name, CAST(NULL AS VARCHAR) AS title, "
+        "false AS in_spine FROM N UNION ALL SELECT DISTINCT book_id, 1, 'titlepage.html', 'Title page', true FROM N "
+        f"UNION ALL SELECT book_id, chapter_no + 1, 'chapter' || chapter_no || '.html', {_TITLE_N}, true FROM N")
+
+
+@sql("distinct_chunks")
+def _():
+    return with_(_DOCC, S.distinct_chunks("DC", "DD", skip_target=False)) + (
+        "SELECT src_lang, chunk_hash, source_text, n_uses FROM DD")
+
+
+@sql("chapters_per_book")
+def _():
+    return with_(S.PAGES) + "SELECT book_id, count(*) AS n_chapters FROM P GROUP BY book_id"
+
+
+@sql("number_chapters")
+def _():
+    return with_(S.PAGES, S.NUM) + "SELECT book_id, page_id, chapter_no FROM N"
+
+
+@sql("first_occurrence")
+def _():
+    return with_(S.PAGES, S.CLEAN, S.NAV) + (
+        "SELECT page_id, pos, href, min(pos) OVER (PARTITION BY page_id, href) AS first_pos FROM NL")
+
+
+_LK_SRC = ("LS0 AS (SELECT NL.page_id, NL.pos, " + S.first_or_null("P.html", H.HTML_LANG)
+           + " AS src_lang, NL.markup AS text FROM NL JOIN P ON NL.page_id = P.page_id)")
+_LKEYS = [_LK_SRC, *S.glossary_ctes(), *S.translate_ctes("LS0", "page_id, pos", "K"),
+          "LK AS (SELECT LS0.page_id, LS0.pos, KR.translated_text AS sort_key FROM LS0 LEFT JOIN KR "
+          "ON LS0.page_id = KR.page_id AND LS0.pos = KR.pos)"]
+
+
+@sql("order_chapters")
+def _():
+    return with_(S.PAGES, S.CLEAN, S.NAV, *_LKEYS) + (
+        "SELECT NL.page_id, NL.pos, NL.href, CAST(row_number() OVER (PARTITION BY NL.page_id "
+        "ORDER BY LK.sort_key, NL.pos) AS BIGINT) AS order_no FROM NL JOIN LK ON NL.page_id = LK.page_id AND NL.pos = LK.pos")
+
+
+@sql("pagewise_order")
+def _():
+    return S.with_rec(*_base(*_LKEYS)) + (
+        "SELECT book_id, toc_page, pos, href, CAST(row_number() OVER (PARTITION BY book_id ORDER BY toc_page, "
+        "CASE WHEN toc_page > 1 THEN sort_key END NULLS FIRST, pos) AS BIGINT) AS link_no FROM "
+        "(SELECT TL.*, LK.sort_key FROM TL JOIN NL ON TL.url = NL.url AND TL.pos = NL.pos "
+        "LEFT JOIN LK ON LK.page_id = NL.page_id AND LK.pos = NL.pos)")
+
+
+@sql("lexical_order")
+def _():
+    return with_(S.PAGES, S.NUM) + (
+        "SELECT book_id, chapter_no, file_name, CAST(row_number() OVER (PARTITION BY book_id ORDER BY file_name) "
+        "AS BIGINT) AS lexical_no FROM (SELECT book_id, chapter_no, 'chapter' || chapter_no || '.html' AS file_name FROM N)")
+
+
+@sql("append_links")
+def _():
+    return S.with_rec(*_base()) + (
+        "SELECT book_id, toc_page, pos, href FROM TL WHERE toc_page = 1 "
+        "UNION ALL SELECT book_id, toc_page, pos, href FROM TL WHERE toc_page > 1")
+
+
+def _chapter_html_sql(title: str, content: str) -> str:
+    t = S.escape_html(f"coalesce({title}, '')")
+    body = f"(CASE WHEN coalesce({content}, '') = '' THEN '' ELSE '<p>' || {content} || '</p>' END)"
+    return f"'<h1>' || {t} || '</h1>' || chr(10) || '<div id=\"' || {t} || '\">' || {body} || '</div>' || chr(10)"
+
+
+@sql("chapter_html")
+def _():
+    return with_(S.PAGES, S.CLEAN, S.PARAS, S.NONBLANK, _CONTENT, S.NUM) + (
+        f"SELECT N.book_id, N.chapter_no, {_chapter_html_sql(_TITLE_N, 'CT.content')} AS chapter_html "
+        "FROM N LEFT JOIN CT ON N.page_id = CT.page_id")
+
+
+def _title_page_sql(title: str, author: str) -> str:
+    t = S.escape_html(f"coalesce({title}, '')")
+    a = S.escape_html(f"coalesce({author}, {q(M.UNKNOWN_AUTHOR)})")
+    return ("'<html><head><title>' || " + t + " || '</title><meta charset=\"utf-8\"/></head><body>' || "
+            "'<div class=\"title\">' || " + t + " || '</div>' || " + q("<div>" + M.NOTICE + "</div>") + " || "
+            "'<div>Title: ' || " + t + " || '</div>' || '<div>Author: ' || " + a + " || '</div>' || "
+            "'<div class=\"cover\"><h1 id=\"titlepage\">' || " + t + " || '</h1><h2>by ' || " + a
+            + " || '</h2></div></body></html>'")
+
+
+_BOOK_AUTHOR = ("(CASE WHEN contains(" + _META_TITLE + ", 'Author:') THEN "
+                + S.unicode_strip("string_split(" + _META_TITLE + ", 'Author:')[2]") + " ELSE "
+                "(CASE WHEN contains(ft, " + q(T.LABEL_SEPARATOR) + ") THEN "
+                + S.unicode_strip("string_split(ft, " + q(T.LABEL_SEPARATOR) + ")[-1]") + " END) END)")
+_BOOK_TITLE = ("(CASE WHEN contains(" + _META_TITLE + ", 'Author:') THEN "
+               + S.unicode_strip("string_split(" + _META_TITLE + ", 'Author:')[1]") + " ELSE " + _META_TITLE + " END)")
+_BOOKS = ("BK AS (SELECT book_id, " + _BOOK_TITLE + " AS title, " + _BOOK_AUTHOR + " AS author FROM "
+          "(SELECT *, " + S.unicode_strip(S.node_text(S.first_or_null(S.drop_scripts("html"), H.FOOTER)))
+          + " AS ft FROM N WHERE chapter_no = 1))")
+
+
+@sql("title_page")
+def _():
+    return with_(S.PAGES, S.NUM, _BOOKS) + f"SELECT book_id, {_title_page_sql('title', 'author')} AS title_page FROM BK"
+
+
+_ART = ("ATX AS (SELECT page_id, " + S.node_text("coalesce(" + S.first_or_null(S.drop_scripts("html"), H.ARTICLE) + ", '')")
+        + " AS text, " + S.first_or_null("html", H.HTML_LANG) + " AS html_lang FROM P)")
+
+
+@sql("detect_language")
+def _():
+    return with_(S.PAGES, _ART, *S.trigram_ctes("ATX", "page_id")) + (
+        "SELECT ATX.page_id, BEST.lang, ATX.html_lang FROM ATX JOIN BEST ON ATX.page_id = BEST.page_id")
+
+
+@sql("translate_documents")
+def _():
+    return with_("DS AS (SELECT doc_id, lang AS src_lang, text FROM documents)", *S.glossary_ctes(),
+                 *S.translate_ctes("DS", "doc_id", "J")) + (
+        "SELECT DS.doc_id, JR.translated_text FROM DS LEFT JOIN JR ON DS.doc_id = JR.doc_id")
+
+
+@sql("apply_corrections")
+def _():
+    first = "substring(translated_text, 1, 1)"
+    fix = ("FX AS (SELECT src_lang, chunk_hash, " + S.normalize_text("translated_text") + " AS fixed, 1 AS priority "
+           "FROM MEM WHERE contains(translated_text, chr(10)) UNION ALL SELECT src_lang, chunk_hash, "
+           f"upper({first}) || substring(translated_text, 2), 2 FROM MEM WHERE regexp_matches({first}, '^[a-z]$'))")
+    best = ("FB AS (SELECT src_lang, chunk_hash, fixed FROM (SELECT *, row_number() OVER (PARTITION BY src_lang, "
+            "chunk_hash ORDER BY priority DESC, fixed DESC) AS rn FROM FX) WHERE rn = 1)")
+    return with_(*_MEM, fix, best) + (
+        "SELECT MEM.src_lang, MEM.chunk_hash, coalesce(FB.fixed, MEM.translated_text) AS translated_text, "
+        "FB.fixed IS NOT NULL AS corrected FROM MEM LEFT JOIN FB ON MEM.src_lang = FB.src_lang "
+        "AND MEM.chunk_hash = FB.chunk_hash")

@@ -105,3 +105,96 @@ NAV = ("CN AS (SELECT page_id, url, book_id, coalesce(" + first_or_null("clean",
 
 def with_(*ctes: str) -> str:
     return "WITH " + ", ".join(ctes) + " "
+
+
+def with_rec(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ", ".join(ctes) + " "
+
+
+NUM = ("N AS (SELECT *, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page_id) AS BIGINT) AS chapter_no "
+       "FROM P)")
+EDGES = ("E AS (SELECT book_id, url AS from_url, lead(url) OVER (PARTITION BY book_id ORDER BY page_id) AS to_url "
+         "FROM P)")
+WALK = ("W(head, url, page_no, visited) AS ("
+        "SELECT from_url, from_url, CAST(1 AS BIGINT), [from_url] FROM E "
+        "WHERE from_url NOT IN (SELECT to_url FROM E WHERE to_url IS NOT NULL) "
+        "UNION ALL SELECT W.head, E.to_url, W.page_no + 1, list_append(W.visited, E.to_url) "
+        "FROM W JOIN E ON W.url = E.from_url "
+        "WHERE E.to_url IS NOT NULL AND NOT list_contains(W.visited, E.to_url))")
+CHAIN = "CH AS (SELECT P.book_id, W.page_no, W.url FROM W JOIN P ON W.head = P.url)"
+TOC = ("TL AS (SELECT CH.book_id, CH.page_no AS toc_page, NL.url, NL.pos, NL.href, NL.link_text, NL.markup "
+       "FROM CH JOIN NL ON CH.url = NL.url)")
+
+
+def glossary_ctes() -> list[str]:
+    from ..operators.translate import GLOSSARY_ROWS
+    vals = ", ".join(f"({q(a)}, {q(b)}, {q(c)}, {d})" for a, b, c, d in GLOSSARY_ROWS)
+    return [f"GL0(lang, src, dst, priority) AS (VALUES {vals})",
+            "GL AS (SELECT lang, src, dst FROM (SELECT *, row_number() OVER "
+            "(PARTITION BY lang, src ORDER BY priority DESC, dst DESC) AS rn FROM GL0) WHERE rn = 1)"]
+
+
+def glossary_translate(src: str, name: str) -> str:
+    """(src_lang, chunk_hash, source_text) -> (src_lang, chunk_hash, translated_text)."""
+    return (f"{name} AS (SELECT t.src_lang, t.chunk_hash, string_agg(coalesce(GL.dst, t.tok), ' ' ORDER BY t.tpos) "
+            f"AS translated_text FROM (SELECT src_lang, chunk_hash, generate_subscripts(l, 1) AS tpos, unnest(l) AS tok "
+            f"FROM (SELECT src_lang, chunk_hash, string_split(source_text, ' ') AS l FROM {src})) t "
+            f"LEFT JOIN GL ON GL.lang = t.src_lang AND GL.src = lower(t.tok) GROUP BY t.src_lang, t.chunk_hash)")
+
+
+def chunks(src: str, keys: str, name: str, text: str = "text") -> str:
+    n = 500
+    return (f"{name} AS (SELECT {keys}, src_lang, chunk_no, substring({text}, CAST(chunk_no * {n} + 1 AS INTEGER), {n}) "
+            f"AS chunk FROM (SELECT *, unnest(range(0, CAST((length({text}) + {n - 1}) // {n} AS BIGINT))) AS chunk_no "
+            f"FROM {src} WHERE length({text}) > 0))")
+
+
+def distinct_chunks(src: str, name: str, skip_target: bool = True) -> str:
+    where = "WHERE src_lang <> 'en' " if skip_target else ""
+    return (f"{name} AS (SELECT src_lang, sha256(chunk) AS chunk_hash, min(chunk) AS source_text, "
+            f"count(*) AS n_uses FROM {src} {where}GROUP BY src_lang, sha256(chunk))")
+
+
+def lookup(chunks_name: str, memory: str, name: str) -> str:
+    return (f"{name} AS (SELECT c.*, CASE WHEN m.translated_text IS NULL AND length(c.chunk) > 0 THEN c.chunk "
+            f"ELSE m.translated_text END AS translated FROM {chunks_name} c LEFT JOIN {memory} m "
+            f"ON c.src_lang = m.src_lang AND sha256(c.chunk) = m.chunk_hash)")
+
+
+def reassemble(src: str, keys: str, name: str, out: str = "translated_text") -> str:
+    return (f"{name} AS (SELECT {keys}, nullif(string_agg(translated, ' ' ORDER BY chunk_no), '') AS {out} "
+            f"FROM {src} WHERE translated IS NOT NULL AND translated <> '' GROUP BY {keys})")
+
+
+def translate_ctes(src: str, keys: str, prefix: str) -> list[str]:
+    """Full J2 chain on a CTE ``src`` (keys..., src_lang, text) with no memory;
+    final CTE ``{prefix}R`` = (keys..., translated_text)."""
+    return [chunks(src, keys, f"{prefix}C"),
+            distinct_chunks(f"{prefix}C", f"{prefix}D"),
+            glossary_translate(f"{prefix}D", f"{prefix}T"),
+            lookup(f"{prefix}C", f"{prefix}T", f"{prefix}L"),
+            reassemble(f"{prefix}L", keys, f"{prefix}R")]
+
+
+def trigram_ctes(text_src: str, key: str) -> list[str]:
+    """NB model from documents + scoring of ``text_src`` (key, text) -> BEST(key, lang)."""
+    tri = ("SELECT {k}, substring(lt, CAST(i AS INTEGER), 3) AS gram FROM (SELECT {k}, lt, "
+           "unnest(range(1, length(lt) - 1)) AS i FROM (SELECT {k}, lower({t}) AS lt FROM {s}) WHERE length(lt) >= 3)")
+    return [
+        "TG AS (SELECT lang, gram, count(*) AS c FROM (" + tri.format(k="lang", t="text",
+                                                                        s="documents WHERE lang IS NOT NULL") + ") GROUP BY lang, gram)",
+        "VV AS (SELECT count(DISTINCT gram) AS v FROM TG)",
+        "LS AS (SELECT lang, sum(c) AS t FROM TG GROUP BY lang)",
+        "ND AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang)",
+        "PR AS (SELECT LS.lang, ln(ND.n / (SELECT sum(n) FROM ND)) AS prior, ln(LS.t + VV.v) AS denom "
+        "FROM LS JOIN ND ON LS.lang = ND.lang CROSS JOIN VV)",
+        f"DG AS (SELECT {key}, gram, count(*) AS n FROM (" + tri.format(k=key, t="text", s=text_src) + f") GROUP BY {key}, gram)",
+        f"MM AS (SELECT {key}, sum(n) AS m FROM DG WHERE gram IN (SELECT gram FROM TG) GROUP BY {key})",
+        f"SS AS (SELECT DG.{key}, TG.lang, sum(DG.n * ln(TG.c + 1)) AS s FROM DG JOIN TG ON DG.gram = TG.gram "
+        f"GROUP BY DG.{key}, TG.lang)",
+        f"SC AS (SELECT X.{key}, PR.lang, round(PR.prior - PR.denom * coalesce(MM.m, 0) + coalesce(SS.s, 0), 6) AS score "
+        f"FROM {text_src} X CROSS JOIN PR LEFT JOIN MM ON MM.{key} = X.{key} "
+        f"LEFT JOIN SS ON SS.{key} = X.{key} AND SS.lang = PR.lang)",
+        f"BEST AS (SELECT {key}, lang FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, lang) "
+        f"AS rn FROM SC) WHERE rn = 1)",
+    ]
