@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_root
+from ..session import materialize, shared_root
 
 
 def follow_chain(edges: DataFrame, starts: DataFrame | None = None,
@@ -54,12 +54,12 @@ def follow_chain(edges: DataFrame, starts: DataFrame | None = None,
     # done <=> ptr is a head
     state = (state.join(heads.withColumn("ph", F.lit(True)).withColumnRenamed("node", "ptr"), "ptr", "left")
                   .select("node", "ptr", "dist", F.coalesce("ph", F.lit(False)).alias("done")))
-    state = state.checkpoint(eager=True)
+    state = materialize(state, "chain-state")
     n = state.count()
     max_rounds = max(1, math.ceil(math.log2(max(n, 2)))) + 1
     for _ in range(max_rounds):
         active = state.where(~F.col("done"))
-        if active.isEmpty():
+        if active.count() == 0:
             break
         # active pointers are distinct (list ranking): the join key has no hot value
         b = state.select(F.col("node").alias("b_node"), F.col("ptr").alias("b_ptr"),
@@ -68,7 +68,7 @@ def follow_chain(edges: DataFrame, starts: DataFrame | None = None,
                       .select("node", F.col("b_ptr").alias("ptr"),
                               (F.col("dist") + F.col("b_dist")).alias("dist"),
                               F.col("b_done").alias("done")))
-        state = state.where("done").unionByName(step).checkpoint(eager=True)
+        state = materialize(state.where("done").unionByName(step), "chain-state")
     # rows still active sit on a cycle no start reaches
     done = state.where("done")
     out = done.join(starts.select(F.col("node").alias("ptr")), "ptr", "left_semi")

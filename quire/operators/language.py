@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_root
+from ..session import materialize, shared_root
 
 GRAM = 3
 # Largest vocabulary (rows) broadcast to the scoring join.
@@ -28,12 +28,16 @@ BROADCAST_MAX_GRAMS = 2_000_000
 
 
 def trigrams(df: DataFrame, key_cols, text_col: str = "text") -> DataFrame:
+    """One row per trigram occurrence.  The grams are cut inside the array
+    (``transform``) so the exploded rows carry only keys, never the text."""
     keys = list(key_cols)
-    t = F.lower(F.col(text_col))
-    n = F.length(t)
-    return (df.select(*keys, t.alias("_t"),
-                      F.explode(F.when(n >= GRAM, F.sequence(F.lit(1), n - (GRAM - 1)))).alias("_i"))
-              .select(*keys, F.substring("_t", F.col("_i"), GRAM).alias("gram")))
+    # code points as an array: O(1) access (substring at an offset rescans UTF-8)
+    chars = df.select(*keys, F.split(F.lower(F.col(text_col)), "").alias("_c"))
+    n = F.size("_c")
+    grams = F.when(n >= GRAM, F.transform(
+        F.sequence(F.lit(0), n - GRAM),
+        lambda i: F.concat(*[F.get(F.col("_c"), i + k) for k in range(GRAM)])))
+    return chars.select(*keys, F.explode(grams).alias("gram"))
 
 
 class TrigramModel:
@@ -45,7 +49,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Tr
     shared_root(docs.sparkSession)
     labeled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), text_col)
     counts = trigrams(labeled, ["lang"], text_col).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c"))
-    counts = counts.checkpoint(eager=True)
+    counts = materialize(counts, "trigram-counts")
     # per-language statistics: one row per language (a handful), fine on the driver
     stats = {r["lang"]: (r["t"],) for r in counts.groupBy("lang").agg(F.sum("c").alias("t")).collect()}
     ndocs = {r["lang"]: r["n"] for r in labeled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}

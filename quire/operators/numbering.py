@@ -4,7 +4,7 @@ A window puts every row of a group into one task; a book (or host) can
 hold a third of all pages.  Instead we range-sort on (g, o) - the range
 exchange splits a hot group across many tasks - take each row's global
 rank from ``monotonically_increasing_id`` plus per-partition offsets, and
-subtract the group's first rank.  The sorted ids are checkpointed to the
+subtract the group's first rank.  The sorted ids are written to the
 shared folder so that a recomputed task cannot renumber rows.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_root
+from ..session import materialize, shared_root
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -27,7 +27,7 @@ def number_within(df: DataFrame, group_cols, order_cols, name: str = "row_no",
              .sortWithinPartitions(*group_cols, *order_cols)
              .withColumn("_mid", F.monotonically_increasing_id()))
     if checkpoint:
-        ids = ids.checkpoint(eager=True)
+        ids = materialize(ids, "numbered")
     ids = (ids.withColumn("_pid", F.shiftright("_mid", 33))
               .withColumn("_off", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))))
     # one row per partition: bounded by the partition count, safe to broadcast

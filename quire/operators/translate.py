@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import CHUNK_SIZE, chunk_at, chunk_hash, chunk_starts
+from ..functions.text import CHUNK_SIZE, chunk_hash
 
 # --- fixed values -----------------------------------------------------------
 TARGET_LANG = "en"
@@ -81,9 +81,10 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
 def chunk_texts(df: DataFrame, key_cols, text_col: str = "text", size: int = CHUNK_SIZE) -> DataFrame:
     """(keys..., chunk_no, chunk); empty or NULL text gives no chunk."""
     keys = list(key_cols)
-    return (df.select(*keys, text_col, F.explode(chunk_starts(text_col, size)).alias("chunk_no"))
-              .select(*keys, F.col("chunk_no").cast("long").alias("chunk_no"),
-                      chunk_at(text_col, "chunk_no", size).alias("chunk")))
+    # consecutive greedy matches of 1..size code points: one linear regex pass
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return (df.select(*keys, F.posexplode(pieces).alias("chunk_no", "chunk"))
+              .select(*keys, F.col("chunk_no").cast("long").alias("chunk_no"), "chunk"))
 
 
 def distinct_chunks(chunks: DataFrame, lang_col: str = "src_lang") -> DataFrame:

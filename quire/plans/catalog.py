@@ -125,9 +125,7 @@ def split_paragraphs(spark, sf_dir):
 @register
 def chunk_text(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    return (d.select("doc_id", "text", F.explode(T.chunk_starts("text")).alias("chunk_no"))
-             .select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"),
-                     T.chunk_at("text", "chunk_no").alias("chunk")))
+    return TR.chunk_texts(d, ["doc_id"]).select("doc_id", "chunk_no", "chunk")
 
 
 # --- 2.9 scalars ------------------------------------------------------------

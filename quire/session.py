@@ -62,3 +62,12 @@ def shared_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique table location under the shared root."""
     return os.path.join(shared_root(spark), "quire", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str):
+    """Cut lineage: write ``df`` once as parquet under the shared root and
+    read it back (one job; survives lost executors, unlike localCheckpoint,
+    and unlike ``checkpoint()`` does not compute the plan twice)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
