@@ -448,3 +448,69 @@ def apply_corrections(spark, sf_dir):
                        F.concat(F.upper(first), F.substring(t, 2, 1 << 30)).alias("translated_text"),
                        F.lit(2).alias("priority")))
     return TR.apply_corrections(mem, fix1.unionByName(fix2))
+
+
+# --- sources / sinks / job / nodes / stream ---------------------------------
+
+from ..operators import nodes as ND  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+from ..sources.pages import read_landing, write_landing  # noqa: E402
+from ..streaming.ingest import ingest_pages  # noqa: E402
+from .build import build_books as _build_books  # noqa: E402
+
+
+@register
+def landing_roundtrip(spark, sf_dir):
+    num = _numbered(spark, sf_dir).select("book_id", (F.col("chapter_no") - 1).alias("idx"), "url", "html")
+    path = scratch_path(spark, "landing")
+    write_landing(num, path)
+    back = read_landing(spark, path)
+    return back.select("book_id", "idx", "url", M.page_file_name("idx").alias("file_name"),
+                       F.length("html").cast("long").alias("n_chars"))
+
+
+@register
+def build_books(spark, sf_dir):
+    return _build_books(load_pages(spark, sf_dir), _docs(spark, sf_dir))
+
+
+@register
+def chapter_files(spark, sf_dir):
+    path = scratch_path(spark, "chapters")
+    SK.write_chapter_files(_build_books(load_pages(spark, sf_dir), _docs(spark, sf_dir)), path)
+    return SK.read_chapter_files(spark, path).select("book_id", "file_name", "chapter_html")
+
+
+@register
+def book_export(spark, sf_dir):
+    num = _numbered(spark, sf_dir)
+    books = _book_meta(spark, sf_dir, num).join(B.chapters_per_book(num), "book_id")
+    path = scratch_path(spark, "books")
+    SK.export_books(books, path)
+    return SK.read_books(spark, path)
+
+
+@register
+def html_nodes(spark, sf_dir):
+    n = ND.html_nodes(load_pages(spark, sf_dir))
+    return n.select("page_id", F.col("pos").cast("long").alias("pos"), "tag", "path", "first_text")
+
+
+@register
+def tag_counts(spark, sf_dir):
+    n = ND.html_nodes(load_pages(spark, sf_dir))
+    return n.groupBy("tag").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+@register
+def apply_rules(spark, sf_dir):
+    n = ND.html_nodes(load_pages(spark, sf_dir))
+    return ND.apply_rules(n, ND.rules_frame(spark)).select("page_id", "field", "n_nodes", "first_text")
+
+
+@register
+def stream_ingest(spark, sf_dir):
+    landed = scratch_path(spark, "ingest-landed")
+    ckpt = scratch_path(spark, "ingest-checkpoint")
+    return ingest_pages(spark, sf_dir, landed, ckpt)

@@ -412,3 +412,102 @@ def _():
         "SELECT MEM.src_lang, MEM.chunk_hash, coalesce(FB.fixed, MEM.translated_text) AS translated_text, "
         "FB.fixed IS NOT NULL AS corrected FROM MEM LEFT JOIN FB ON MEM.src_lang = FB.src_lang "
         "AND MEM.chunk_hash = FB.chunk_hash")
+
+
+# --- batch 3: sources, sinks, job, nodes, stream ----------------------------
+
+@sql("landing_roundtrip")
+def _():
+    return with_(S.PAGES, S.NUM) + (
+        "SELECT book_id, chapter_no - 1 AS idx, url, 'page_' || (chapter_no - 1) || '.txt' AS file_name, "
+        "CAST(length(html) AS BIGINT) AS n_chars FROM N")
+
+
+def _build_sql(select: str) -> str:
+    cr = "chr(13)"
+    parts = [
+        S.PAGES, S.CLEAN, S.PARAS, S.NONBLANK, S.NUM,
+        f"TI AS (SELECT page_id, {S.title_text(S.drop_scripts('html'))} AS title FROM P)",
+        f"CF AS (SELECT page_id, bool_or(contains(text, {cr})) AS normalized FROM PB GROUP BY page_id)",
+        "CJ AS (SELECT page_id, string_agg(piece, '</p><p>' ORDER BY pos, sub) AS joined FROM "
+        f"(SELECT page_id, pos, generate_subscripts(l, 1) AS sub, unnest(l) AS piece FROM "
+        f"(SELECT page_id, pos, string_split(text, {cr}) AS l FROM PB)) WHERE piece <> '' AND piece <> chr(10) "
+        "GROUP BY page_id)",
+        "CO AS (SELECT CF.page_id, CF.normalized, CASE WHEN CF.normalized THEN "
+        + S.normalize_text("coalesce(CJ.joined, '')", True) + " ELSE coalesce(CJ.joined, '') END AS content "
+        "FROM CF LEFT JOIN CJ ON CF.page_id = CJ.page_id)",
+        _ART, *S.trigram_ctes("ATX", "page_id"),
+        "TX AS (SELECT u.page_id, u.part, BEST.lang AS src_lang, u.text FROM (SELECT page_id, 'title' AS part, "
+        "title AS text FROM TI UNION ALL SELECT page_id, 'body', content FROM CO) u JOIN BEST ON u.page_id = BEST.page_id)",
+        *S.glossary_ctes(), *S.translate_ctes("TX", "page_id, part", "B"),
+        "BW AS (SELECT page_id, max(CASE WHEN part = 'title' THEN translated_text END) AS t_title, "
+        "max(CASE WHEN part = 'body' THEN translated_text END) AS t_body FROM BR GROUP BY page_id)",
+    ]
+    body = ("(CASE WHEN coalesce(CO.normalized, false) THEN coalesce(BW.t_body, '') ELSE "
+            "(CASE WHEN coalesce(BW.t_body, '') = '' THEN '' ELSE '<p>' || BW.t_body || '</p>' END) END)")
+    t = S.escape_html("coalesce(BW.t_title, '')")
+    html = f"'<h1>' || {t} || '</h1>' || chr(10) || '<div id=\"' || {t} || '\">' || {body} || '</div>' || chr(10)"
+    final = ("FB AS (SELECT N.book_id, N.chapter_no, N.page_id, BEST.lang AS src_lang, BW.t_title AS title, "
+             f"'chapter' || N.chapter_no || '.html' AS file_name, {html} AS chapter_html FROM N "
+             "LEFT JOIN BEST ON N.page_id = BEST.page_id LEFT JOIN CO ON N.page_id = CO.page_id "
+             "LEFT JOIN BW ON N.page_id = BW.page_id)")
+    return with_(*parts, final) + select
+
+
+@sql("build_books")
+def _():
+    return _build_sql("SELECT book_id, chapter_no, page_id, src_lang, title, file_name, chapter_html FROM FB")
+
+
+@sql("chapter_files")
+def _():
+    return _build_sql("SELECT book_id, file_name, chapter_html FROM FB")
+
+
+@sql("book_export")
+def _():
+    footer = S.unicode_strip(S.node_text(S.first_or_null("clean", H.FOOTER)))
+    title = S.title_text("clean")
+    has = f"contains({title}, 'Author:')"
+    parts = f"string_split({title}, 'Author:')"
+    author_sel = (f"CASE WHEN contains({footer}, {q(T.LABEL_SEPARATOR)}) THEN "
+                  f"{S.unicode_strip(f'string_split({footer}, {q(T.LABEL_SEPARATOR)})[-1]')} END")
+    para0 = f"regexp_extract_all(coalesce({S.first_or_null('clean', H.ARTICLE)}, ''), {q(H.PARAGRAPH)}, 1)[1]"
+    pm = (f"PM AS (SELECT book_id, CASE WHEN {has} THEN {S.unicode_strip(parts + '[1]')} ELSE {title} END AS title, "
+          f"CASE WHEN {has} THEN {S.unicode_strip(parts + '[2]')} ELSE {author_sel} END AS author, "
+          f"{S.unicode_strip(S.decode_entities(para0))} AS description, "
+          f"{S.first_or_null('clean', H.IMG_SRC)} AS cover_url, {S.first_or_null('html', H.HTML_LANG)} AS language_code "
+          f"FROM (SELECT book_id, html, {S.drop_scripts('html')} AS clean FROM N WHERE chapter_no = 1))")
+    return with_(S.PAGES, S.NUM, pm) + (
+        "SELECT PM.*, c.n_chapters FROM PM JOIN (SELECT book_id, count(*) AS n_chapters FROM P GROUP BY book_id) c "
+        "ON PM.book_id = c.book_id")
+
+
+@sql("tag_counts")
+def _():
+    return ("SELECT lower(t) AS tag, count(*) AS n_nodes FROM (SELECT unnest(regexp_extract_all(html, "
+            "'<([A-Za-z][A-Za-z0-9]*)', 1)) AS t FROM pages) GROUP BY lower(t)")
+
+
+@sql("apply_rules")
+def _():
+    art = f"coalesce({S.first_or_null('html', H.ARTICLE)}, '')"
+    nav = f"coalesce({S.first_or_null('html', H.NAV)}, '')"
+
+    def field(name, src, count_re, first_re):
+        n = f"len(regexp_extract_all({src}, {q(count_re)}, 0))"
+        first = S.decode_entities(f"regexp_extract({src}, {q(first_re)}, 1)")
+        return f"SELECT page_id, '{name}' AS field, CAST({n} AS BIGINT) AS n_nodes, {first} AS first_text FROM P"
+
+    union = " UNION ALL ".join([
+        field("title", art, r"<h1\b", r"<h1\b[^>]*>(?:<b>)?([^<]*)"),
+        field("body", art, r"<p\b", r"<p\b[^>]*>(?:<b>)?([^<]*)"),
+        field("link", nav, r"<a\b", r"<a\b[^>]*>(?:<b>)?([^<]*)"),
+        field("advert", "html", r"<div class=\"ad\"", r"<div class=\"ad\"[^>]*>([^<]*)"),
+    ])
+    return with_(S.PAGES) + f"SELECT * FROM ({union}) WHERE n_nodes > 0"
+
+
+@sql("stream_ingest")
+def _():
+    return with_(S.PAGES) + "SELECT page_id, url, book_id, CAST(length(html) AS BIGINT) AS n_chars FROM P"
