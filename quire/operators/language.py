@@ -28,16 +28,13 @@ BROADCAST_MAX_GRAMS = 2_000_000
 
 
 def trigrams(df: DataFrame, key_cols, text_col: str = "text") -> DataFrame:
-    """One row per trigram occurrence.  The grams are cut inside the array
-    (``transform``) so the exploded rows carry only keys, never the text."""
+    """One row per trigram occurrence, from one linear JVM regex pass: an
+    empty-width lookahead match at every code point captures the next three
+    (a lambda over positions runs interpreted; substring at an offset
+    rescans UTF-8).  Exploded rows carry only keys, never the text."""
     keys = list(key_cols)
-    # code points as an array: O(1) access (substring at an offset rescans UTF-8)
-    chars = df.select(*keys, F.split(F.lower(F.col(text_col)), "").alias("_c"))
-    n = F.size("_c")
-    grams = F.when(n >= GRAM, F.transform(
-        F.sequence(F.lit(0), n - GRAM),
-        lambda i: F.concat(*[F.get(F.col("_c"), i + k) for k in range(GRAM)])))
-    return chars.select(*keys, F.explode(grams).alias("gram"))
+    grams = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+    return df.select(*keys, F.explode(grams).alias("gram"))
 
 
 class TrigramModel:
@@ -46,22 +43,25 @@ class TrigramModel:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> TrigramModel:
+    """One pass over the training text: trigram counts per language land
+    directly in one row per trigram with a count column per language (the
+    language list comes from a lang-only scan first).  The table is written
+    once to the shared folder; T_L and V come from one small aggregate."""
     shared_root(docs.sparkSession)
     labeled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), text_col)
-    counts = trigrams(labeled, ["lang"], text_col).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c"))
-    counts = materialize(counts, "trigram-counts")
-    # per-language statistics: one row per language (a handful), fine on the driver
-    stats = {r["lang"]: (r["t"],) for r in counts.groupBy("lang").agg(F.sum("c").alias("t")).collect()}
+    # one row per language (a handful): fine on the driver
     ndocs = {r["lang"]: r["n"] for r in labeled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    vocab = counts.select("gram").distinct().count()
-    langs = sorted(stats)
+    langs = sorted(ndocs)
+    grams = trigrams(labeled, ["lang"], text_col)
+    counts = grams.groupBy("gram").agg(*[F.count_if(F.col("lang") == lang).alias(f"c_{lang}") for lang in langs])
+    counts = materialize(counts, "trigram-counts")
+    stats = counts.agg(F.count(F.lit(1)).alias("v"), *[F.sum(f"c_{lang}").alias(f"t_{lang}") for lang in langs]).first()
+    vocab = stats["v"]
     total = sum(ndocs.values())
     import math
-    priors = {lang: math.log(ndocs.get(lang, 0) / total) if ndocs.get(lang) else float("-inf") for lang in langs}
-    denoms = {lang: math.log(stats[lang][0] + vocab) for lang in langs}
-    wide = (counts.groupBy("gram").pivot("lang", langs)
-                  .agg(F.first(F.log(F.col("c") + 1)))
-                  .fillna(0.0, subset=langs))
+    priors = {lang: math.log(ndocs[lang] / total) for lang in langs}
+    denoms = {lang: math.log(stats[f"t_{lang}"] + vocab) for lang in langs}
+    wide = counts.select("gram", *[F.log(F.col(f"c_{lang}") + 1).alias(lang) for lang in langs])
     return TrigramModel(wide, langs, priors, denoms, vocab)
 
 

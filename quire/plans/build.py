@@ -18,6 +18,7 @@ from ..operators import books as B
 from ..operators import extract as X
 from ..operators import language as LG
 from ..operators import translate as TR
+from ..session import materialize
 
 
 def build_books(pages: DataFrame, training_docs: DataFrame, glossary: DataFrame | None = None,
@@ -27,7 +28,8 @@ def build_books(pages: DataFrame, training_docs: DataFrame, glossary: DataFrame
     paras = X.drop_blank(X.explode_paragraphs(pages)).select("page_id", "pos", "text")
     content = B.conditional_normalize(paras, ["page_id"])  # trigger '\r' as in the reference
     art = pages.select("page_id", H.node_text(F.coalesce(H.article(H.drop_scripts("html")), F.lit(""))).alias("text"))
-    langs = LG.detect(art, LG.train(training_docs), "page_id", out_col="src_lang")
+    # one small row per page, used twice below: written once to the shared folder
+    langs = materialize(LG.detect(art, LG.train(training_docs), "page_id", out_col="src_lang"), "page-langs")
     texts = (titles.select("page_id", F.lit("title").alias("part"), F.col("title").alias("text"))
                    .unionByName(content.select("page_id", F.lit("body").alias("part"), F.col("content").alias("text")))
                    .join(langs, "page_id"))
