@@ -67,7 +67,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Tr
 
 def detect(texts: DataFrame, model: TrigramModel, key: str, text_col: str = "text",
            out_col: str = "lang") -> DataFrame:
-    grams = trigrams(texts, [key], text_col).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
+    # one shuffle of the texts by key; the per-(key, gram) count, the
+    # broadcast model join and the per-key sums then need no further exchange
+    keyed = texts.select(key, text_col).repartition(key)
+    grams = trigrams(keyed, [key], text_col).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
     wide = F.broadcast(model.wide) if model.vocab <= BROADCAST_MAX_GRAMS else model.wide
     j = grams.join(wide, "gram")
     aggs = [F.sum("n").alias("_m")] + [F.sum(F.col("n") * F.col(f"`{lang}`")).alias(f"_s_{lang}")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..session import materialize, shared_root
 
 _LOW_BITS = (1 << 33) - 1
+# Largest number of groups whose start ranks are broadcast.
+BROADCAST_MAX_GROUPS = 2_000_000
 
 
 def number_within(df: DataFrame, group_cols, order_cols, name: str = "row_no",
@@ -40,6 +42,10 @@ def number_within(df: DataFrame, group_cols, order_cols, name: str = "row_no",
                  .withColumn("_g", F.col("_base") + F.col("_off")))
     # first global rank per group: a partial aggregate, one row per group
     starts = ranked.groupBy(*group_cols).agg(F.min("_g").alias("_g0"))
+    # broadcast the group starts only when their count is within the bound;
+    # otherwise a shuffle join, where AQE splits the partition of a hot group
+    if starts.count() <= BROADCAST_MAX_GROUPS:
+        starts = F.broadcast(starts)
     out = ranked.join(starts, group_cols, "inner")
     return (out.withColumn(name, (F.col("_g") - F.col("_g0") + 1).cast("long"))
                .drop("_mid", "_pid", "_off", "_base", "_g", "_g0"))

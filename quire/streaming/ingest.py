@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from ..functions.urls import host
 
 
-def _landed_urls(spark: SparkSession, landed: str) -> DataFrame | None:
-    if os.path.exists(landed) and any(n.endswith(".parquet") for n in os.listdir(landed)):
-        return spark.read.parquet(landed).select("url")
+def _landed_urls(spark: SparkSession, landed: str, epoch_id: int) -> DataFrame | None:
+    """URLs landed by earlier epochs (this epoch's own folder is excluded, so
+    a replay does not filter out what its first attempt wrote)."""
+    if os.path.exists(landed) and any(n.startswith("epoch=") for n in os.listdir(landed)):
+        return spark.read.parquet(landed).where(F.col("epoch") != epoch_id).select("url")
     return None
 
 
@@ -36,14 +38,16 @@ def ingest_pages(spark: SparkSession, source_dir: str, landed: str, checkpoint:
         rows = (batch.select("page_id", "url", host("url").alias("book_id"),
                              F.length("html").cast("long").alias("n_chars"))
                      .dropDuplicates(["url"]))
-        seen = _landed_urls(batch.sparkSession, landed)
+        seen = _landed_urls(batch.sparkSession, landed, epoch_id)
         if seen is not None:
             rows = rows.join(seen, "url", "left_anti")
-        rows.write.mode("append").parquet(landed)
+        # one folder per epoch, overwritten: a replayed batch rewrites its own
+        # output instead of appending a second copy
+        rows.write.mode("overwrite").parquet(os.path.join(landed, f"epoch={epoch_id}"))
 
     q = (stream.writeStream.foreachBatch(land)
                .option("checkpointLocation", checkpoint)
                .trigger(availableNow=True)
                .start())
     q.awaitTermination()
-    return spark.read.parquet(landed)
+    return spark.read.parquet(landed).drop("epoch")
