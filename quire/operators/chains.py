@@ -32,13 +32,16 @@ def follow_chain(edges: DataFrame, starts: DataFrame | None = None,
     pages that no link points to."""
     spark = edges.sparkSession
     shared_root(spark)
-    e = (edges.where(F.col(dst).isNotNull() & F.col(src).isNotNull())
-              .groupBy(F.col(src).alias("u")).agg(F.min(dst).alias("v")))
-    nodes = (e.select(F.col("u").alias("node"))
-              .unionByName(e.select(F.col("v").alias("node")))
-              .union(edges.select(F.col(src).alias("node")).where(F.col("node").isNotNull()))
-              .distinct())
-    if starts is None:
+    # one row per page: its (smallest) next page, NULL at a chain end.
+    # Written once: every later step reads it instead of recomputing edges.
+    nxt = materialize(edges.where(F.col(src).isNotNull())
+                           .groupBy(F.col(src).alias("u")).agg(F.min(dst).alias("v")), "chain-edges")
+    e = nxt.where(F.col("v").isNotNull())
+    nodes = (nxt.select(F.col("u").alias("node"))
+                .unionByName(e.select(F.col("v").alias("node")))
+                .distinct())
+    explicit = starts is not None
+    if not explicit:
         starts = nodes.join(e.select(F.col("v").alias("node")), "node", "left_anti")
     starts = starts.select("node").distinct()
     # cut edges into a start: the walk from a start stops before revisiting it
@@ -70,6 +73,10 @@ def follow_chain(edges: DataFrame, starts: DataFrame | None = None,
                               F.col("b_done").alias("done")))
         state = materialize(state.where("done").unionByName(step), "chain-state")
     # rows still active sit on a cycle no start reaches
-    done = state.where("done")
-    out = done.join(starts.select(F.col("node").alias("ptr")), "ptr", "left_semi")
+    out = state.where("done")
+    if explicit:
+        # heads that are not starts are dropped (every head is a start by
+        # default).  ptr is hot here (a whole chain shares its head): AQE
+        # splits the skewed side of the semi join.
+        out = out.join(starts.select(F.col("node").alias("ptr")), "ptr", "left_semi")
     return out.select(F.col("ptr").alias("head"), "node", (F.col("dist") + 1).alias("page_no"))

@@ -206,8 +206,10 @@ def _chain(spark, sf_dir, num=None):
     num = num if num is not None else _numbered(spark, sf_dir)
     edges = B.next_page_edges(num)
     ch = follow_chain(edges)
-    heads = num.select(F.col("url").alias("head"), "book_id")
-    return ch.join(heads, "head").select("book_id", "page_no", F.col("node").alias("url"))
+    # book of each page by its own (unique) URL, not by the chain head: a hot
+    # book's head would be one key shared by a third of the rows
+    books = num.select(F.col("url").alias("node"), "book_id")
+    return ch.join(books, "node").select("book_id", "page_no", F.col("node").alias("url"))
 
 
 def _toc_links(spark, sf_dir):
