@@ -17,8 +17,11 @@ from .numbering import number_within
 
 
 def number_chapters(pages: DataFrame) -> DataFrame:
-    """chapter_no 1..n per book in page order (skew-safe numbering)."""
-    return number_within(pages, ["book_id"], ["page_id"], "chapter_no")
+    """chapter_no 1..n per book in page order (skew-safe numbering).
+    Only keys go through the sort and the written table - never the page
+    body; callers join per-page results back on page_id."""
+    keys = pages.select("book_id", "page_id", "url")
+    return number_within(keys, ["book_id"], ["page_id"], "chapter_no")
 
 
 def next_page_edges(numbered: DataFrame) -> DataFrame:

@@ -44,7 +44,9 @@ def number_within(df: DataFrame, group_cols, order_cols, name: str = "row_no",
     starts = ranked.groupBy(*group_cols).agg(F.min("_g").alias("_g0"))
     # broadcast the group starts only when their count is within the bound;
     # otherwise a shuffle join, where AQE splits the partition of a hot group
-    if starts.count() <= BROADCAST_MAX_GROUPS:
+    # groups <= rows: the row count of the written table (parquet metadata)
+    # settles the common case without a pass over the data
+    if (checkpoint and ids.count() <= BROADCAST_MAX_GROUPS) or starts.count() <= BROADCAST_MAX_GROUPS:
         starts = F.broadcast(starts)
     out = ranked.join(starts, group_cols, "inner")
     return (out.withColumn(name, (F.col("_g") - F.col("_g0") + 1).cast("long"))

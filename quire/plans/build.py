@@ -23,8 +23,8 @@ from ..session import materialize
 
 def build_books(pages: DataFrame, training_docs: DataFrame, glossary: DataFrame | None = None,
                 memory: DataFrame | None = None, translator=None) -> DataFrame:
-    num = B.number_chapters(pages).select("page_id", "book_id", "chapter_no", "url", "html")
-    titles = num.select("page_id", H.title_text(H.drop_scripts("html")).alias("title"))
+    num = B.number_chapters(pages).select("page_id", "book_id", "chapter_no")
+    titles = pages.select("page_id", H.title_text(H.drop_scripts("html")).alias("title"))
     paras = X.drop_blank(X.explode_paragraphs(pages)).select("page_id", "pos", "text")
     content = B.conditional_normalize(paras, ["page_id"])  # trigger '\r' as in the reference
     art = pages.select("page_id", H.node_text(F.coalesce(H.article(H.drop_scripts("html")), F.lit(""))).alias("text"))

@@ -197,10 +197,16 @@ from ..operators.numbering import number_within  # noqa: E402
 
 
 def _numbered(spark, sf_dir):
-    """Pages with chapter_no per book (F1)."""
+    """(book_id, page_id, url, chapter_no) per page (F1); keys only."""
     return B.number_chapters(load_pages(spark, sf_dir))
 
 
+def _titles(spark, sf_dir):
+    """Chapter title per page: computed where the page is, no shuffle."""
+    p = load_pages(spark, sf_dir)
+    return p.select("page_id", H.title_text(H.drop_scripts("html")).alias("title"))
+
+
 def _chain(spark, sf_dir, num=None):
     """C6 on the test tables: (book_id, page_no, url)."""
     num = num if num is not None else _numbered(spark, sf_dir)
@@ -314,7 +320,8 @@ def glossary_override(spark, sf_dir):
 def book_chapters(spark, sf_dir):
     num = _numbered(spark, sf_dir)
     books = _book_meta(spark, sf_dir, num).select("book_id", F.col("title").alias("book_title"))
-    chapters = num.select("book_id", "chapter_no", H.title_text(H.drop_scripts("html")).alias("chapter_title"))
+    chapters = num.join(_titles(spark, sf_dir), "page_id").select(
+        "book_id", "chapter_no", F.col("title").alias("chapter_title"))
     return books.join(chapters, "book_id").select("book_id", "book_title", "chapter_no", "chapter_title")
 
 
@@ -342,7 +349,7 @@ def conditional_normalize(spark, sf_dir):
 @register
 def assemble_book(spark, sf_dir):
     num = _numbered(spark, sf_dir)
-    chapters = num.select("book_id", "chapter_no", H.title_text(H.drop_scripts("html")).alias("title"))
+    chapters = num.join(_titles(spark, sf_dir), "page_id").select("book_id", "chapter_no", "title")
     return B.toc_items(chapters)
 
 
@@ -406,7 +413,7 @@ def append_links(spark, sf_dir):
 @register
 def chapter_html(spark, sf_dir):
     num = _numbered(spark, sf_dir)
-    title = num.select("page_id", "book_id", "chapter_no", H.title_text(H.drop_scripts("html")).alias("title"))
+    title = num.join(_titles(spark, sf_dir), "page_id").select("page_id", "book_id", "chapter_no", "title")
     j = title.join(_contents(spark, sf_dir), "page_id", "left")
     return j.select("book_id", "chapter_no", M.chapter_html("title", M.wrap_paragraphs("content")).alias("chapter_html"))
 
@@ -467,7 +474,9 @@ from .build import build_books as _build_books  # noqa: E402
 
 @register
 def landing_roundtrip(spark, sf_dir):
-    num = _numbered(spark, sf_dir).select("book_id", (F.col("chapter_no") - 1).alias("idx"), "url", "html")
+    html = load_pages(spark, sf_dir).select("page_id", "html")
+    num = _numbered(spark, sf_dir).join(html, "page_id").select(
+        "book_id", (F.col("chapter_no") - 1).alias("idx"), "url", "html")
     path = scratch_path(spark, "landing")
     write_landing(num, path)
     back = read_landing(spark, path)
