@@ -269,6 +269,18 @@ def follow_next_page(spark, sf_dir):
     return _chain(spark, sf_dir)
 
 
+@register
+def conversation_chains(spark, sf_dir):
+    """C6 on a second table: each conversation's turns as a "next" chain."""
+    c = spread(read_table(spark, sf_dir, "conversations").select("conv_id", "turn"))
+    node = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), node.alias("to_url"))
+    edges = c.select("conv_id", "turn", node.alias("from_url")).join(nxt, ["conv_id", "turn"], "left")
+    ch = follow_chain(edges.select("from_url", "to_url"))
+    return ch.select(F.split("head", ":")[0].cast("long").alias("conv_id"), "page_no",
+                     F.split("node", ":")[1].cast("long").alias("turn"))
+
+
 @register
 def paged_toc(spark, sf_dir):
     t = _toc_links(spark, sf_dir)

@@ -200,6 +200,19 @@ def _():
     return S.with_rec(S.PAGES, S.EDGES, S.WALK, S.CHAIN) + "SELECT book_id, page_no, url FROM CH"
 
 
+@sql("conversation_chains")
+def _():
+    node = "CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)"
+    return S.with_rec(
+        f"CE AS (SELECT {node} AS from_url, lead({node}) OVER (PARTITION BY conv_id ORDER BY turn) AS to_url, "
+        "turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn FROM conversations)",
+        # only consecutive turns link (turn n -> n + 1)
+        "E AS (SELECT from_url, CASE WHEN next_turn = turn + 1 THEN to_url END AS to_url FROM CE)",
+        S.WALK) + (
+        "SELECT CAST(string_split(head, ':')[1] AS BIGINT) AS conv_id, page_no, "
+        "CAST(string_split(url, ':')[2] AS BIGINT) AS turn FROM W")
+
+
 @sql("paged_toc")
 def _():
     return S.with_rec(*_base(_NUM_TOC)) + "SELECT book_id, link_no, toc_page, pos, href, link_text FROM NT"

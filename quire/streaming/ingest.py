@@ -18,10 +18,17 @@ from pyspark.sql import functions as F
 from ..functions.urls import host
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Path test through the cluster's file system (HDFS, object store, ...)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _landed_urls(spark: SparkSession, landed: str, epoch_id: int) -> DataFrame | None:
     """URLs landed by earlier epochs (this epoch's own folder is excluded, so
     a replay does not filter out what its first attempt wrote)."""
-    if os.path.exists(landed) and any(n.startswith("epoch=") for n in os.listdir(landed)):
+    if _exists(spark, landed):
         return spark.read.parquet(landed).where(F.col("epoch") != epoch_id).select("url")
     return None
 
