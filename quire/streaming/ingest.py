@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import host
 
+# Largest micro-batch (rows) whose URLs are broadcast to the landed-table scan.
+BROADCAST_MAX_BATCH = 5_000_000
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     """Path test through the cluster's file system (HDFS, object store, ...)."""
@@ -47,6 +50,12 @@ def ingest_pages(spark: SparkSession, source_dir: str, landed: str, checkpoint:
                      .dropDuplicates(["url"]))
         seen = _landed_urls(batch.sparkSession, landed, epoch_id)
         if seen is not None:
+            urls = rows.select("url")
+            if urls.count() <= BROADCAST_MAX_BATCH:
+                # the batch is the small side: which of its URLs are landed is a
+                # map-only scan of the landed table (broadcast semi join), not a
+                # shuffle of every landed URL per micro-batch
+                seen = seen.join(F.broadcast(urls), "url", "left_semi")
             rows = rows.join(seen, "url", "left_anti")
         # one folder per epoch, overwritten: a replayed batch rewrites its own
         # output instead of appending a second copy

@@ -112,3 +112,12 @@ def test_chunks_concatenate_to_source(spark, texts):
         cs = sorted((r["chunk_no"], r["chunk"]) for r in rows if r["doc_id"] == i)
         assert "".join(c for _, c in cs) == t
         assert all(len(c) == 500 for _, c in cs[:-1])
+
+
+def test_title_author_split_combined_titles(spark):
+    from quire.operators.extract import title_author_split
+    rows = [(1, "Great Book Author: Jane Roe", "sel"), (2, "Plain Title", "From Selector"), (3, None, "x")]
+    df = spark.createDataFrame(rows, "id int, title string, author_sel string")
+    t, a = title_author_split("title", "author_sel")
+    got = {r["id"]: (r["t"], r["a"]) for r in df.select("id", t.alias("t"), a.alias("a")).collect()}
+    assert got == {1: ("Great Book", "Jane Roe"), 2: ("Plain Title", "From Selector"), 3: (None, "x")}
