@@ -18,12 +18,28 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "book_id", H.drop_scripts("html").alias("clean"))
 
 
-def explode_paragraphs(pages: DataFrame) -> DataFrame:
-    """Direct text of each <p> inside <article>, in order (blank kept)."""
+def page_features(pages: DataFrame) -> DataFrame:
+    """Everything the book job needs from a page, in one pass over ``html``:
+    title, article text (for language detection) and the raw paragraph
+    array.  The script-stripping regex runs once per page."""
     c = clean_pages(pages)
-    return (c.select("page_id", "book_id", F.posexplode(H.paragraphs("clean")).alias("pos", "raw"))
-             .select("page_id", "book_id", F.col("pos").cast("long").alias("pos"),
-                     H.decode_entities("raw").alias("text")))
+    return c.select("page_id", "url", "book_id",
+                    H.title_text("clean").alias("title"),
+                    H.node_text(F.coalesce(H.article("clean"), F.lit(""))).alias("article_text"),
+                    H.paragraphs("clean").alias("paragraphs"))
+
+
+def paragraphs_of(features: DataFrame) -> DataFrame:
+    """C3 from the feature table: (page_id, book_id, pos, text)."""
+    return (features.select("page_id", "book_id", F.posexplode("paragraphs").alias("pos", "raw"))
+                    .select("page_id", "book_id", F.col("pos").cast("long").alias("pos"),
+                            H.decode_entities("raw").alias("text")))
+
+
+def explode_paragraphs(pages: DataFrame) -> DataFrame:
+    """Direct text of each <p> inside <article>, in order (blank kept).
+    Unused feature columns are pruned by Catalyst."""
+    return paragraphs_of(page_features(pages))
 
 
 def drop_blank(df: DataFrame, col: str = "text") -> DataFrame:
@@ -31,10 +47,7 @@ def drop_blank(df: DataFrame, col: str = "text") -> DataFrame:
     return df.where(F.length(unicode_strip(col)) > 0)
 
 
-def explode_links(pages: DataFrame) -> DataFrame:
-    """Every <a> of a page in order: attributes, href (NULL when absent),
-    text (tags removed, entities decoded, stripped) and the link markup."""
-    c = clean_pages(pages)
+def _links(c: DataFrame) -> DataFrame:
     arr = c.select("page_id", "url", "book_id",
                    H.anchor_attrs("clean").alias("attrs"), H.anchor_inner("clean").alias("inner"))
     ex = arr.select("page_id", "url", "book_id",
@@ -46,18 +59,15 @@ def explode_links(pages: DataFrame) -> DataFrame:
         F.concat(F.lit("<a"), F.col("a.attrs"), F.lit(">"), F.col("a.inner"), F.lit("</a>")).alias("markup"))
 
 
+def explode_links(pages: DataFrame) -> DataFrame:
+    """Every <a> of a page in order: attributes, href (NULL when absent),
+    text (tags removed, entities decoded, stripped) and the link markup."""
+    return _links(clean_pages(pages))
+
+
 def nav_links(pages: DataFrame) -> DataFrame:
     """Contents links of the test pages: the <a> inside <nav>."""
-    c = clean_pages(pages).withColumn("clean", F.coalesce(H.first_or_null("clean", H.NAV), F.lit("")))
-    arr = c.select("page_id", "url", "book_id",
-                   H.anchor_attrs("clean").alias("attrs"), H.anchor_inner("clean").alias("inner"))
-    ex = arr.select("page_id", "url", "book_id",
-                    F.posexplode(F.arrays_zip("attrs", "inner")).alias("pos", "a"))
-    return ex.select(
-        "page_id", "url", "book_id", F.col("pos").cast("long").alias("pos"),
-        H.href_of("a.attrs").alias("href"),
-        unicode_strip(H.node_text("a.inner")).alias("link_text"),
-        F.concat(F.lit("<a"), F.col("a.attrs"), F.lit(">"), F.col("a.inner"), F.lit("</a>")).alias("markup"))
+    return _links(clean_pages(pages).withColumn("clean", F.coalesce(H.first_or_null("clean", H.NAV), F.lit(""))))
 
 
 def anchors_with_href(links: DataFrame) -> DataFrame:

@@ -23,11 +23,13 @@ from ..session import materialize
 
 def build_books(pages: DataFrame, training_docs: DataFrame, glossary: DataFrame | None = None,
                 memory: DataFrame | None = None, translator=None) -> DataFrame:
-    num = B.number_chapters(pages).select("page_id", "book_id", "chapter_no")
-    titles = pages.select("page_id", H.title_text(H.drop_scripts("html")).alias("title"))
-    paras = X.drop_blank(X.explode_paragraphs(pages)).select("page_id", "pos", "text")
+    # one scan of the page bodies; every branch below reads this narrow table
+    feats = materialize(X.page_features(pages), "page-features")
+    num = B.number_chapters(feats).select("page_id", "book_id", "chapter_no")
+    titles = feats.select("page_id", "title")
+    paras = X.drop_blank(X.paragraphs_of(feats)).select("page_id", "pos", "text")
     content = B.conditional_normalize(paras, ["page_id"])  # trigger '\r' as in the reference
-    art = pages.select("page_id", H.node_text(F.coalesce(H.article(H.drop_scripts("html")), F.lit(""))).alias("text"))
+    art = feats.select("page_id", F.col("article_text").alias("text"))
     # one small row per page, used twice below: written once to the shared folder
     langs = materialize(LG.detect(art, LG.train(training_docs), "page_id", out_col="src_lang"), "page-langs")
     texts = (titles.select("page_id", F.lit("title").alias("part"), F.col("title").alias("text"))
