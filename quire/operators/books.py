@@ -14,6 +14,7 @@ from ..functions import markup as M
 from ..functions import urls as U
 from ..functions.text import normalize_text
 from .numbering import number_within
+from .skew import split_hot_join
 
 
 def number_chapters(pages: DataFrame) -> DataFrame:
@@ -69,7 +70,8 @@ def first_occurrence(items: DataFrame, list_col: str, value_col: str, pos_col: s
 
 def missing_chapters(links: DataFrame, pages: DataFrame, contents: DataFrame) -> DataFrame:
     """Contents links with no page, and pages with no content."""
-    no_page = (links.join(pages.select(F.col("url").alias("link_url")), "link_url", "left_anti")
+    # a link target shared by every page (home, index) is a hot key
+    no_page = (split_hot_join(links, pages.select(F.col("url").alias("link_url")), ["link_url"], "left_anti")
                     .select("book_id", F.col("link_url").alias("url"), F.lit("no page").alias("reason")))
     empty = (pages.join(contents.where(F.col("content").isNotNull() & (F.col("content") != ""))
                                .select("page_id"), "page_id", "left_anti")

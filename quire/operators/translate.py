@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import CHUNK_SIZE, chunk_hash
+from .skew import split_hot_join
 
 # --- fixed values -----------------------------------------------------------
 TARGET_LANG = "en"
@@ -121,7 +122,8 @@ def lookup_translations(chunks: DataFrame, memory: DataFrame, lang_col: str = "s
     translation stays empty (it is dropped when chunks are re-joined)."""
     c = chunks.withColumn("chunk_hash", chunk_hash("chunk")).withColumnRenamed(lang_col, "src_lang")
     m = memory.select("src_lang", "chunk_hash", "translated_text")
-    j = c.join(m, ["src_lang", "chunk_hash"], "left")
+    # a boilerplate chunk repeated across the corpus is one hot key
+    j = split_hot_join(c, m, ["src_lang", "chunk_hash"], "left")
     return j.withColumn(
         "translated",
         F.when(F.col("translated_text").isNull() & (F.length("chunk") > 0), F.col("chunk"))

@@ -306,8 +306,9 @@ def toc_join_pages(spark, sf_dir):
     num = _numbered(spark, sf_dir)
     links = _contents_links(spark, sf_dir, num)
     pages = load_pages(spark, sf_dir).select(F.col("url").alias("link_url"), F.col("page_id").alias("target_page_id"))
-    return links.join(pages, "link_url", "left").select("book_id", "from_page_id", "pos", "kind", "link_url",
-                                                        "target_page_id")
+    from ..operators.skew import split_hot_join
+    return split_hot_join(links, pages, ["link_url"], "left").select(
+        "book_id", "from_page_id", "pos", "kind", "link_url", "target_page_id")
 
 
 @register

@@ -31,10 +31,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan that yields fewer splits than the cluster has
     cores (a single-row-group file is one split).  Large inputs already
     have many splits and are left as they are - no extra shuffle."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. Spark Connect): leave the scan as is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def load_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,9 +23,16 @@ BROADCAST_MAX_BATCH = 5_000_000
 
 def _exists(spark: SparkSession, path: str) -> bool:
     """Path test through the cluster's file system (HDFS, object store, ...)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+    except Exception:  # no JVM handle (e.g. Spark Connect): probe with a read
+        try:
+            spark.read.parquet(path).schema
+            return True
+        except Exception:
+            return False
 
 
 def _landed_urls(spark: SparkSession, landed: str, epoch_id: int) -> DataFrame | None:

@@ -55,3 +55,14 @@ def test_translate_texts_sends_only_unknown_distinct_chunks(spark):
     assert sorted(r["source_text"] for r in TR.distinct_chunks(
         TR.chunk_texts(docs, ["doc_id", "src_lang"])).collect()) == ["abc", "known", "stay"]
     assert fresh.count() == 1                   # only the one unknown distinct chunk was translated
+
+
+def test_split_hot_join_equals_plain_join(spark):
+    from quire.operators.skew import split_hot_join
+    left = spark.createDataFrame([("hot", i) for i in range(50)] + [("c1", 1), ("c2", 2), ("miss", 3)],
+                                 "k string, v int")
+    right = spark.createDataFrame([("hot", "H"), ("c1", "C1"), ("c2", "C2")], "k string, r string")
+    for how in ("left", "inner", "left_anti", "left_semi"):
+        got = sorted(map(tuple, split_hot_join(left, right, ["k"], how, hot_rows=10).collect()))
+        want = sorted(map(tuple, left.join(right, ["k"], how).collect()))
+        assert got == want, how
