@@ -28,6 +28,8 @@ ENTITIES = (
     ("&middot;", "·"),
     ("&amp;", "&"),
 )
+# Entities HTML also decodes without the trailing ';' (legacy forms).
+LEGACY_NO_SEMICOLON = ("&lt", "&gt", "&quot", "&#39", "&nbsp", "&copy", "&middot", "&amp")
 # Characters escaped when text is written into markup ('&' first).
 ESCAPES = (
     ("&", "&amp;"),
@@ -58,10 +60,17 @@ def drop_scripts(col) -> Column:
     return F.regexp_replace(_c(col), SCRIPT_STYLE, "")
 
 
+def entity_pattern(ent: str) -> str | None:
+    """Regex for an entity whose ';' is optional, else None (exact match)."""
+    name = ent[:-1]
+    return f"{name};?" if name in LEGACY_NO_SEMICOLON else None
+
+
 def decode_entities(col) -> Column:
     out = _c(col)
     for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
+        pat = entity_pattern(ent)
+        out = F.regexp_replace(out, pat, ch) if pat else F.replace(out, F.lit(ent), F.lit(ch))
     return out
 
 

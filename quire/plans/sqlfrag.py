@@ -34,7 +34,9 @@ def slug(x: str) -> str:
 def decode_entities(x: str) -> str:
     out = x
     for ent, ch in H.ENTITIES:
-        out = f"replace({out}, {q(ent)}, {q(ch)})"
+        pat = H.entity_pattern(ent)
+        out = (f"regexp_replace({out}, {q(pat)}, {q(ch)}, 'g')" if pat
+               else f"replace({out}, {q(ent)}, {q(ch)})")
     return out
 
 

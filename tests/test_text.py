@@ -121,3 +121,14 @@ def test_title_author_split_combined_titles(spark):
     t, a = title_author_split("title", "author_sel")
     got = {r["id"]: (r["t"], r["a"]) for r in df.select("id", t.alias("t"), a.alias("a")).collect()}
     assert got == {1: ("Great Book", "Jane Roe"), 2: ("Plain Title", "From Selector"), 3: (None, "x")}
+
+
+def test_entities_match_html_unescape(spark):
+    import html as pyhtml
+
+    from quire.functions.html import decode_entities
+    cases = ["a&amp", "&ampx", "&amp;lt;", "x&lt", "&copy 2", "&#39s", "&middot;", "&amp;&amp;&amp", "t &quot;q&quot;",
+             "&nbsp;", "none"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "id int, t string")
+    got = {r["id"]: r["d"] for r in df.select("id", decode_entities("t").alias("d")).collect()}
+    assert got == {i: pyhtml.unescape(t) for i, t in enumerate(cases)}
