@@ -22,8 +22,9 @@ def page_features(pages: DataFrame) -> DataFrame:
     """Everything the book job needs from a page, in one pass over ``html``:
     title, article text (for language detection) and the raw paragraph
     array.  The script-stripping regex runs once per page."""
-    c = clean_pages(pages)
-    return c.select("page_id", "url", "book_id",
+    extra = [c for c in pages.columns if c not in ("page_id", "url", "book_id", "html")]
+    c = pages.select("page_id", "url", "book_id", *extra, H.drop_scripts("html").alias("clean"))
+    return c.select("page_id", "url", "book_id", *extra,
                     H.title_text("clean").alias("title"),
                     H.node_text(F.coalesce(H.article("clean"), F.lit(""))).alias("article_text"),
                     H.paragraphs("clean").alias("paragraphs"))

@@ -523,4 +523,7 @@ def _():
 
 @sql("stream_ingest")
 def _():
-    return with_(S.PAGES) + "SELECT page_id, url, book_id, CAST(length(html) AS BIGINT) AS n_chars FROM P"
+    return with_(S.PAGES, S.CLEAN, S.PARAS, S.NONBLANK, _CONTENT) + (
+        f"SELECT P.page_id, P.url, P.book_id, CAST(length(P.html) AS BIGINT) AS n_chars, "
+        f"{S.title_text(S.drop_scripts('P.html'))} AS title, coalesce(CT.content, '') AS content "
+        "FROM P LEFT JOIN CT ON P.page_id = CT.page_id")

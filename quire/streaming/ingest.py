@@ -15,7 +15,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.html import decode_entities
+from ..functions.markup import PARAGRAPH_JOIN
+from ..functions.text import unicode_strip
 from ..functions.urls import host
+from ..operators.extract import page_features
 
 # Largest micro-batch (rows) whose URLs are broadcast to the landed-table scan.
 BROADCAST_MAX_BATCH = 5_000_000
@@ -52,8 +56,13 @@ def ingest_pages(spark: SparkSession, source_dir: str, landed: str, checkpoint:
                    .parquet(source_dir))
 
     def land(batch: DataFrame, epoch_id: int) -> None:
-        rows = (batch.select("page_id", "url", host("url").alias("book_id"),
-                             F.length("html").cast("long").alias("n_chars"))
+        # per-page work needs no other page: title and the joined body come
+        # from array functions on the page's own paragraphs (no grouping)
+        feats = page_features(batch.select("page_id", "url", "html", host("url").alias("book_id"))
+                              .withColumn("n_chars", F.length("html").cast("long")))
+        paras = F.filter(F.transform("paragraphs", decode_entities), lambda x: F.length(unicode_strip(x)) > 0)
+        rows = (feats.select("page_id", "url", "book_id", "n_chars", "title",
+                             F.array_join(paras, PARAGRAPH_JOIN).alias("content"))
                      .dropDuplicates(["url"]))
         seen = _landed_urls(batch.sparkSession, landed, epoch_id)
         if seen is not None:
