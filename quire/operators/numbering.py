@@ -21,14 +21,14 @@ BROADCAST_MAX_GROUPS = 2_000_000
 
 
 def number_within(df: DataFrame, group_cols, order_cols, name: str = "row_no",
-                  checkpoint: bool = True) -> DataFrame:
+                  write_ids: bool = True) -> DataFrame:
     group_cols = list(group_cols)
     order_cols = list(order_cols)
     shared_root(df.sparkSession)
     ids = (df.repartitionByRange(*[F.col(c) for c in group_cols + order_cols])
              .sortWithinPartitions(*group_cols, *order_cols)
              .withColumn("_mid", F.monotonically_increasing_id()))
-    if checkpoint:
+    if write_ids:
         ids = materialize(ids, "numbered")
     ids = (ids.withColumn("_pid", F.shiftright("_mid", 33))
               .withColumn("_off", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))))
@@ -46,7 +46,7 @@ def number_within(df: DataFrame, group_cols, order_cols, name: str = "row_no",
     # otherwise a shuffle join, where AQE splits the partition of a hot group
     # groups <= rows: the row count of the written table (parquet metadata)
     # settles the common case without a pass over the data
-    if (checkpoint and ids.count() <= BROADCAST_MAX_GROUPS) or starts.count() <= BROADCAST_MAX_GROUPS:
+    if (write_ids and ids.count() <= BROADCAST_MAX_GROUPS) or starts.count() <= BROADCAST_MAX_GROUPS:
         starts = F.broadcast(starts)
     out = ranked.join(starts, group_cols, "inner")
     return (out.withColumn(name, (F.col("_g") - F.col("_g0") + 1).cast("long"))

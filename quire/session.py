@@ -46,16 +46,24 @@ _LOCAL_ROOTS: dict[int, str] = {}
 
 def shared_root(spark: SparkSession) -> str:
     """Root of the shared folder: ``spark.checkpoint.dir`` when the cluster
-    sets it; otherwise (tests, local runs) a fresh folder we register."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None)
+    sets it; otherwise (tests, local runs) a fresh folder made once per
+    session.  Lineage is cut by tables written here (``materialize``)."""
+    root = None
+    try:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:
+        root = None
     if not root:
-        root = _LOCAL_ROOTS.get(id(sc))
+        try:
+            root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        except Exception:  # no SparkContext handle (e.g. Spark Connect)
+            root = None
     if not root:
-        root = tempfile.mkdtemp(prefix="quire-shared-", dir="/tmp")
-        _LOCAL_ROOTS[id(sc)] = root
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(os.path.join(root, "checkpoints"))
+        key = id(spark)
+        root = _LOCAL_ROOTS.get(key)
+        if not root:
+            root = tempfile.mkdtemp(prefix="quire-shared-", dir="/tmp")
+            _LOCAL_ROOTS[key] = root
     return root
 
 
