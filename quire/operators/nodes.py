@@ -203,9 +203,11 @@ def apply_rules(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """Nodes joined with their route's rules (equi part on route, theta
     part ``path rlike pattern``); per (page, field) the best-priority rule
     that matched wins, with its node count and first node's text.  The rule
-    table is a fixed, small literal: broadcast."""
+    table is broadcast after a size check."""
+    from .translate import sized_broadcast
     n = nodes.withColumn("route", route("url"))
-    j = n.join(F.broadcast(rules), (n["route"] == rules["route"]) & F.regexp_like(n["path"], rules["path_pattern"]))
+    r = sized_broadcast(rules)  # a rule set is small; checked, not assumed
+    j = n.join(r, (n["route"] == r["route"]) & F.regexp_like(n["path"], r["path_pattern"]))
     per_rule = (j.groupBy("page_id", "field", "priority")
                  .agg(F.count(F.lit(1)).alias("n_nodes"), F.min_by("first_text", "pos").alias("first_text"),
                       F.min_by("text", "pos").alias("text")))

@@ -371,6 +371,16 @@ def distinct_chunks(spark, sf_dir):
     return TR.distinct_chunks(_doc_chunks(spark, sf_dir))
 
 
+@register
+def translation_savings(spark, sf_dir):
+    """E5's report: chunks sent once per distinct (language, text) instead of
+    once per occurrence - calls made and saved, per language."""
+    d = TR.distinct_chunks(_doc_chunks(spark, sf_dir))
+    return (d.groupBy("src_lang")
+             .agg(F.sum("n_uses").alias("n_chunks"), F.count(F.lit(1)).alias("n_distinct"))
+             .withColumn("saved_calls", F.col("n_chunks") - F.col("n_distinct")))
+
+
 @register
 def chapters_per_book(spark, sf_dir):
     return B.chapters_per_book(load_pages(spark, sf_dir))

@@ -304,6 +304,13 @@ def _():
         "SELECT src_lang, chunk_hash, source_text, n_uses FROM DD")
 
 
+@sql("translation_savings")
+def _():
+    return with_(_DOCC, S.distinct_chunks("DC", "DD", skip_target=False)) + (
+        "SELECT src_lang, CAST(sum(n_uses) AS BIGINT) AS n_chunks, count(*) AS n_distinct, "
+        "CAST(sum(n_uses) - count(*) AS BIGINT) AS saved_calls FROM DD GROUP BY src_lang")
+
+
 @sql("chapters_per_book")
 def _():
     return with_(S.PAGES) + "SELECT book_id, count(*) AS n_chapters FROM P GROUP BY book_id"
