@@ -64,7 +64,10 @@ GLOSSARY_SCHEMA = T.StructType([
 
 
 def glossary_frame(spark: SparkSession, rows=GLOSSARY_ROWS) -> DataFrame:
-    return spark.createDataFrame(list(rows), GLOSSARY_SCHEMA)
+    rows = list(rows)
+    df = spark.createDataFrame(rows, GLOSSARY_SCHEMA)
+    df.literal_rows = len(rows)  # size known on the driver: no count job needed
+    return df
 
 
 def resolve_glossary(glossary: DataFrame) -> DataFrame:
@@ -74,9 +77,11 @@ def resolve_glossary(glossary: DataFrame) -> DataFrame:
                     .select("lang", "src", F.col("best.dst").alias("dst")))
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast only when the row count is within the bound."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
+    """Broadcast only when the row count is within the bound (counted,
+    unless the caller already knows it, e.g. a literal table)."""
+    n = known_rows if known_rows is not None else df.count()
+    return F.broadcast(df) if n <= max_rows else df
 
 
 def chunk_texts(df: DataFrame, key_cols, text_col: str = "text", size: int = CHUNK_SIZE) -> DataFrame:
@@ -106,7 +111,8 @@ def glossary_translate(texts: DataFrame, glossary: DataFrame, key_cols,
     byte for byte), looked up on (lang, lower(token)) and re-joined in
     order.  Each group is one chunk, so its size is bounded."""
     keys = list(key_cols)
-    g = sized_broadcast(resolve_glossary(glossary))
+    # resolved entries <= glossary rows; the built-in glossary's size is known
+    g = sized_broadcast(resolve_glossary(glossary), known_rows=getattr(glossary, "literal_rows", None))
     toks = texts.select(*keys, F.col(lang_col).alias("_lang"),
                         F.posexplode(F.split(F.col(text_col), " ", -1)).alias("_tpos", "_tok"))
     j = toks.join(g, (toks["_lang"] == g["lang"]) & (F.lower(toks["_tok"]) == g["src"]), "left")
