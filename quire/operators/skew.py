@@ -22,13 +22,16 @@ MAX_HOT_KEYS = 1_000_000
 
 
 def split_hot_join(left: DataFrame, right: DataFrame, keys, how: str = "left",
-                   hot_rows: int = HOT_ROWS, max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
+                   hot_rows: int = HOT_ROWS, max_hot_keys: int = MAX_HOT_KEYS,
+                   hot: DataFrame | None = None) -> DataFrame:
     """``left.join(right, keys, how)`` for how in inner/left/left_anti/left_semi,
     with hot keys of ``left`` joined by broadcast.  ``right`` must be unique
-    or small per key (a lookup table)."""
+    or small per key (a lookup table).  ``hot`` (the hot keys) may be passed
+    in when an earlier aggregate already counted the keys."""
     keys = list(keys)
-    hot = (left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-               .where(F.col("_n") > hot_rows).select(*keys))
+    if hot is None:
+        hot = (left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+                   .where(F.col("_n") > hot_rows).select(*keys))
     n_hot = hot.count()
     if n_hot == 0 or n_hot > max_hot_keys:
         return left.join(right, keys, how)

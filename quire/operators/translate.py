@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import CHUNK_SIZE, chunk_hash
-from .skew import split_hot_join
+from ..session import materialize
+from .skew import HOT_ROWS, split_hot_join
 
 # --- fixed values -----------------------------------------------------------
 TARGET_LANG = "en"
@@ -122,14 +123,15 @@ def glossary_translate(texts: DataFrame, glossary: DataFrame, key_cols,
              .select(*keys, F.array_join(F.transform("_ws", lambda x: x["w"]), " ").alias(out_col)))
 
 
-def lookup_translations(chunks: DataFrame, memory: DataFrame, lang_col: str = "src_lang") -> DataFrame:
+def lookup_translations(chunks: DataFrame, memory: DataFrame, lang_col: str = "src_lang",
+                        hot: DataFrame | None = None) -> DataFrame:
     """D3: chunks left-joined with the memory on (src_lang, chunk_hash).
     No translation and a non-empty source -> the source is kept; an empty
     translation stays empty (it is dropped when chunks are re-joined)."""
     c = chunks.withColumn("chunk_hash", chunk_hash("chunk")).withColumnRenamed(lang_col, "src_lang")
     m = memory.select("src_lang", "chunk_hash", "translated_text")
     # a boilerplate chunk repeated across the corpus is one hot key
-    j = split_hot_join(c, m, ["src_lang", "chunk_hash"], "left")
+    j = split_hot_join(c, m, ["src_lang", "chunk_hash"], "left", hot=hot)
     return j.withColumn(
         "translated",
         F.when(F.col("translated_text").isNull() & (F.length("chunk") > 0), F.col("chunk"))
@@ -174,7 +176,11 @@ def translate_texts(texts: DataFrame, key_cols, glossary: DataFrame | None = Non
     keys = list(key_cols)
     spark = texts.sparkSession
     chunks = chunk_texts(texts.withColumnRenamed(lang_col, "src_lang"), keys + ["src_lang"], text_col)
-    todo = distinct_chunks(chunks.where(F.col("src_lang") != target))
+    # one distinct-chunk table (written once) gives both the translator's
+    # input and the hot keys of the lookup join (from n_uses, no extra pass)
+    dist = materialize(distinct_chunks(chunks), "distinct-chunks")
+    hot = dist.where(F.col("n_uses") > HOT_ROWS).select("src_lang", "chunk_hash")
+    todo = dist.where(F.col("src_lang") != target)
     if memory is not None:
         todo = todo.join(memory.select("src_lang", "chunk_hash"), ["src_lang", "chunk_hash"], "left_anti")
     if translator is None:
@@ -183,7 +189,7 @@ def translate_texts(texts: DataFrame, key_cols, glossary: DataFrame | None = Non
     else:
         fresh = pandas_translator(todo.select("src_lang", "chunk_hash", "source_text"), translator)
     known = fresh if memory is None else memory.select("src_lang", "chunk_hash", "translated_text").unionByName(fresh)
-    looked = lookup_translations(chunks, known)
+    looked = lookup_translations(chunks, known, hot=hot)
     return reassemble(looked, keys, "translated", "translated_text"), fresh
 
 
