@@ -7,14 +7,27 @@ Integers are exposed as BIGINT on both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import extract as X
-from ..sources.pages import decode_pages, load_pages, read_table, spread
+from ..functions import markup as M
+from ..operators import books as B
+from ..operators import language as LG
+from ..operators import nodes as ND
+from ..operators import translate as TR
+from ..operators.chains import follow_chain
+from ..operators.numbering import number_within
+from ..operators.skew import split_hot_join
+from ..session import scratch_path
+from ..sources import sinks as SK
+from ..sources.pages import decode_pages, declares_gbk, load_pages, read_table, spread
+from ..sources.pages import read_landing, write_landing
+from ..streaming.ingest import ingest_pages
+from .build import build_books as _build_books
 
 QUERIES: dict = {}
 
@@ -175,7 +188,6 @@ def strip_tokens(spark, sf_dir):
 @register
 def declared_charset(spark, sf_dir):
     p = load_pages(spark, sf_dir)
-    from ..sources.pages import declares_gbk
     return p.select("page_id", declares_gbk(F.encode("html", "UTF-8")).alias("declared_gbk"),
                     H.declared_charset("html").alias("declared_charset"))
 
@@ -188,13 +200,6 @@ def page_text(spark, sf_dir):
 
 # --- shared derivations -----------------------------------------------------
 
-from ..functions import markup as M  # noqa: E402
-from ..operators import books as B  # noqa: E402
-from ..operators import language as LG  # noqa: E402
-from ..operators import translate as TR  # noqa: E402
-from ..operators.chains import follow_chain  # noqa: E402
-from ..operators.numbering import number_within  # noqa: E402
-
 
 def _numbered(spark, sf_dir):
     """(book_id, page_id, url, chapter_no) per page (F1); keys only."""
@@ -306,7 +311,6 @@ def toc_join_pages(spark, sf_dir):
     num = _numbered(spark, sf_dir)
     links = _contents_links(spark, sf_dir, num)
     pages = load_pages(spark, sf_dir).select(F.col("url").alias("link_url"), F.col("page_id").alias("target_page_id"))
-    from ..operators.skew import split_hot_join
     return split_hot_join(links, pages, ["link_url"], "left").select(
         "book_id", "from_page_id", "pos", "kind", "link_url", "target_page_id")
 
@@ -401,7 +405,6 @@ def first_occurrence(spark, sf_dir):
 
 @register
 def order_chapters(spark, sf_dir):
-    from pyspark.sql import Window
     k = _link_keys(spark, sf_dir)
     w = Window.partitionBy("page_id").orderBy("sort_key", "pos")  # one contents page: bounded
     return k.select("page_id", "pos", "href", F.row_number().over(w).cast("long").alias("order_no"))
@@ -487,13 +490,6 @@ def apply_corrections(spark, sf_dir):
 
 # --- sources / sinks / job / nodes / stream ---------------------------------
 
-from ..operators import nodes as ND  # noqa: E402
-from ..session import scratch_path  # noqa: E402
-from ..sources import sinks as SK  # noqa: E402
-from ..sources.pages import read_landing, write_landing  # noqa: E402
-from ..streaming.ingest import ingest_pages  # noqa: E402
-from .build import build_books as _build_books  # noqa: E402
-
 
 @register
 def landing_roundtrip(spark, sf_dir):
