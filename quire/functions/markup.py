@@ -14,9 +14,32 @@ UNKNOWN_AUTHOR = "Unknown"
 PARAGRAPH_JOIN = "</p><p>"
 TITLE_PAGE_FILE = "titlepage.html"
 NAV_ITEM = "nav"
+# Chapter file: heading, then the body in a div whose id is the title.
+CHAPTER_TEMPLATE = '<h1>{title}</h1>\n<div id="{title}">{body}</div>\n'
+# Title page: title, notice, title and author lines, cover heading.
+TITLE_PAGE_TEMPLATE = (
+    '<html><head><title>{title}</title><meta charset="utf-8"/></head><body>'
+    '<div class="title">{title}</div><div>{notice}</div><div>Title: {title}</div>'
+    '<div>Author: {author}</div><div class="cover"><h1 id="titlepage">{title}</h1>'
+    '<h2>by {author}</h2></div></body></html>')
 # ---------------------------------------------------------------------------
 
 
+def template_parts(template: str):
+    """Split a '{name}' template into literal text and field names, in order."""
+    import re
+    out = []
+    for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+        if piece or i % 2:
+            out.append(("field" if i % 2 else "text", piece))
+    return out
+
+
+def fill(template: str, **fields) -> Column:
+    """Template filled with Columns (one ``concat``; fields must be non-NULL)."""
+    return F.concat(*[F.lit(v) if k == "text" else fields[v] for k, v in template_parts(template)])
+
+
 def chapter_file_name(chapter_no) -> Column:
     return F.concat(F.lit("chapter"), _c(chapter_no).cast("string"), F.lit(".html"))
 
@@ -32,20 +55,12 @@ def wrap_paragraphs(content) -> Column:
 
 
 def chapter_html(title, body_markup) -> Column:
-    """<h1>title</h1>\\n<div id="title">body</div>\\n (title escaped, NULL-safe)."""
+    """Chapter markup with the title escaped (NULL-safe), well-formed."""
     t = escape_html(F.coalesce(_c(title), F.lit("")))
-    return F.concat(F.lit("<h1>"), t, F.lit("</h1>\n<div id=\""), t, F.lit("\">"),
-                    F.coalesce(_c(body_markup), F.lit("")), F.lit("</div>\n"))
+    return fill(CHAPTER_TEMPLATE, title=t, body=F.coalesce(_c(body_markup), F.lit("")))
 
 
 def title_page_html(title, author) -> Column:
     t = escape_html(F.coalesce(_c(title), F.lit("")))
     a = escape_html(F.coalesce(_c(author), F.lit(UNKNOWN_AUTHOR)))
-    return F.concat(
-        F.lit('<html><head><title>'), t, F.lit('</title><meta charset="utf-8"/></head><body>'),
-        F.lit('<div class="title">'), t, F.lit("</div>"),
-        F.lit("<div>" + NOTICE + "</div>"),
-        F.lit("<div>Title: "), t, F.lit("</div>"),
-        F.lit("<div>Author: "), a, F.lit("</div>"),
-        F.lit('<div class="cover"><h1 id="titlepage">'), t, F.lit("</h1><h2>by "), a,
-        F.lit("</h2></div></body></html>"))
+    return fill(TITLE_PAGE_TEMPLATE, title=t, author=a, notice=F.lit(NOTICE))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.text import LABEL_SEPARATOR, label_value, unicode_strip
+from ..functions.urls import LAST_PAGE_TEXT, NEXT_PAGE_TEXT  # noqa: F401
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
@@ -76,8 +77,9 @@ def anchors_with_href(links: DataFrame) -> DataFrame:
     return links.where(F.col("href").isNotNull())
 
 
-def link_by_text(links: DataFrame, label: str) -> DataFrame:
-    """Per page, the first link whose text equals ``label``."""
+def link_by_text(links: DataFrame, label: str = NEXT_PAGE_TEXT) -> DataFrame:
+    """Per page, the first link whose text equals ``label`` (default: the
+    "next page" link text; ``LAST_PAGE_TEXT`` finds the last-page link)."""
     return (links.where((F.col("link_text") == label) & F.col("href").isNotNull())
                  .groupBy("page_id")
                  .agg(F.min_by("href", "pos").alias("href"), F.min("pos").alias("pos")))

@@ -364,10 +364,14 @@ def _():
         "UNION ALL SELECT book_id, toc_page, pos, href FROM TL WHERE toc_page > 1")
 
 
+def _fill_sql(template: str, **fields) -> str:
+    return " || ".join(q(v) if k == "text" else fields[v] for k, v in M.template_parts(template))
+
+
 def _chapter_html_sql(title: str, content: str) -> str:
     t = S.escape_html(f"coalesce({title}, '')")
     body = f"(CASE WHEN coalesce({content}, '') = '' THEN '' ELSE '<p>' || {content} || '</p>' END)"
-    return f"'<h1>' || {t} || '</h1>' || chr(10) || '<div id=\"' || {t} || '\">' || {body} || '</div>' || chr(10)"
+    return _fill_sql(M.CHAPTER_TEMPLATE, title=t, body=body)
 
 
 @sql("chapter_html")
@@ -380,11 +384,7 @@ def _():
 def _title_page_sql(title: str, author: str) -> str:
     t = S.escape_html(f"coalesce({title}, '')")
     a = S.escape_html(f"coalesce({author}, {q(M.UNKNOWN_AUTHOR)})")
-    return ("'<html><head><title>' || " + t + " || '</title><meta charset=\"utf-8\"/></head><body>' || "
-            "'<div class=\"title\">' || " + t + " || '</div>' || " + q("<div>" + M.NOTICE + "</div>") + " || "
-            "'<div>Title: ' || " + t + " || '</div>' || '<div>Author: ' || " + a + " || '</div>' || "
-            "'<div class=\"cover\"><h1 id=\"titlepage\">' || " + t + " || '</h1><h2>by ' || " + a
-            + " || '</h2></div></body></html>'")
+    return _fill_sql(M.TITLE_PAGE_TEMPLATE, title=t, author=a, notice=q(M.NOTICE))
 
 
 _BOOK_AUTHOR = ("(CASE WHEN contains(" + _META_TITLE + ", 'Author:') THEN "
@@ -466,7 +466,7 @@ def _build_sql(select: str) -> str:
     body = ("(CASE WHEN coalesce(CO.normalized, false) THEN coalesce(BW.t_body, '') ELSE "
             "(CASE WHEN coalesce(BW.t_body, '') = '' THEN '' ELSE '<p>' || BW.t_body || '</p>' END) END)")
     t = S.escape_html("coalesce(BW.t_title, '')")
-    html = f"'<h1>' || {t} || '</h1>' || chr(10) || '<div id=\"' || {t} || '\">' || {body} || '</div>' || chr(10)"
+    html = _fill_sql(M.CHAPTER_TEMPLATE, title=t, body=body)
     final = ("FB AS (SELECT N.book_id, N.chapter_no, N.page_id, BEST.lang AS src_lang, BW.t_title AS title, "
              f"'chapter' || N.chapter_no || '.html' AS file_name, {html} AS chapter_html FROM N "
              "LEFT JOIN BEST ON N.page_id = BEST.page_id LEFT JOIN CO ON N.page_id = CO.page_id "

@@ -73,3 +73,16 @@ def test_nodes_and_rules(spark):
     assert not any(k[0] == 4 for k in got)
     img = nodes.where("tag = 'img'").select(F.col("attrs")["src"].alias("src")).first()["src"]
     assert img == "/cover.jpg"
+
+
+def test_link_by_text_next_and_last(spark):
+    from quire.functions.urls import LAST_PAGE_TEXT, NEXT_PAGE_TEXT, page_number
+    from quire.operators.extract import link_by_text
+    links = spark.createDataFrame(
+        [(1, 0, "上壹頁", "/book-7-1.html"), (1, 1, NEXT_PAGE_TEXT, "/book-7-3.html"),
+         (1, 2, LAST_PAGE_TEXT, "/book-7-9.html"), (1, 3, NEXT_PAGE_TEXT, "/dup.html"), (2, 0, "x", "/y")],
+        "page_id long, pos long, link_text string, href string")
+    nxt = {r["page_id"]: r["href"] for r in link_by_text(links).collect()}
+    assert nxt == {1: "/book-7-3.html"}
+    last = link_by_text(links, LAST_PAGE_TEXT).select(page_number("href").alias("n")).first()["n"]
+    assert last == "9"
