@@ -16,6 +16,8 @@ TITLE_PAGE_FILE = "titlepage.html"
 NAV_ITEM = "nav"
 # Chapter file: heading, then the body in a div whose id is the title.
 CHAPTER_TEMPLATE = '<h1>{title}</h1>\n<div id="{title}">{body}</div>\n'
+# Page of the "next page" site: numbered heading, div id = page number.
+PAGE_TEMPLATE = '<h1>Page {page_no}</h1>\n<div id="{page_no}">{body}</div>\n'
 # Title page: title, notice, title and author lines, cover heading.
 TITLE_PAGE_TEMPLATE = (
     '<html><head><title>{title}</title><meta charset="utf-8"/></head><body>'
@@ -44,6 +46,10 @@ def chapter_file_name(chapter_no) -> Column:
     return F.concat(F.lit("chapter"), _c(chapter_no).cast("string"), F.lit(".html"))
 
 
+def numbered_page_file_name(page_no) -> Column:
+    return F.concat(F.lit("page"), _c(page_no).cast("string"), F.lit(".html"))
+
+
 def page_file_name(idx) -> Column:
     return F.concat(F.lit("page_"), _c(idx).cast("string"), F.lit(".txt"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import markup as M
+from ..functions import text as T
 from ..operators import books as B
 from ..operators import extract as X
 from ..operators import language as LG
@@ -48,3 +49,28 @@ def build_books(pages: DataFrame, training_docs: DataFrame, glossary: DataFrame
     return j.select("book_id", "chapter_no", "page_id", "src_lang", F.col("t_title").alias("title"),
                     M.chapter_file_name("chapter_no").alias("file_name"),
                     M.chapter_html("t_title", body).alias("chapter_html"))
+
+
+def build_next_page_book(chain: DataFrame, pages: DataFrame, glossary: DataFrame | None = None,
+                         translator=None) -> DataFrame:
+    """The "next page" site's flow: pages in chain order; each page's body
+    text has junk tokens removed, is split on two ideographic spaces, every
+    non-empty piece is translated (distinct chunks once), pieces are joined
+    with '</p><p>' in order and rendered as "Page n".  ``chain`` is
+    (book_id, page_no, url); ``pages`` (page_id, url, html)."""
+    body = pages.select("page_id", "url", H.html_lang("html").alias("src_lang"),
+                        T.strip_tokens(H.node_text(F.coalesce(H.article(H.drop_scripts("html")), F.lit(""))))
+                        .alias("body"))
+    pieces = (body.select("page_id", "src_lang",
+                          F.posexplode(T.split_pieces("body", T.IDEOGRAPHIC_PARAGRAPH)).alias("piece_no", "text"))
+                  .where(F.col("text") != "")
+                  .withColumn("piece_no", F.col("piece_no").cast("long")))
+    tr, _ = TR.translate_texts(pieces, ["page_id", "piece_no"], glossary=glossary, translator=translator)
+    joined = B.join_paragraphs(tr.select("page_id", F.col("piece_no").alias("pos"),
+                                         F.col("translated_text").alias("text")).where(F.col("text").isNotNull()),
+                               ["page_id"], out_col="content")
+    j = (chain.join(body.select("page_id", "url"), "url")
+              .join(joined, "page_id", "left"))
+    return j.select("book_id", "page_no", M.numbered_page_file_name("page_no").alias("file_name"),
+                    M.fill(M.PAGE_TEMPLATE, page_no=F.col("page_no").cast("string"),
+                           body=M.wrap_paragraphs("content")).alias("page_html"))

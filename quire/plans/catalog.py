@@ -28,6 +28,7 @@ from ..sources.pages import decode_pages, declares_gbk, load_pages, read_table,
 from ..sources.pages import read_landing, write_landing
 from ..streaming.ingest import ingest_pages
 from .build import build_books as _build_books
+from .build import build_next_page_book
 
 QUERIES: dict = {}
 
@@ -547,3 +548,10 @@ def stream_ingest(spark, sf_dir):
     landed = scratch_path(spark, "ingest-landed")
     ckpt = scratch_path(spark, "ingest-checkpoint")
     return ingest_pages(spark, sf_dir, landed, ckpt)
+
+
+@register
+def next_page_book(spark, sf_dir):
+    """The "next page" site end to end on the test tables (chain = pages of a
+    host in order)."""
+    return build_next_page_book(_chain(spark, sf_dir), load_pages(spark, sf_dir))

@@ -534,3 +534,23 @@ def _():
         f"SELECT P.page_id, P.url, P.book_id, CAST(length(P.html) AS BIGINT) AS n_chars, "
         f"{S.title_text(S.drop_scripts('P.html'))} AS title, coalesce(CT.content, '') AS content "
         "FROM P LEFT JOIN CT ON P.page_id = CT.page_id")
+
+
+@sql("next_page_book")
+def _():
+    body = S.node_text("coalesce(" + S.first_or_null(S.drop_scripts("html"), H.ARTICLE) + ", '')")
+    for t in T.JUNK_TOKENS:
+        body = f"replace({body}, {q(t)}, '')"
+    pieces = ("PS AS (SELECT page_id, src_lang, piece_no, text FROM (SELECT page_id, src_lang, "
+              "generate_subscripts(l, 1) - 1 AS piece_no, unnest(l) AS text FROM (SELECT page_id, "
+              + S.first_or_null("html", H.HTML_LANG) + " AS src_lang, string_split(" + body + ", "
+              + q(T.IDEOGRAPHIC_PARAGRAPH) + ") AS l FROM P)) WHERE text <> '')")
+    joined = ("PJ AS (SELECT page_id, string_agg(translated_text, '</p><p>' ORDER BY piece_no) AS content "
+              "FROM QR WHERE translated_text IS NOT NULL GROUP BY page_id)")
+    content = "PJ.content"
+    wrapped = f"(CASE WHEN coalesce({content}, '') = '' THEN '' ELSE '<p>' || {content} || '</p>' END)"
+    html = _fill_sql(M.PAGE_TEMPLATE, page_no="CAST(CH.page_no AS VARCHAR)", body=wrapped)
+    return S.with_rec(S.PAGES, S.EDGES, S.WALK, S.CHAIN, pieces, *S.glossary_ctes(),
+                      *S.translate_ctes("PS", "page_id, piece_no", "Q"), joined) + (
+        f"SELECT CH.book_id, CH.page_no, 'page' || CH.page_no || '.html' AS file_name, {html} AS page_html "
+        "FROM CH JOIN P ON CH.url = P.url LEFT JOIN PJ ON P.page_id = PJ.page_id")

@@ -66,3 +66,18 @@ def test_split_hot_join_equals_plain_join(spark):
         got = sorted(map(tuple, split_hot_join(left, right, ["k"], how, hot_rows=10).collect()))
         want = sorted(map(tuple, left.join(right, ["k"], how).collect()))
         assert got == want, how
+
+
+def test_next_page_book_splits_on_ideographic_spaces(spark):
+    from quire.plans.build import build_next_page_book
+    html1 = '<html lang="zh"><body><article><p>　　第一段%e5%90%bb\r\n　　第二段</p></article></body></html>'
+    html2 = '<html lang="zh"><body><article><p>末頁</p></article></body></html>'
+    pages = spark.createDataFrame([(1, "u1", html1), (2, "u2", html2)], "page_id long, url string, html string")
+    chain = spark.createDataFrame([("b", 1, "u1"), ("b", 2, "u2")], "book_id string, page_no long, url string")
+
+    def mark(texts, lang):
+        return "[" + texts + "]"
+
+    got = {r["page_no"]: r["page_html"] for r in build_next_page_book(chain, pages, translator=mark).collect()}
+    assert got[1] == '<h1>Page 1</h1>\n<div id="1"><p>[第一段]</p><p>[第二段]</p></div>\n'
+    assert got[2] == '<h1>Page 2</h1>\n<div id="2"><p>[末頁]</p></div>\n'
