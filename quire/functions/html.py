@@ -39,20 +39,21 @@ ESCAPES = (
 )
 # ---------------------------------------------------------------------------
 
-SCRIPT_STYLE = r"(?s)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
+# Tag patterns are case-insensitive, as HTML is.
+SCRIPT_STYLE = r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
 TAG = r"<[^>]*>"
-ARTICLE = r"(?s)<article\b[^>]*>(.*?)</article>"
-PARAGRAPH = r"<p\b[^>]*>(?:<b>)?([^<]*)"
-ANCHOR = r"(?s)<a\b([^>]*)>(.*?)</a>"
-HREF = r"""\bhref\s*=\s*"([^"]*)\""""
-HAS_HREF = r"\bhref\s*="
-H1 = r"(?s)<h1\b[^>]*>(.*?)</h1>"
-TITLE = r"(?s)<title\b[^>]*>(.*?)</title>"
-FOOTER = r"(?s)<footer\b[^>]*>(.*?)</footer>"
-NAV = r"(?s)<nav\b[^>]*>(.*?)</nav>"
+ARTICLE = r"(?is)<article\b[^>]*>(.*?)</article>"
+PARAGRAPH = r"(?i)<p\b[^>]*>(?:<b>)?([^<]*)"
+ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a>"
+HREF = r"""(?i)\bhref\s*=\s*"([^"]*)\""""
+HAS_HREF = r"(?i)\bhref\s*="
+H1 = r"(?is)<h1\b[^>]*>(.*?)</h1>"
+TITLE = r"(?is)<title\b[^>]*>(.*?)</title>"
+FOOTER = r"(?is)<footer\b[^>]*>(.*?)</footer>"
+NAV = r"(?is)<nav\b[^>]*>(.*?)</nav>"
 AD_DIV = r"""(?s)<div\s+class="ad"[^>]*>(.*?)</div>"""
-IMG_SRC = r"""<img\b[^>]*\bsrc\s*=\s*"([^"]*)\""""
-HTML_LANG = r"""<html\b[^>]*\blang\s*=\s*"([^"]*)\""""
+IMG_SRC = r"""(?i)<img\b[^>]*\bsrc\s*=\s*"([^"]*)\""""
+HTML_LANG = r"""(?i)<html\b[^>]*\blang\s*=\s*"([^"]*)\""""
 META_CHARSET = r"""(?i)<meta\b[^>]*\bcharset\s*=\s*"?([A-Za-z0-9_-]+)"""
 
 

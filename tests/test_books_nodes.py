@@ -86,3 +86,17 @@ def test_link_by_text_next_and_last(spark):
     assert nxt == {1: "/book-7-3.html"}
     last = link_by_text(links, LAST_PAGE_TEXT).select(page_number("href").alias("n")).first()["n"]
     assert last == "9"
+
+
+def test_extraction_is_case_insensitive(spark):
+    from quire.operators import extract as X
+    html = ('<HTML LANG="fr"><HEAD><TITLE>T</TITLE><SCRIPT>var t="</P>";</SCRIPT></HEAD><BODY><NAV><A HREF="/x">X</A></NAV>'
+            '<ARTICLE><H1>Titre &amp Co</H1><P><B>Un<BR><P>Deux</P></ARTICLE></BODY></HTML>')
+    pages = spark.createDataFrame([(1, "http://h.example/1", html)], "page_id long, url string, html string") \
+        .withColumn("book_id", F.lit("h.example"))
+    paras = [r["text"] for r in X.explode_paragraphs(pages).orderBy("pos").collect()]
+    assert paras == ["Un", "Deux"]
+    links = X.nav_links(pages).collect()
+    assert [(r["href"], r["link_text"]) for r in links] == [("/x", "X")]
+    meta = X.page_metadata(pages).first()
+    assert (meta["title"], meta["html_lang"]) == ("Titre & Co", "fr")
