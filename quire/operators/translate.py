@@ -57,6 +57,10 @@ GLOSSARY_ROWS = (
 )
 # Largest glossary (rows) that is broadcast; beyond it the join shuffles.
 BROADCAST_MAX_ROWS = 2_000_000
+# Largest glossary (entries) used as an in-expression map literal.
+MAP_MAX_ROWS = 10_000
+# Separator of (lang, word) in map keys; never inside a language code.
+_SEP = "\x01"
 # ---------------------------------------------------------------------------
 
 GLOSSARY_SCHEMA = T.StructType([
@@ -109,11 +113,29 @@ def glossary_translate(texts: DataFrame, glossary: DataFrame, key_cols,
     """Word-level glossary translation of short texts (chunks).
 
     Tokens are split on ' ' (empty tokens kept, so untouched text comes back
-    byte for byte), looked up on (lang, lower(token)) and re-joined in
-    order.  Each group is one chunk, so its size is bounded."""
+    byte for byte), looked up on (lang, lower(token)) and re-joined in order.
+
+    A glossary within ``MAP_MAX_ROWS`` entries (counted, or known for a
+    literal) becomes a map literal looked up inside ``transform``: a narrow
+    projection, no explode, join or shuffle.  A larger one is joined to the
+    exploded tokens (broadcast when within ``BROADCAST_MAX_ROWS``) and the
+    tokens re-joined per text; each group is one chunk, so it is bounded."""
     keys = list(key_cols)
-    # resolved entries <= glossary rows; the built-in glossary's size is known
-    g = sized_broadcast(resolve_glossary(glossary), known_rows=getattr(glossary, "literal_rows", None))
+    resolved = resolve_glossary(glossary)
+    known = getattr(glossary, "literal_rows", None)
+    n = known if known is not None else resolved.count()
+    if n <= MAP_MAX_ROWS:
+        entries = resolved.collect()  # at most MAP_MAX_ROWS rows: checked above
+        lang = F.col(lang_col)
+        if entries:
+            gmap = F.map_from_arrays(F.lit([f"{r['lang']}{_SEP}{r['src']}" for r in entries]),
+                                     F.lit([r["dst"] for r in entries]))
+            word = lambda w: F.coalesce(F.try_element_at(gmap, F.concat(lang, F.lit(_SEP), F.lower(w))), w)
+            out = F.array_join(F.transform(F.split(F.col(text_col), " ", -1), word), " ")
+        else:
+            out = F.col(text_col)
+        return texts.select(*keys, out.alias(out_col))
+    g = sized_broadcast(resolved, known_rows=n)
     toks = texts.select(*keys, F.col(lang_col).alias("_lang"),
                         F.posexplode(F.split(F.col(text_col), " ", -1)).alias("_tpos", "_tok"))
     j = toks.join(g, (toks["_lang"] == g["lang"]) & (F.lower(toks["_tok"]) == g["src"]), "left")

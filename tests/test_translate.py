@@ -81,3 +81,14 @@ def test_next_page_book_splits_on_ideographic_spaces(spark):
     got = {r["page_no"]: r["page_html"] for r in build_next_page_book(chain, pages, translator=mark).collect()}
     assert got[1] == '<h1>Page 1</h1>\n<div id="1"><p>[第一段]</p><p>[第二段]</p></div>\n'
     assert got[2] == '<h1>Page 2</h1>\n<div id="2"><p>[末頁]</p></div>\n'
+
+
+def test_glossary_map_and_join_paths_agree(spark, monkeypatch):
+    from quire.operators import translate as TRm
+    texts = spark.createDataFrame([("fr", "h1", "De la  maison, la"), ("de", "h2", "Der Hund und die Katze"),
+                                   ("en", "h3", "the de la")], "src_lang string, chunk_hash string, source_text string")
+    g = TRm.glossary_frame(spark)
+    via_map = {r["chunk_hash"]: r["translated_text"] for r in TRm.glossary_translate(texts, g, ["src_lang", "chunk_hash"]).collect()}
+    monkeypatch.setattr(TRm, "MAP_MAX_ROWS", 0)
+    via_join = {r["chunk_hash"]: r["translated_text"] for r in TRm.glossary_translate(texts, g, ["src_lang", "chunk_hash"]).collect()}
+    assert via_map == via_join == {"h1": "from the  maison, the", "h2": "the Hund and the Katze", "h3": "the de la"}
