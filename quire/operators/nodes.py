@@ -174,7 +174,7 @@ def parse_nodes(html: str):
                "".join(n["parts"]), n["first_text"] or "")
 
 
-@udtf(returnType=NODE_SCHEMA)
+@udtf(returnType=NODE_SCHEMA, useArrow=True)
 class HtmlNodes:
     def eval(self, html: str):
         yield from parse_nodes(html)
