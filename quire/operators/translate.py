@@ -102,9 +102,12 @@ def distinct_chunks(chunks: DataFrame, lang_col: str = "src_lang") -> DataFrame:
     """E5: one row per (src_lang, chunk_hash), with the number of uses.
     A partial aggregate runs before the shuffle, so a chunk repeated across
     a third of the corpus is collapsed map-side."""
+    # the text is a grouping key (hash <-> text is one-to-one), not an
+    # aggregated value: the aggregate stays hash-based (a string buffer
+    # would force a sort-based one)
     return (chunks.withColumn("chunk_hash", chunk_hash("chunk"))
-                  .groupBy(F.col(lang_col).alias("src_lang"), "chunk_hash")
-                  .agg(F.min("chunk").alias("source_text"), F.count(F.lit(1)).alias("n_uses")))
+                  .groupBy(F.col(lang_col).alias("src_lang"), "chunk_hash", F.col("chunk").alias("source_text"))
+                  .agg(F.count(F.lit(1)).alias("n_uses")))
 
 
 def glossary_translate(texts: DataFrame, glossary: DataFrame, key_cols,
