@@ -92,3 +92,10 @@ def test_glossary_map_and_join_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(TRm, "MAP_MAX_ROWS", 0)
     via_join = {r["chunk_hash"]: r["translated_text"] for r in TRm.glossary_translate(texts, g, ["src_lang", "chunk_hash"]).collect()}
     assert via_map == via_join == {"h1": "from the  maison, the", "h2": "the Hund and the Katze", "h3": "the de la"}
+
+
+def test_language_detection_agrees_with_declared_lang(spark):
+    import __spark_entry__ as E
+    rows = E.queries()["detect_language"](spark, "/root/testdata/sf0.01").collect()
+    hits = sum(1 for r in rows if r["lang"] == r["html_lang"])
+    assert len(rows) == 250 and hits / len(rows) >= 0.95
