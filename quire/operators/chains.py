@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, shared_root
 
+# Largest number of explicit start pages broadcast to the final filter.
+BROADCAST_MAX_STARTS = 2_000_000
+
 
 def follow_chain(edges: DataFrame, starts: DataFrame | None = None,
                  src: str = "from_url", dst: str = "to_url") -> DataFrame:
@@ -76,7 +79,11 @@ def follow_chain(edges: DataFrame, starts: DataFrame | None = None,
     out = state.where("done")
     if explicit:
         # heads that are not starts are dropped (every head is a start by
-        # default).  ptr is hot here (a whole chain shares its head): AQE
-        # splits the skewed side of the semi join.
-        out = out.join(starts.select(F.col("node").alias("ptr")), "ptr", "left_semi")
+        # default).  ptr is hot here (a whole chain shares its head): the
+        # starts are broadcast when within the bound, so no row moves; else a
+        # shuffle join whose skewed side AQE splits.
+        st = starts.select(F.col("node").alias("ptr"))
+        if st.count() <= BROADCAST_MAX_STARTS:
+            st = F.broadcast(st)
+        out = out.join(st, "ptr", "left_semi")
     return out.select(F.col("ptr").alias("head"), "node", (F.col("dist") + 1).alias("page_no"))
