@@ -37,9 +37,11 @@ def build_books(pages: DataFrame, training_docs: DataFrame, glossary: DataFrame
                    .unionByName(content.select("page_id", F.lit("body").alias("part"), F.col("content").alias("text")))
                    .join(langs, "page_id"))
     tr, _ = TR.translate_texts(texts, ["page_id", "part"], glossary=glossary, memory=memory, translator=translator)
+    # two rows per page (title, body) -> one; collect_list keeps the
+    # aggregate hash-based (a max over strings would force a sort)
     wide = (tr.groupBy("page_id")
-              .agg(F.max(F.when(F.col("part") == "title", F.col("translated_text"))).alias("t_title"),
-                   F.max(F.when(F.col("part") == "body", F.col("translated_text"))).alias("t_body")))
+              .agg(F.map_from_entries(F.collect_list(F.struct("part", "translated_text"))).alias("_m"))
+              .select("page_id", F.col("_m")["title"].alias("t_title"), F.col("_m")["body"].alias("t_body")))
     j = (num.select("page_id", "book_id", "chapter_no")
             .join(langs, "page_id", "left")
             .join(content.select("page_id", "normalized"), "page_id", "left")
