@@ -102,3 +102,13 @@ def chapters_per_book(chapters: DataFrame) -> DataFrame:
 
 def absolute(links: DataFrame) -> DataFrame:
     return links.withColumn("link_url", U.absolutise("href", U.split_url_head("url")))
+
+
+def book_metadata(pages: DataFrame) -> DataFrame:
+    """B4 per book: metadata of each book's first page.  The first page is
+    picked with a partial aggregate (min_by), not a sort of the whole book."""
+    from .extract import page_metadata
+    first = (pages.groupBy("book_id").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("f"))
+                  .select("book_id", "f.page_id", "f.url", "f.html"))
+    return page_metadata(first).select("book_id", "title", "author", "description", "cover_url",
+                                       F.col("html_lang").alias("language_code"))

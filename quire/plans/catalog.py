@@ -258,14 +258,7 @@ def _contents(spark, sf_dir):
 
 
 def _book_meta(spark, sf_dir, num=None):
-    """Metadata of each book's first page: the first page is picked with a
-    partial aggregate (min_by), not a sort of the whole book."""
-    p = load_pages(spark, sf_dir)
-    first = (p.groupBy("book_id").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("f"))
-              .select("book_id", "f.page_id", "f.url", "f.html"))
-    meta = X.page_metadata(first)
-    return meta.select("book_id", "title", "author", "description", "cover_url",
-                       F.col("html_lang").alias("language_code"))
+    return B.book_metadata(load_pages(spark, sf_dir))
 
 
 # --- 2.3 chains -------------------------------------------------------------
