@@ -56,3 +56,15 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(sdf.columns) == sorted(dcols)
     assert len(srows) == len(drows)
     assert _digest(sdf.columns, srows)[0] == _digest(dcols, drows)[0]
+
+
+def test_command_line_builds_books(spark, tmp_path):
+    from quire.__main__ import main
+    out = str(tmp_path / "out")
+    main(["--pages", f"{SF0001}/pages.parquet", "--training-docs", f"{SF0001}/documents.parquet", "--out", out])
+    from quire.sources import sinks as SK
+    chapters = SK.read_chapter_files(spark, f"{out}/chapters")
+    books = SK.read_books(spark, f"{out}/books")
+    assert chapters.count() == 50
+    assert books.count() == chapters.select("book_id").distinct().count()
+    assert books.agg({"n_chapters": "sum"}).first()[0] == 50
