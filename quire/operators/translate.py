@@ -181,6 +181,7 @@ def pandas_translator(unknown: DataFrame, fn: Callable[[pd.Series, str], pd.Seri
         for pdf in batches:
             out = []
             for lang, part in pdf.groupby("src_lang", sort=False, dropna=False):
+                lang = None if pd.isna(lang) else lang
                 res = fn(part["source_text"], lang)
                 out.append(pd.DataFrame({"src_lang": lang, "chunk_hash": part["chunk_hash"].values,
                                          "translated_text": pd.Series(res).values}))
