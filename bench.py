@@ -18,7 +18,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from quire.plans.catalog import QUERIES  # noqa: E402
-from quire.session import get_session  # noqa: E402
+from quire.session import drop_scratch, get_session  # noqa: E402
 
 HEADLINE = ("chunk_text", "distinct_chunks", "detect_language", "translate_documents", "build_books")
 
@@ -36,6 +36,7 @@ def main() -> None:
             t0 = time.time()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times[name] = round(time.time() - t0, 3)
+            drop_scratch(spark)  # the query has run to the end: its intermediates can go
         passes.append(times)
     cold, warm = passes
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")

@@ -17,7 +17,7 @@ import os
 from .functions.urls import host
 from .operators import books as B
 from .plans.build import build_books
-from .session import get_session
+from .session import drop_scratch, get_session
 from .sources import sinks as SK
 
 
@@ -37,6 +37,7 @@ def main(argv=None) -> None:
     books = B.book_metadata(pages).join(B.chapters_per_book(written), "book_id")
     SK.export_books(books, os.path.join(a.out, "books"))
     print(f"chapters: {written.count()}  books: {books.count()}  -> {a.out}")
+    drop_scratch(spark)  # outputs are written; intermediates are no longer read
 
 
 if __name__ == "__main__":

@@ -67,9 +67,33 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique table location under the shared root."""
-    return os.path.join(shared_root(spark), "quire", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A new, unique table location under the shared root (remembered so
+    ``drop_scratch`` can remove it once results are written)."""
+    path = os.path.join(shared_root(spark), "quire", f"{name}-{uuid.uuid4().hex[:12]}")
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote.  Call only after
+    every DataFrame that reads them has been written out (they are lazy)."""
+    n = 0
+    while _SCRATCH:
+        path = _SCRATCH.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            if fs.exists(p):
+                fs.delete(p, True)
+                n += 1
+        except Exception:  # no JVM handle (e.g. Spark Connect): leave it
+            continue
+    return n
 
 
 def materialize(df, name: str):

@@ -68,3 +68,15 @@ def test_command_line_builds_books(spark, tmp_path):
     assert chapters.count() == 50
     assert books.count() == chapters.select("book_id").distinct().count()
     assert books.agg({"n_chapters": "sum"}).first()[0] == 50
+
+
+def test_drop_scratch_removes_only_own_tables(spark):
+    import os
+
+    from quire.session import drop_scratch, materialize
+    df = materialize(spark.range(10), "t-scratch")
+    assert df.count() == 10
+    path = df.inputFiles()[0]
+    assert os.path.exists(path.replace("file:", ""))
+    assert drop_scratch(spark) >= 1
+    assert not os.path.exists(path.replace("file:", ""))
