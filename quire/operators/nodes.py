@@ -214,3 +214,35 @@ def apply_rules(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     best = per_rule.groupBy("page_id", "field").agg(F.min("priority").alias("priority"))
     return per_rule.join(best, ["page_id", "field", "priority"]).select(
         "page_id", "field", F.col("n_nodes").cast("long").alias("n_nodes"), "first_text", "text")
+
+
+def select_nodes(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every node matched by the best-priority rule of its page's route, per
+    (page, field): (page_id, url, book_id, field, pos, text, first_text)."""
+    from .translate import sized_broadcast
+    n = nodes.withColumn("route", route("url"))
+    r = sized_broadcast(rules)
+    j = (n.join(r, (n["route"] == r["route"]) & F.regexp_like(n["path"], r["path_pattern"]))
+          .select("page_id", "url", "book_id", "field", "priority", "pos", "text", "first_text"))
+    best = j.groupBy("page_id", "field").agg(F.min("priority").alias("priority"))
+    return j.join(best, ["page_id", "field", "priority"]).drop("priority")
+
+
+def rule_features(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Per-page features for the book job from the route's selector rules:
+    title = first 'title' node, paragraphs = leading text of each 'body'
+    node in document order.  Same columns as ``extract.page_features``."""
+    from ..functions.text import unicode_strip
+    spark = pages.sparkSession
+    sel = select_nodes(html_nodes(pages), rules if rules is not None else rules_frame(spark))
+    per = (sel.groupBy("page_id")
+              .agg(F.min_by(F.when(F.col("field") == "title", F.col("first_text")),
+                            F.when(F.col("field") == "title", F.col("pos"))).alias("title"),
+                   F.sort_array(F.collect_list(F.when(F.col("field") == "body",
+                                                      F.struct("pos", "first_text")))).alias("_b")))
+    paras = F.transform("_b", lambda x: x["first_text"])
+    base = pages.select("page_id", "url", "book_id")
+    return (base.join(per, "page_id", "left")
+                .select("page_id", "url", "book_id", unicode_strip("title").alias("title"),
+                        F.array_join(F.coalesce(paras, F.array()), " ").alias("article_text"),
+                        F.coalesce(paras, F.array().cast("array<string>")).alias("paragraphs")))

@@ -23,9 +23,17 @@ from ..session import materialize
 
 
 def build_books(pages: DataFrame, training_docs: DataFrame, glossary: DataFrame | None = None,
-                memory: DataFrame | None = None, translator=None) -> DataFrame:
+                memory: DataFrame | None = None, translator=None, extraction: str = "regex",
+                rules: DataFrame | None = None) -> DataFrame:
+    """``extraction='regex'`` reads title/body with native regexes (fast
+    path, for <article>/<h1>/<p> pages); ``'rules'`` takes them from the
+    route's selector rules over the HTML-node UDTF (any site in the rules)."""
     # one scan of the page bodies; every branch below reads this narrow table
-    feats = materialize(X.page_features(pages), "page-features")
+    if extraction == "rules":
+        from ..operators.nodes import rule_features
+        feats = materialize(rule_features(pages, rules), "page-features")
+    else:
+        feats = materialize(X.page_features(pages), "page-features")
     num = B.number_chapters(feats).select("page_id", "book_id", "chapter_no")
     titles = feats.select("page_id", "title")
     paras = X.drop_blank(X.paragraphs_of(feats)).select("page_id", "pos", "text")

@@ -502,6 +502,14 @@ def build_books(spark, sf_dir):
     return _build_books(load_pages(spark, sf_dir), _docs(spark, sf_dir))
 
 
+@register
+def build_books_by_rules(spark, sf_dir):
+    """J4 with title/body taken from the route's selector rules (C1 + D4)
+    instead of the regex fast path: the form that serves any site the rule
+    table describes.  Same result on these pages by construction."""
+    return _build_books(load_pages(spark, sf_dir), _docs(spark, sf_dir), extraction="rules")
+
+
 @register
 def chapter_files(spark, sf_dir):
     path = scratch_path(spark, "chapters")

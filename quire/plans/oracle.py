@@ -479,6 +479,11 @@ def _():
     return _build_sql("SELECT book_id, chapter_no, page_id, src_lang, title, file_name, chapter_html FROM FB")
 
 
+@sql("build_books_by_rules")
+def _():
+    return _build_sql("SELECT book_id, chapter_no, page_id, src_lang, title, file_name, chapter_html FROM FB")
+
+
 @sql("chapter_files")
 def _():
     return _build_sql("SELECT book_id, file_name, chapter_html FROM FB")
