@@ -100,3 +100,23 @@ def test_extraction_is_case_insensitive(spark):
     assert [(r["href"], r["link_text"]) for r in links] == [("/x", "X")]
     meta = X.page_metadata(pages).first()
     assert (meta["title"], meta["html_lang"]) == ("Titre & Co", "fr")
+
+
+def test_rule_features_on_site_pages(spark):
+    from quire.functions.urls import host
+    from quire.operators.nodes import rule_features
+    rows = [
+        (1, "https://www.shubaowb.com/1/2.html",
+         '<div class="title1">书名</div><div id="content"><p>第一段</p><p>第二段</p></div>'),
+        (2, "https://www.zhenhunxiaoshuo.com/x.html",
+         '<h1 class="focusbox-title">Tale</h1><div class="content-wrap"><div class="content">'
+         '<article class="article-content"><p>A</p><p>B</p></article></div></div>'),
+        (3, "https://www.sto.cx/book-1-2.html", '<h1>Page title</h1><div id="BookContent">　　甲　　乙</div>'),
+        (4, "https://unknown.example/p", "<p>no rule matches</p>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("book_id", host("url"))
+    got = {r["page_id"]: (r["title"], list(r["paragraphs"])) for r in rule_features(pages).collect()}
+    assert got[1] == ("书名", ["第一段", "第二段"])
+    assert got[2] == ("Tale", ["A", "B"])
+    assert got[3] == ("Page title", ["　　甲　　乙"])
+    assert got[4] == (None, [])
