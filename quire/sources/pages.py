@@ -103,3 +103,23 @@ def write_landing(df: DataFrame, path: str) -> None:
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def read_page_files(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
+    """A folder of fetched page files (one file per URL, as the reference's
+    landing area keeps them) as pages: ``binaryFile`` source, bytes through
+    the decode ladder.  ``idx`` is the list index in a 'page_<i>' file name
+    (else NULL); ``page_id`` is that index, or a stable hash of the path."""
+    raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+                .option("recursiveFileLookup", "true").load(folder)
+                .select(F.col("path").alias("url"), "content"))
+    idx = F.regexp_extract("url", r"page_(\d+)\.[^/]*$", 1)
+    idx = F.when(idx != "", idx.cast("long"))
+    out = decode_pages(raw.withColumn("idx", idx), "content").drop("content")
+    return out.withColumn("page_id", F.coalesce("idx", F.xxhash64("url")))
+
+
+def load_raw_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Pages stored as bytes (page_id, url, content binary): decoded, keyed by book."""
+    raw = spark.read.parquet(path).select("page_id", "url", "content")
+    return decode_pages(raw, "content").drop("content").withColumn("book_id", host("url"))

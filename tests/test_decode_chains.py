@@ -81,3 +81,13 @@ def test_chain_random_lists(spark):
     assert set(got) == heads
     for h in heads:
         assert got[h] == _walk(edges, h)
+
+
+def test_read_page_files(spark, tmp_path):
+    from quire.sources.pages import read_page_files
+    zh = "第一章 天下"
+    (tmp_path / "page_0.txt").write_bytes(("<p>" + zh + "</p>").encode("utf-8"))
+    (tmp_path / "page_1.txt").write_bytes(b'<meta charset="gbk">' + zh.encode("gbk"))
+    (tmp_path / "notes.md").write_bytes(b"ignored")
+    got = {r["idx"]: (r["charset"], r["html"]) for r in read_page_files(spark, str(tmp_path)).collect()}
+    assert got == {0: ("utf-8", "<p>" + zh + "</p>"), 1: ("gbk", '<meta charset="gbk">' + zh)}
