@@ -22,7 +22,7 @@ from ..operators import translate as TR
 from ..operators.chains import follow_chain
 from ..operators.numbering import number_within
 from ..operators.skew import split_hot_join
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import sinks as SK
 from ..sources.pages import decode_pages, declares_gbk, load_pages, read_table, spread
 from ..sources.pages import read_landing, write_landing
@@ -297,7 +297,9 @@ def _contents_links(spark, sf_dir, num):
     nxt = (edges.join(num.select(F.col("url").alias("from_url"), F.col("page_id").alias("from_page_id")), "from_url")
                 .select("book_id", "from_page_id", F.lit(None).cast("long").alias("pos"),
                         F.lit("next").alias("kind"), F.col("to_url").alias("link_url")))
-    return nav.unionByName(nxt)
+    # written once: the hot-key count and the join both read it, so page
+    # bodies are scanned for links a single time
+    return materialize(nav.unionByName(nxt), "contents-links")
 
 
 @register
