@@ -21,7 +21,7 @@ from ..operators import nodes as ND
 from ..operators import translate as TR
 from ..operators.chains import follow_chain
 from ..operators.numbering import number_within
-from ..operators.skew import split_hot_join
+from ..operators.skew import HOT_ROWS, split_hot_join
 from ..session import materialize, scratch_path
 from ..sources import sinks as SK
 from ..sources.pages import decode_pages, declares_gbk, load_pages, read_table, spread
@@ -320,7 +320,14 @@ def missing_chapters(spark, sf_dir):
 
 @register
 def translate_lookup(spark, sf_dir):
-    looked = TR.lookup_translations(_doc_chunks(spark, sf_dir), _memory(spark, sf_dir))
+    chunks = _doc_chunks(spark, sf_dir)
+    # one distinct-chunk table: the memory's input and the hot keys of the
+    # lookup (from n_uses), so documents are chunked for counting only once
+    dist = materialize(TR.distinct_chunks(chunks), "distinct-chunks")
+    hot = dist.where(F.col("n_uses") > HOT_ROWS).select("src_lang", "chunk_hash")
+    memory = TR.glossary_translate(dist.where(F.col("src_lang") != TR.TARGET_LANG), TR.glossary_frame(spark),
+                                   ["src_lang", "chunk_hash"])
+    looked = TR.lookup_translations(chunks, memory, hot=hot)
     return looked.select("doc_id", "chunk_no", "translated")
 
 
