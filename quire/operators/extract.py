@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.text import LABEL_SEPARATOR, label_value, unicode_strip
-from ..functions.urls import LAST_PAGE_TEXT, NEXT_PAGE_TEXT  # noqa: F401
+from ..functions.urls import NEXT_PAGE_TEXT
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:

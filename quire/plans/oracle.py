@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from ..functions import html as H
 from ..functions import text as T
-from ..functions import urls as U
 from . import sqlfrag as S
 from .sqlfrag import q, with_
 

@@ -3,7 +3,6 @@ brute-force walk."""
 
 import random
 
-from pyspark.sql import functions as F
 
 from quire.operators.chains import follow_chain
 from quire.sources.pages import decode_pages
