@@ -80,3 +80,21 @@ def test_drop_scratch_removes_only_own_tables(spark):
     assert os.path.exists(path.replace("file:", ""))
     assert drop_scratch(spark) >= 1
     assert not os.path.exists(path.replace("file:", ""))
+
+
+def test_stream_takes_new_pages_as_they_arrive(spark, tmp_path):
+    import shutil
+
+    from .conftest import SF001
+    src = tmp_path / "incoming"
+    src.mkdir()
+    shutil.copy(f"{SF0001}/pages.parquet", src / "pages.parquet")
+    landed, ckpt = scratch_path(spark, "t2-landed"), scratch_path(spark, "t2-ckpt")
+    first = ingest_pages(spark, str(src), landed, ckpt, glob="pages*.parquet").count()
+    assert first == 50
+    shutil.copy(f"{SF001}/pages.parquet", src / "pages_2.parquet")          # a new file arrives
+    after = ingest_pages(spark, str(src), landed, ckpt, glob="pages*.parquet")
+    want = {r["url"] for r in load_pages(spark, SF0001).select("url").collect()} | \
+           {r["url"] for r in load_pages(spark, SF001).select("url").collect()}
+    assert after.count() == len(want)                                          # each URL landed once
+    assert {r["url"] for r in after.select("url").collect()} == want
