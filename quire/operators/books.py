@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import markup as M
 from ..functions import urls as U
-from ..functions.text import normalize_text
+from pyspark.sql import Column
+
+from ..functions.text import normalize_text, unicode_strip
 from .numbering import number_within
 from .skew import split_hot_join
 
@@ -61,6 +63,29 @@ def conditional_normalize(fragments: DataFrame, key_cols, trigger: str = "\r") -
                      .otherwise(F.coalesce("joined", F.lit(""))).alias("content"))
 
 
+def join_paragraph_array(arr) -> Column:
+    """E2 on one row's own fragments (array): non-blank ones joined with
+    '</p><p>'.  No shuffle - the fragments never leave their row."""
+    kept = F.filter(_col(arr), lambda x: F.length(unicode_strip(x)) > 0)
+    return F.array_join(kept, M.PARAGRAPH_JOIN)
+
+
+def conditional_normalize_array(arr, trigger: str = "\r") -> tuple[Column, Column]:
+    """E3 on one row's own fragments: (normalized flag, content), same rule
+    as ``conditional_normalize`` but as array functions on the row."""
+    import re
+    kept = F.filter(_col(arr), lambda x: F.length(unicode_strip(x)) > 0)
+    flag = F.exists(kept, lambda x: x.contains(trigger))
+    pieces = F.filter(F.flatten(F.transform(kept, lambda x: F.split(x, re.escape(trigger), -1))),
+                      lambda p: (p != "") & (p != "\n"))
+    joined = F.array_join(pieces, M.PARAGRAPH_JOIN)
+    return flag, F.when(flag, normalize_text(joined, True)).otherwise(joined)
+
+
+def _col(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
 def first_occurrence(items: DataFrame, list_col: str, value_col: str, pos_col: str = "pos") -> DataFrame:
     """``list.index(value)`` - duplicates share the first position.
     The window's group is one list (one page), so it is bounded."""

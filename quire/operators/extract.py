@@ -38,6 +38,11 @@ def paragraphs_of(features: DataFrame) -> DataFrame:
                             H.decode_entities("raw").alias("text")))
 
 
+def decoded_paragraphs(features: DataFrame) -> DataFrame:
+    """Feature rows with the paragraph array entity-decoded (still one row per page)."""
+    return features.withColumn("paragraphs", F.transform("paragraphs", H.decode_entities))
+
+
 def explode_paragraphs(pages: DataFrame) -> DataFrame:
     """Direct text of each <p> inside <article>, in order (blank kept).
     Unused feature columns are pruned by Catalyst."""
@@ -113,15 +118,11 @@ def page_metadata(pages: DataFrame) -> DataFrame:
 
 def content_fallback(pages: DataFrame) -> DataFrame:
     """Body from the primary selector (paragraphs of <article>), else the
-    fallback (the advert-free page text of <body>)."""
-    paras = drop_blank(explode_paragraphs(pages))
-    primary = (paras.groupBy("page_id")
-                    .agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("ps"))
-                    .select("page_id", F.array_join(F.transform("ps", lambda x: x["text"]), "</p><p>").alias("primary")))
-    body = pages.select("page_id", "book_id",
-                        unicode_strip(H.page_text(F.coalesce(
-                            H.first_or_null("html", r"(?s)<body\b[^>]*>(.*)"), F.col("html")))).alias("fallback"))
-    j = body.join(primary, "page_id", "left")
-    return j.select("page_id", "book_id",
-                    F.when(F.col("primary").isNotNull(), F.lit("article")).otherwise(F.lit("body")).alias("content_source"),
-                    F.coalesce("primary", "fallback").alias("content"))
+    fallback (the page text of <body>).  Both from the page's own row."""
+    fallback = unicode_strip(H.page_text(F.coalesce(H.first_or_null("html", r"(?s)<body\b[^>]*>(.*)"), F.col("html"))))
+    f = decoded_paragraphs(page_features(pages.select("page_id", "url", "book_id", "html", fallback.alias("fallback"))))
+    kept = F.filter("paragraphs", lambda x: F.length(unicode_strip(x)) > 0)
+    primary = F.when(F.size(kept) > 0, F.array_join(kept, "</p><p>"))
+    return f.select("page_id", "book_id",
+                    F.when(primary.isNotNull(), F.lit("article")).otherwise(F.lit("body")).alias("content_source"),
+                    F.coalesce(primary, F.col("fallback")).alias("content"))

@@ -36,8 +36,9 @@ def build_books(pages: DataFrame, training_docs: DataFrame, glossary: DataFrame
         feats = materialize(X.page_features(pages), "page-features")
     num = B.number_chapters(feats).select("page_id", "book_id", "chapter_no")
     titles = feats.select("page_id", "title")
-    paras = X.drop_blank(X.paragraphs_of(feats)).select("page_id", "pos", "text")
-    content = B.conditional_normalize(paras, ["page_id"])  # trigger '\r' as in the reference
+    # E2/E3 on each page's own paragraph array: no shuffle (trigger '\r' as in the reference)
+    normalized, body = B.conditional_normalize_array(F.transform("paragraphs", H.decode_entities))
+    content = feats.select("page_id", normalized.alias("normalized"), body.alias("content"))
     art = feats.select("page_id", F.col("article_text").alias("text"))
     # one small row per page, used twice below: written once to the shared folder
     langs = materialize(LG.detect(art, LG.train(training_docs), "page_id", out_col="src_lang"), "page-langs")

@@ -253,8 +253,12 @@ def _memory(spark, sf_dir):
 
 
 def _contents(spark, sf_dir):
-    """E2 over non-blank paragraphs: (page_id, content)."""
-    return B.join_paragraphs(X.drop_blank(X.explode_paragraphs(load_pages(spark, sf_dir))))
+    """E2 over each page's non-blank paragraphs: (page_id, content), for
+    pages that have any.  Array functions on the page row: no shuffle."""
+    f = X.decoded_paragraphs(X.page_features(load_pages(spark, sf_dir)))
+    kept = F.filter("paragraphs", lambda x: F.length(T.unicode_strip(x)) > 0)
+    return (f.where(F.size(kept) > 0)
+             .select("page_id", B.join_paragraph_array("paragraphs").alias("content")))
 
 
 def _book_meta(spark, sf_dir, num=None):

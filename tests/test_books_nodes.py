@@ -120,3 +120,15 @@ def test_rule_features_on_site_pages(spark):
     assert got[2] == ("Tale", ["A", "B"])
     assert got[3] == ("Page title", ["　　甲　　乙"])
     assert got[4] == (None, [])
+
+
+def test_conditional_normalize_array_equals_row_form(spark):
+    frags = [(1, ["a\rb", "\n", "c", " "]), (2, ["x", "y"]), (3, []), (4, ["\r", "z\r"])]
+    arr = spark.createDataFrame(frags, "cid int, ps array<string>")
+    flag, content = B.conditional_normalize_array("ps")
+    got = {r["cid"]: (r["f"], r["c"]) for r in arr.select("cid", flag.alias("f"), content.alias("c")).collect()}
+    rows = spark.createDataFrame([(c, i, t) for c, ps in frags for i, t in enumerate(ps)], "cid int, pos int, text string")
+    from quire.operators.extract import drop_blank
+    want = {r["cid"]: (r["normalized"], r["content"]) for r in B.conditional_normalize(drop_blank(rows), ["cid"]).collect()}
+    assert {k: v for k, v in got.items() if k in want} == want
+    assert got[3] == (False, "")
