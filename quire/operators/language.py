@@ -76,7 +76,8 @@ def detect(texts: DataFrame, model: TrigramModel, key: str, text_col: str = "tex
     aggs = [F.sum("n").alias("_m")] + [F.sum(F.col("n") * F.col(f"`{lang}`")).alias(f"_s_{lang}")
                                         for lang in model.langs]
     per = j.groupBy(key).agg(*aggs)
-    base = texts.select(key).join(per, key, "left")
+    # keys from the already key-partitioned side: this join adds no exchange
+    base = keyed.select(key).join(per, key, "left")
     m = F.coalesce(F.col("_m"), F.lit(0)).cast("double")
     cands = []
     for lang in model.langs:
