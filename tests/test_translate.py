@@ -99,3 +99,16 @@ def test_language_detection_agrees_with_declared_lang(spark):
     rows = E.queries()["detect_language"](spark, "/root/testdata/sf0.01").collect()
     hits = sum(1 for r in rows if r["lang"] == r["html_lang"])
     assert len(rows) == 250 and hits / len(rows) >= 0.95
+
+
+def test_spread_and_hot_join_fallback(spark):
+    from quire.operators.skew import split_hot_join
+    from quire.sources.pages import spread
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 2)
+    assert spread(many) is many                               # enough splits: left alone, no shuffle
+    left = spark.createDataFrame([("h", i) for i in range(20)] + [("c", 0)], "k string, v int")
+    right = spark.createDataFrame([("h", "H")], "k string, r string")
+    got = sorted(map(tuple, split_hot_join(left, right, ["k"], "left", hot_rows=5, max_hot_keys=0).collect()))
+    assert got == sorted(map(tuple, left.join(right, ["k"], "left").collect()))
