@@ -33,7 +33,7 @@ CACHE_ENTRIES = 400_000
 # A text is cut before white space into pieces of about this many characters.
 PIECE_CHARS = 1 << 20
 # Longer fragments are merged with a heap instead of repeated scans.
-SCAN_SYMBOLS = 24
+SCAN_SYMBOLS = 64
 
 # Texts with characters outside Latin (to U+024F) and common punctuation take
 # the library's own normalizer and splitter; NFC leaves the others alone.
@@ -101,6 +101,8 @@ class ForcedBoundaryBPE:
 
     def cut(self, symbols: list[str]) -> list[tuple[str, ...]]:
         """Fragments between the certain cuts."""
+        if self.inside.issuperset(self._pairs(symbols)):
+            return [tuple(symbols)]
         out, start = [], 0
         for k, pair in enumerate(self._pairs(symbols), 1):
             if pair not in self.inside:
@@ -116,21 +118,17 @@ class ForcedBoundaryBPE:
     def _merge(self, symbols: tuple[str, ...]) -> tuple[int, ...]:
         if len(symbols) > SCAN_SYMBOLS:
             return self._merge_long(symbols)
-        parts, rank = list(symbols), self.rank
-        while len(parts) > 1:
-            best = min(self._pairs(parts), key=lambda p: rank.get(p, 1 << 60))
-            if best not in rank:
-                break
-            out, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and (parts[k], parts[k + 1]) == best:
-                    out.append(parts[k] + parts[k + 1])
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-        return tuple(self.vocab[p] for p in parts)
+        parts, rank, never = list(symbols), self.rank, 1 << 60
+        ranks = [rank.get(p, never) for p in self._pairs(parts)]
+        while ranks and (best := min(ranks)) < never:
+            k = ranks.index(best)
+            parts[k] += parts.pop(k + 1)
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank.get((parts[k - 1], parts[k]), never)
+            if k < len(ranks):
+                ranks[k] = rank.get((parts[k], parts[k + 1]), never)
+        return tuple([self.vocab[p] for p in parts])
 
     def _merge_long(self, symbols: tuple[str, ...]) -> tuple[int, ...]:
         parts: list[str | None] = list(symbols)

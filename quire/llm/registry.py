@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from .bpe import op4_bpe_encode_decode
 from .mixing import OP7_SQL, op7_source_mix
+from .quality import op10_quality_rules
+from .toxicity import op2_toxicity
 
 QUERIES = {q.__name__: q for q in (
+    op2_toxicity,
     op4_bpe_encode_decode,
     op7_source_mix,
+    op10_quality_rules,
 )}
 
 ORACLE = {"op7_source_mix": OP7_SQL}
