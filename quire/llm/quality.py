@@ -223,8 +223,11 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they came."""
-    rules = learn(labelled_stats(text_stats(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")), labels))
-    judged = text_stats(docs.select(F.struct("*").alias("row"), F.col("text")), keep=("row",))
+    # written before it is tested: a filter on the statistics would be pushed
+    # below them, each statistic then computed anew at every mention
+    judged = materialize(text_stats(docs.select(F.struct("*").alias("row"), F.col("text")), keep=("row",)), "quality-rows")
+    stats = judged.select(F.col("row.doc_id").alias("doc_id"), *[c for c in judged.columns if c != "row"])
+    rules = learn(labelled_stats(stats, labels))
     return judged.where(verdict(rules)).select("row.*")
 
 
