@@ -90,9 +90,8 @@ def features(host: Column, path: Column) -> Column:
         return lambda g: F.pmod(F.xxhash64(F.lit(part), g), F.lit(BUCKETS)).cast("int")
 
     def grams(text: Column, n: int) -> Column:
-        last = F.length(text) - n + 1
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))).otherwise(
-            F.array().cast("array<string>"))
+        # one pass, whatever the length
+        return F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1))
 
     return F.array_distinct(F.concat(*[F.transform(grams(t, n), bucket(k)) for k, t in enumerate(parts) for n in GRAMS]))
 
