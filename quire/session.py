@@ -59,6 +59,9 @@ def shared_root(spark: SparkSession) -> str:
         except Exception:  # no SparkContext handle (e.g. Spark Connect)
             root = None
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         key = id(spark)
         root = _LOCAL_ROOTS.get(key)
         if not root:

@@ -11,6 +11,7 @@ A replayed batch (after a failure) finds its URLs landed and adds nothing.
 from __future__ import annotations
 
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +40,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
             return False
 
 
-def _landed_urls(spark: SparkSession, landed: str, epoch_id: int) -> DataFrame | None:
-    """URLs landed by earlier epochs (this epoch's own folder is excluded, so
-    a replay does not filter out what its first attempt wrote)."""
+def _landed_urls(spark: SparkSession, landed: str, query_id: str, epoch_id: int) -> DataFrame | None:
+    """URLs landed by other epochs and queries (this epoch's own folder is
+    excluded, so a replay does not filter out what its first attempt wrote)."""
     if _exists(spark, landed):
-        return spark.read.parquet(landed).where(F.col("epoch") != epoch_id).select("url")
+        own = (F.col("query") == query_id) & (F.col("epoch") == epoch_id)
+        return spark.read.parquet(landed).where(~own).select("url")
     return None
 
 
@@ -55,7 +57,13 @@ def ingest_pages(spark: SparkSession, source_dir: str, landed: str, checkpoint:
                    .option("maxFilesPerTrigger", 64)
                    .parquet(source_dir))
 
+    started, ids = threading.Event(), []
+
     def land(batch: DataFrame, epoch_id: int) -> None:
+        # the query's id is kept in its checkpoint: a new checkpoint counts
+        # epochs from 0 again, but never writes into another query's folders
+        started.wait()
+        query_id = ids[0]
         # per-page work needs no other page: title and the joined body come
         # from array functions on the page's own paragraphs (no grouping)
         feats = page_features(batch.select("page_id", "url", "html", host("url").alias("book_id"))
@@ -64,7 +72,7 @@ def ingest_pages(spark: SparkSession, source_dir: str, landed: str, checkpoint:
         rows = (feats.select("page_id", "url", "book_id", "n_chars", "title",
                              F.array_join(paras, PARAGRAPH_JOIN).alias("content"))
                      .dropDuplicates(["url"]))
-        seen = _landed_urls(batch.sparkSession, landed, epoch_id)
+        seen = _landed_urls(batch.sparkSession, landed, query_id, epoch_id)
         if seen is not None:
             urls = rows.select("url")
             if urls.count() <= BROADCAST_MAX_BATCH:
@@ -73,13 +81,15 @@ def ingest_pages(spark: SparkSession, source_dir: str, landed: str, checkpoint:
                 # shuffle of every landed URL per micro-batch
                 seen = seen.join(F.broadcast(urls), "url", "left_semi")
             rows = rows.join(seen, "url", "left_anti")
-        # one folder per epoch, overwritten: a replayed batch rewrites its own
+        # one folder per query and epoch, overwritten: a replayed batch rewrites its own
         # output instead of appending a second copy
-        rows.write.mode("overwrite").parquet(os.path.join(landed, f"epoch={epoch_id}"))
+        rows.write.mode("overwrite").parquet(os.path.join(landed, f"query={query_id}", f"epoch={epoch_id}"))
 
     q = (stream.writeStream.foreachBatch(land)
                .option("checkpointLocation", checkpoint)
                .trigger(availableNow=True)
                .start())
+    ids.append(str(q.id))
+    started.set()
     q.awaitTermination()
-    return spark.read.parquet(landed).drop("epoch")
+    return spark.read.parquet(landed).drop("query", "epoch")
