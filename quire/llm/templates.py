@@ -270,9 +270,7 @@ def extract(page: str | None, main: list[int], drop: frozenset | set) -> str:
     """The text of a page's main container; ``main`` are the host's in order."""
     if not page:
         return ""
-    have = {stack[-1].path for kind, stack, _ in walk(page) if kind == "element"} if main else ()
-    at = next((m for m in main if m in have), None)
-    text = _text(page, at, drop) if at is not None else ""
+    text = next((t for m in main if (t := _text(page, m, drop))), "")
     if not text:
         alone = best_alone(page)
         text = _text(page, alone, drop) if alone is not None else ""
