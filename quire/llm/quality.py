@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WORD, read, words
+from .common import WORD, read
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -42,31 +42,40 @@ QUANTILES = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7,
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _BLANK = r"[\x20\x09-\x0D]"
+_SYMBOLS, _MARKS, _DIGITS, _UPPER = "#*$%&|<>", "!?", "0-9", r"\p{Lu}"
+# low bits that hold a window's place: more than a text has words
+_PLACE_BITS = 30
 
 
 def text_stats(docs: DataFrame, keep=("doc_id",)) -> DataFrame:
-    """The base counts and a few more of every row."""
+    """The base counts and a few more of every row.
+
+    Windows are first matched by 34 hash bits, packed with their places into
+    longs that sort fast; only those that meet another one are then compared
+    as words."""
     d = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
-    d = d.select(*keep, "_t", words(F.col("_t"), WORD).alias("_w"),
+    d = d.select(*keep, F.array_remove(F.split("_t", _BLANK + "+"), "").alias("_w"),
+                 F.regexp_replace("_t", f"[^{_SYMBOLS}{_MARKS}{_DIGITS}{_UPPER}]+", "").alias("_rare"),
                  F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD)).alias("_lines"))
     d = d.select(
         *keep, "_w", F.size("_w").alias("_n"),
-        (F.length("_t") - F.regexp_count("_t", F.lit(_BLANK))).cast("long").alias("word_chars"),
-        F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.regexp_count("_t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        F.regexp_count("_t", F.lit(r"[!?]")).cast("long").alias("n_marks"),
-        F.regexp_count("_t", F.lit(r"[0-9]")).cast("long").alias("n_digits"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        *[F.length(F.regexp_replace("_rare", f"[^{chars}]+", "")).cast("long").alias(name)
+          for name, chars in (("n_symbols", _SYMBOLS), ("n_upper", _UPPER), ("n_marks", _MARKS), ("n_digits", _DIGITS))],
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"))
     rest = [c for c in d.columns if c not in ("_w", "_n")]
-    three = F.transform(F.sequence(F.lit(0), F.col("_n") - 3),
-                        lambda i: F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))
-    d = d.select(*rest, "_n", F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
-                 F.when(F.col("_n") >= 3, three).otherwise(F.array().cast("array<string>")).alias("_three"))
-    # windows of a text sorted with their places, where any comes twice
-    d = d.select(*rest, "_n", "n_distinct", F.when(
-        F.size(F.array_distinct("_three")) < F.size("_three"),
-        F.sort_array(F.transform("_three", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))).alias("_sorted"))
+    window = lambda i: [F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)]
+    packed = F.transform(F.sequence(F.lit(0), F.col("_n") - 3), lambda i: F.shiftleft(F.xxhash64(*window(i)), _PLACE_BITS).bitwiseOR(i.cast("long")))
+    d = d.select(*rest, "_w", "_n", F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
+                 F.sort_array(F.when(F.col("_n") >= 3, packed).otherwise(F.array().cast("array<bigint>"))).alias("_packed"))
+    same = lambda x, k: F.coalesce(F.shiftright(F.get("_packed", k), _PLACE_BITS) == F.shiftright(x, _PLACE_BITS), F.lit(False))
+    met = F.transform(F.filter("_packed", lambda x, k: same(x, k - 1) | same(x, k + 1)),
+                      lambda x: x.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int"))
+    d = d.select(*rest, "_w", "_n", "n_distinct", met.alias("_met"))
+    # those windows sorted with their places
+    d = d.select(*rest, "_n", "n_distinct", F.sort_array(
+        F.transform("_met", lambda i: F.struct(F.concat_ws(" ", *window(i)).alias("w"), i.alias("i")))).alias("_sorted"))
     none = F.array().cast("array<int>")
     twice = F.zip_with("_sorted", F.slice("_sorted", 2, F.greatest(F.size("_sorted"), F.lit(1))),
                        lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])).otherwise(none))
