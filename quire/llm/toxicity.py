@@ -69,7 +69,9 @@ class Model:
 
     def score(self, counts: Counter) -> tuple[float, float, int]:
         """Expected severity, P(grade > 0), most likely grade."""
-        z = sum(self.weights[k] * (1 + np.log(n)) for k, n in counts.items())
+        n = len(counts)
+        own = self.weights[np.fromiter(counts.keys(), np.int64, n)]
+        z = own @ (1 + np.log(np.fromiter(counts.values(), np.float64, n)))
         above = 1 / (1 + np.exp(np.clip(self.theta - z, -50, 50)))
         if not len(above):
             return 0.0, 0.0, 0
@@ -85,12 +87,12 @@ def counter(index: dict[str, int]):
         if len(memo) > CACHE_ENTRIES:
             memo.clear()
         out: Counter = Counter()
-        for w in words_of(text):
+        for w, n in Counter(words_of(text)).items():
             own = memo.get(w)
             if own is None:
                 own = memo[w] = tuple(index[f] for f in features_of(w) if f in index)
-            if own:
-                out.update(own)
+            for k in own:
+                out[k] += n
         return out
 
     return count
@@ -108,16 +110,32 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def select_features(sample: DataFrame) -> list[tuple[str, bool]]:
     """(feature, marks toxic rows) by chi-square over the sample."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [list({f for w in set(words_of(t)) for f in features_of(w)}) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), b.column(1)], names=["fs", "toxic"])
+        # rows and toxic rows of each feature, summed before the shuffle
+        rows: Counter = Counter()
+        toxic: Counter = Counter()
+
+        def summed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array([toxic[f] for f in rows], pa.int64()),
+                                               pa.array(list(rows.values()), pa.int64())], names=["f", "a", "m"])
 
-    seen = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "fs array<string>, toxic int")
+        for b in batches:
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = {f for w in set(words_of(t)) for f in features_of(w)}
+                rows.update(found)
+                if y:
+                    toxic.update(found)
+                if len(rows) > CACHE_ENTRIES:
+                    yield summed()
+                    rows.clear()
+                    toxic.clear()
+        yield summed()
+
+    seen = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "f string, a long, m long")
     n = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     total, pos = n["n"], n["t"] or 0
     if not pos or pos == total:
         return []
-    c = seen.select(F.explode("fs").alias("f"), "toxic").groupBy("f").agg(F.sum("toxic").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("m"))
+    c = seen.groupBy("f").agg(F.sum("a").cast("double").alias("a"), F.sum("m").cast("double").alias("m"))
     a, m = F.col("a"), F.col("m")
     chi = total * F.pow(a * total - m * pos, 2) / (m * (total - m) * float(pos) * (total - pos))
     top = (c.where((m >= MIN_DOCS) & (m < total)).withColumn("chi", chi).where(F.col("chi") >= MIN_CHI2)
