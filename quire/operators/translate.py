@@ -201,7 +201,13 @@ def translate_texts(texts: DataFrame, key_cols, glossary: DataFrame | None = Non
     before the expensive call by hand: Catalyst cannot move it past Python)."""
     keys = list(key_cols)
     spark = texts.sparkSession
-    chunks = chunk_texts(texts.withColumnRenamed(lang_col, "src_lang"), keys + ["src_lang"], text_col)
+    # an unknown language is translated too: it joins as '' and reaches the
+    # translator as NULL
+    known_lang = lambda df: df.withColumn("src_lang", F.coalesce("src_lang", F.lit("")))
+    null_lang = lambda df: df.withColumn("src_lang", F.nullif(F.col("src_lang"), F.lit("")))
+    chunks = chunk_texts(known_lang(texts.withColumnRenamed(lang_col, "src_lang")), keys + ["src_lang"], text_col)
+    if memory is not None:
+        memory = known_lang(memory.select("src_lang", "chunk_hash", "translated_text"))
     # one distinct-chunk table (written once) gives both the translator's
     # input and the hot keys of the lookup join (from n_uses, no extra pass)
     dist = materialize(distinct_chunks(chunks), "distinct-chunks")
@@ -213,10 +219,10 @@ def translate_texts(texts: DataFrame, key_cols, glossary: DataFrame | None = Non
         g = glossary if glossary is not None else glossary_frame(spark)
         fresh = glossary_translate(todo, g, ["src_lang", "chunk_hash"])
     else:
-        fresh = pandas_translator(todo.select("src_lang", "chunk_hash", "source_text"), translator)
-    known = fresh if memory is None else memory.select("src_lang", "chunk_hash", "translated_text").unionByName(fresh)
+        fresh = known_lang(pandas_translator(null_lang(todo.select("src_lang", "chunk_hash", "source_text")), translator))
+    known = fresh if memory is None else memory.unionByName(fresh)
     looked = lookup_translations(chunks, known, hot=hot)
-    return reassemble(looked, keys, "translated", "translated_text"), fresh
+    return reassemble(looked, keys, "translated", "translated_text"), null_lang(fresh)
 
 
 def apply_corrections(memory: DataFrame, corrections: DataFrame) -> DataFrame:

@@ -112,3 +112,10 @@ def test_spread_and_hot_join_fallback(spark):
     right = spark.createDataFrame([("h", "H")], "k string, r string")
     got = sorted(map(tuple, split_hot_join(left, right, ["k"], "left", hot_rows=5, max_hot_keys=0).collect()))
     assert got == sorted(map(tuple, left.join(right, ["k"], "left").collect()))
+
+
+def test_unknown_language_reaches_the_translator(spark):
+    texts = spark.createDataFrame([(1, None, "x y"), (2, "fr", "x y"), (3, "en", "x y")], "id long, src_lang string, text string")
+    tr, fresh = TR.translate_texts(texts, ["id"], translator=lambda s, lang: s + f" [{lang}]")
+    assert {r["id"]: r["translated_text"] for r in tr.collect()} == {1: "x y [None]", 2: "x y [fr]", 3: "x y"}
+    assert sorted(str(r["src_lang"]) for r in fresh.collect()) == ["None", "fr"]
