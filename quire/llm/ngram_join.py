@@ -66,6 +66,8 @@ _seed = np.random.default_rng(1)
 _A = _seed.integers(1, 1 << 63, VALUES, dtype=np.uint64) | np.uint64(1)
 _B = _seed.integers(0, 1 << 63, VALUES, dtype=np.uint64)
 _HIGH = np.uint64(32)
+# room for the values of a few shingles at a time
+_ROOM = np.empty((128, VALUES), np.uint64)
 
 
 class Shingler:
@@ -100,10 +102,13 @@ def set_key(shingles: np.ndarray) -> bytes:
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(VALUES, 0xFFFFFFFF, np.uint64)
-    for at in range(0, len(shingles), 256):
-        low = np.minimum(low, ((shingles[at : at + 256, None] * _A + _B) >> _HIGH).min(axis=0))
-    return low.astype(np.uint32)
+    low = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), len(_ROOM)):
+        part = shingles[at : at + len(_ROOM), None]
+        room = np.multiply(part, _A, out=_ROOM[: len(part)])
+        room += _B
+        np.minimum(low, room.min(axis=0), out=low)
+    return (low >> _HIGH).astype(np.uint32)
 
 
 def least_matches(values: int = VALUES, step: int = STEP) -> list[tuple[int, int]]:
