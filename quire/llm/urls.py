@@ -20,8 +20,7 @@ are judged alike; further columns pass by.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,15 +42,26 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-# The small labelled table: unwanted kinds of site, each with the hosts and
-# paths such sites use, against ordinary ones.
-BLOCKED_HOSTS = (
-    "casino-win", "casino", "casino-bonus", "online-casino", "win-casino", "poker-win", "slots-win", "jackpot-slots",
-    "cheap-pills", "cheap-meds", "pills-online", "buy-pills", "cheap-viagra", "pharmacy-pills",
-    "free-bets", "free-bet", "bets-online", "sports-bets", "betting-tips", "free-spins",
-    "ads-track", "ads", "adserver", "track-ads", "click-track", "tracker", "ads-click", "banner-ads",
-    "free-porn", "porn-tube", "xxx-video", "adult-video", "adult-x", "adult-dating", "x-adult", "payday-loans", "cheap-loans", "replica-watches", "free-ringtones",
-)
+# The small labelled table: unwanted kinds of site, each with the hosts such
+# sites use, against ordinary ones.  None is a host of the given pages.
+BLOCKED_KINDS = {
+    "casino": ("casino", "casino-bonus", "online-casino", "win-casino", "poker-win", "slots-win", "jackpot-slots", "royal-casino", "win-big-jackpot"),
+    "pharmacy": ("cheap-meds", "pills-online", "buy-pills", "cheap-viagra", "pharmacy-pills", "diet-pills", "cheapest-pills-shop"),
+    "betting": ("free-bet", "bets-online", "sports-bets", "betting-tips", "free-spins", "bet-now", "best-bets"),
+    "adverts": ("ads", "adserver", "track-ads", "click-track", "tracker", "ads-click", "banner-ads", "adtrack", "pixel-track", "popunder-ads"),
+    "adult": ("free-porn", "porn-tube", "xxx-video", "adult-video", "adult-dating", "x-adult", "adult-cams", "sex-chat", "hot-sex-cams", "xxx"),
+    "loans": ("payday-loans", "cheap-loans", "instant-loans", "fast-cash-loan", "quick-cash"),
+    "replicas": ("replica-watches", "fake-rolex", "cheap-replica-bags", "fake-id-shop"),
+    "ringtones": ("free-ringtones", "ringtones-download", "free-screensavers"),
+    "farms": ("link-farm", "spam-links", "spam", "content-farm", "farm-links", "spam-blog", "backlink-farm", "buy-backlinks", "spamfarm", "click-farm", "seo-spam", "article-spinner"),
+    "crypto": ("crypto-pump", "crypto-doubler", "bitcoin-doubler", "pump-signals", "crypto-giveaway", "free-bitcoin", "forex-signals", "token-presale"),
+    "followers": ("buy-followers", "buy-likes", "cheap-followers", "free-followers", "buy-reviews", "instant-likes"),
+    "warez": ("warez", "free-warez", "cracked-software", "keygen-crack", "serial-keys", "torrent-crack", "nulled-scripts", "crack-download"),
+    "phishing": ("account-verify-login", "secure-login-update", "verify-account", "paypa1-login", "prize-claim", "you-won-prize", "claim-your-prize"),
+    "get-rich": ("get-rich-quick", "make-money-fast", "earn-cash-online", "work-from-home-cash", "money-fast"),
+    "essays": ("essay-mill", "buy-essays", "cheap-essay-writer", "buy-diploma"),
+}
+BLOCKED_HOSTS = tuple(h for hosts in BLOCKED_KINDS.values() for h in hosts)
 ALLOWED_HOSTS = (
     "news", "the-times", "daily-herald", "garden-notes", "weather", "university", "library", "museum", "science-review",
     "cooking", "history-forum", "travel-guide", "art-and-culture", "city-council", "health-service", "open-source",
@@ -60,17 +70,48 @@ ALLOWED_HOSTS = (
     "winter-sports", "windows-help", "cheese-makers", "address-book", "loans-of-books", "freedom-press", "broadcast",
     "better-homes", "alphabet", "railway-tracks", "casino-architecture-history", "pillars-of-rome",
     "within", "therein", "the-inn", "robin", "latin-lessons", "dolphin", "thin-ice", "adulthood-studies", "rethinking", "thinking",
+    "farmers-market", "hill-farm", "organic-farming", "dairy-farm-shop", "family-farms", "cryptography-lectures", "cryptic-crosswords",
+    "water-pumps", "pumpkin-recipes", "followers-of-rome", "crackers-and-cheese", "music-links", "golf-links", "seoul-guide",
+    "essays-on-poetry", "national-bank", "account-of-a-journey", "prize-winning-novels", "nobel-prize", "software-engineering",
+    "free-range-eggs", "free-software", "cheap-eats", "cash-and-carry", "quick-bread", "instant-history", "moneta", "spanish-lessons", "spa-gardens",
+    "data-tracks", "music-tracks", "clicking-beetles", "sussex-walks", "essex-county", "buyers-guide", "reviews-of-books", "torrents-and-rivers", "keys-and-locks",
+    "the-thinker", "northland", "shorelines", "then-and-now", "anthology", "other-worlds", "ethnography", "there-and-back", "thatched-roofs", "whether-or-not",
+    "stationery", "information", "education", "notation", "edinburgh", "reading-room", "meridian", "andes", "iron-works", "ocean-lore", "easter", "restaurant",
+    "ledger", "sherwood", "washing-lines", "whistle", "shepherd", "the-ring", "sounds", "outdoors", "forestry", "orchard", "lyrics", "family-tree", "tables", "cable-cars",
+    "nthdegree", "months", "healthy-teeth", "mother-tongue", "weathering", "gathering", "father", "earth-science", "ethics", "method", "pathways", "thrush", "threads", "thunder",
+    "that-place", "whatnot", "hat-makers", "chatham", "chateau-walks", "this-and-that", "wharf", "heat-pumps", "hathaway", "anthill", "chapters", "sextant",
+)
+# Numbered pages, as most sites have them.
+NUMBERED_PATHS = tuple(f"/{lang}/{n * 7919 % 9973}{end}" for n, (lang, end) in enumerate(
+    ((a, b) for _ in range(10) for a in ("en", "fr", "de", "es") for b in ("", "/", ".html", "/index.html", "-2")), 1))
+# Paths, dealt to hosts of both kinds.
+ALLOWED_PATHS = (
+    "/en/2718", "/fr/314/", "/de/1618.html", "/es/5772", "/", "", "/index.html", "/about", "/about/team", "/contact", "/news/2021/05/12/city-council-meets",
+    "/articles/the-history-of-the-railway", "/wiki/Mathematics", "/recipes/pumpkin-soup", "/health/pharmacy-opening-hours", "/blog/2019/thinking-aloud",
+    "/sports/results", "/books/free-verse", "/en/17/", "/fr/8423", "/de/42.html", "/es/9/", "/en/5", "/travel/rome/pillars", "/science/physics/thin-films",
+    "/docs/getting-started", "/library/catalogue/therein", "/shop/winter-coats", "/farm/visit", "/music/tracks/12", "/reviews/another-novel", "/2020/11/the-other-side",
+    "/products/water-pumps", "/forum/thread/99", "/events/theatre", "/account/settings", "/login", "/search/results", "/free-range-eggs", "/cheap-eats-in-town", "/weather/today",
+    *NUMBERED_PATHS,
 )
 _SITES = ("{}.example.com", "www.{}.example.com", "m.{}.example.net", "blog.{}.example.org")
-_PATHS = ("/en/2718", "/fr/314/", "/de/1618.html", "/es/5772")
+# Rows of each host by its kind.
+ORDINARY_PER_HOST = {0: 12, 1: 8}
+
+
+def seed_rows(blocked_hosts=BLOCKED_HOSTS, allowed_hosts=ALLOWED_HOSTS) -> list[tuple[str, int]]:
+    """(url, blocked) of the small table: every host at the usual sites with
+    ordinary paths in turn."""
+    rows = []
+    for y, hosts in ((1, blocked_hosts), (0, allowed_hosts)):
+        for i, h in enumerate(hosts):
+            n = ORDINARY_PER_HOST[y]
+            rows += [("https://" + _SITES[k % len(_SITES)].format(h) + ALLOWED_PATHS[(n * i + k) % len(ALLOWED_PATHS)], y) for k in range(n)]
+    return rows
 
 
 def seed_labels(spark: SparkSession) -> DataFrame:
-    """(url, blocked) of the small table, every host at the usual sites."""
-    hosts = spark.createDataFrame([(h, 1) for h in BLOCKED_HOSTS] + [(h, 0) for h in ALLOWED_HOSTS], "host string, blocked int")
-    places = F.array(*[F.struct(F.lit(s.split("{}")[0]).alias("a"), F.lit(s.split("{}")[1] + p).alias("b")) for s, p in zip(_SITES, _PATHS)])
-    return hosts.select("blocked", F.explode(places).alias("at"), "host").select(
-        F.concat(F.lit("https://"), F.col("at.a"), F.col("host"), F.col("at.b")).alias("url"), "blocked")
+    """The small table as (url, blocked)."""
+    return spark.createDataFrame(seed_rows(), "url string, blocked int")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -121,24 +162,16 @@ def fit(labels: DataFrame) -> Model:
         return Model({}, 0.0)
     data = [(r["k"], float(r["blocked"])) for r in rows]
     # n-grams of one row tell nothing of the next
-    seen: dict[int, int] = {}
-    for k, _ in data:
-        for b in k:
-            seen[b] = seen.get(b, 0) + 1
-    w, bias = {b: 0.0 for b, n in seen.items() if n > 1}, 0.0
-    data = [([b for b in k if b in w], y) for k, y in data]
+    row, col = np.repeat(np.arange(len(rows)), [len(r["k"]) for r in rows]), np.array([b for r in rows for b in r["k"]], np.int64)
+    often = np.bincount(col, minlength=BUCKETS) > 1
+    row, col = row[often[col]], col[often[col]]
+    y, w, bias = np.array([float(r["blocked"]) for r in rows]), np.zeros(BUCKETS), 0.0
     for _ in range(STEPS):
-        grad, gb = {}, 0.0
-        for k, y in data:
-            z = bias + sum(w[b] for b in k)
-            d = y - 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
-            gb += d
-            for b in k:
-                grad[b] = grad.get(b, 0.0) + d
-        for b in w:
-            w[b] += RATE * (grad.get(b, 0.0) / len(data) - RIDGE * w[b])
-        bias += RATE * gb / len(data)
-    return Model(w, bias)
+        z = bias + np.bincount(row, w[col], len(rows))
+        d = y - 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        w += RATE * (np.bincount(col, d[row], BUCKETS) / len(rows) - RIDGE * w)
+        bias += RATE * d.mean()
+    return Model({int(b): float(w[b]) for b in np.flatnonzero(often)}, float(bias))
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
