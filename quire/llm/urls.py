@@ -84,28 +84,39 @@ ALLOWED_HOSTS = (
 # Numbered pages, as most sites have them.
 NUMBERED_PATHS = tuple(f"/{lang}/{n * 7919 % 9973}{end}" for n, (lang, end) in enumerate(
     ((a, b) for _ in range(10) for a in ("en", "fr", "de", "es") for b in ("", "/", ".html", "/index.html", "-2")), 1))
-# Paths, dealt to hosts of both kinds.
+# Paths, dealt to hosts of both kinds: an unwanted path marks a page of any host.
 ALLOWED_PATHS = (
     "/en/2718", "/fr/314/", "/de/1618.html", "/es/5772", "/", "", "/index.html", "/about", "/about/team", "/contact", "/news/2021/05/12/city-council-meets",
     "/articles/the-history-of-the-railway", "/wiki/Mathematics", "/recipes/pumpkin-soup", "/health/pharmacy-opening-hours", "/blog/2019/thinking-aloud",
     "/sports/results", "/books/free-verse", "/en/17/", "/fr/8423", "/de/42.html", "/es/9/", "/en/5", "/travel/rome/pillars", "/science/physics/thin-films",
     "/docs/getting-started", "/library/catalogue/therein", "/shop/winter-coats", "/farm/visit", "/music/tracks/12", "/reviews/another-novel", "/2020/11/the-other-side",
     "/products/water-pumps", "/forum/thread/99", "/events/theatre", "/account/settings", "/login", "/search/results", "/free-range-eggs", "/cheap-eats-in-town", "/weather/today",
+    "/buy/tickets", "/buy/gift-cards", "/buy/used-bikes", "/buy", "/buy/house", "/where-to-buy", "/adults/classes", "/adult-education", "/adults-and-children", "/download/manual.pdf", "/track-your-order", "/verify-email", "/track/record",
+    "/links", "/loans/books", "/followers", "/essays/on-poetry", "/click-here", "/videos/lectures", "/buying-guide", "/opening-hours", "/software/releases", "/account/orders", "/cash-desk",
     *NUMBERED_PATHS,
 )
+BLOCKED_PATHS = (
+    "/casino/free-spins", "/casino/bonus", "/online-casino/win", "/slots/jackpot", "/poker/win-cash", "/cheap-pills", "/buy/viagra", "/shop/cheap-viagra-pills", "/meds/no-prescription",
+    "/pharmacy/diet-pills", "/free-bets", "/bets/sports-bets", "/betting/tips", "/ads/click", "/ads/track.gif", "/track/pixel", "/banner-ads/popunder", "/adserver/click",
+    "/xxx/free-porn", "/porn/video", "/adult/dating", "/adult-cams/", "/sex-chat", "/payday-loans", "/loans/instant-cash", "/replica-watches", "/fake-rolex", "/free-ringtones",
+    "/spam/links", "/link-farm/page1", "/backlinks/buy", "/buy-backlinks", "/crypto-pump", "/bitcoin-doubler", "/crypto/giveaway", "/buy-followers", "/followers/cheap",
+    "/warez/download", "/crack/keygen", "/software/crack-serial", "/verify-account/login-update", "/claim-your-prize", "/you-won/prize", "/make-money-fast", "/get-rich-quick",
+    "/buy-essays", "/essay/buy-cheap", "/wp-content/cheap-viagra", "/blog/online-casino-bonus", "/forum/buy-pills-online",
+)
 _SITES = ("{}.example.com", "www.{}.example.com", "m.{}.example.net", "blog.{}.example.org")
-# Rows of each host by its kind.
+# Rows of each host: with ordinary paths by kind of host, with unwanted paths.
 ORDINARY_PER_HOST = {0: 12, 1: 8}
+BAD_PER_HOST = 4
 
 
 def seed_rows(blocked_hosts=BLOCKED_HOSTS, allowed_hosts=ALLOWED_HOSTS) -> list[tuple[str, int]]:
     """(url, blocked) of the small table: every host at the usual sites with
-    ordinary paths in turn."""
+    ordinary paths in turn, and with unwanted ones."""
     rows = []
     for y, hosts in ((1, blocked_hosts), (0, allowed_hosts)):
         for i, h in enumerate(hosts):
-            n = ORDINARY_PER_HOST[y]
-            rows += [("https://" + _SITES[k % len(_SITES)].format(h) + ALLOWED_PATHS[(n * i + k) % len(ALLOWED_PATHS)], y) for k in range(n)]
+            for paths, n, blocked in ((ALLOWED_PATHS, ORDINARY_PER_HOST[y], y), (BLOCKED_PATHS, BAD_PER_HOST, 1)):
+                rows += [("https://" + _SITES[k % len(_SITES)].format(h) + paths[(n * i + k) % len(paths)], blocked) for k in range(n)]
     return rows
 
 
