@@ -12,16 +12,17 @@ a slot, and the slot that holds the prose is the article:
    vector (an order-free hash of page and count), its pages and its prose;
 2. classes by (host, fingerprint), valid with ``MIN_CLASS`` tokens on
    ``SUPPORT`` of the host's pages, two at least;
-3. the container slot of the template with the most prose outside template
-   text is the host's main container; an article or main element goes first;
-4. each page yields the text of its main container, without navigation,
-   forms, adverts, notices, comments and what else is furniture by element,
-   role or class, and without short template text (on ``FURNITURE`` of at
-   least ``MIN_PAGES`` pages, outside paragraphs).  A page that lacks its
-   host's container, or whose host shows no template, is judged alone by 3.
+3. the slots are what varies: all prose outside short template text (on
+   ``FURNITURE`` of at least ``MIN_PAGES`` pages, outside paragraphs) and
+   outside furniture;
+4. each page yields the text of all its slots in page order, without
+   navigation, forms, adverts, notices, comments and what else is furniture by
+   element, role or class.  Where the host's template has slots in article or
+   main elements, or the host shows no template, a page that has such elements
+   yields theirs only.  A page whose text is template altogether keeps it.
 
 Every aggregate is partial before its shuffle, so a host may hold any share
-of the pages; no task sees a host whole.  Page bodies are never shuffled while
+of the pages, and copies of a page count as one; no task sees a host whole.  Page bodies are never shuffled while
 the deduced templates are within ``BROADCAST_HASHES``; beyond it they are
 joined on salted hosts.
 
@@ -257,92 +258,97 @@ def page_tokens(page: str) -> dict[int, list]:
     return out
 
 
-def best_alone(page: str) -> int | None:
-    """The main container of a page judged alone."""
-    mass: dict[tuple[int, int], int] = {}
-    for count, path, rank, chars in page_tokens(page).values():
-        if chars:
-            mass[(rank, path)] = mass.get((rank, path), 0) + chars
-    return max(mass, key=lambda k: (k[0] == 2, mass[k] * (2 if k[0] else 1), k[1]))[1] if mass else None
-
-
 def extract(page: str | None, main: list[int], drop: frozenset | set) -> str:
-    """The text of a page's main container; ``main`` are the host's in order."""
+    """The text of a page's slots, in page order; ``main`` are the article and
+    main elements of the host's template, ``drop`` its texts."""
     if not page:
         return ""
-    text = next((t for m in main if (t := _text(page, m, drop))), "")
-    if not text:
-        alone = best_alone(page)
-        text = _text(page, alone, drop) if alone is not None else ""
-    return text
+    found = blocks(page)
+    # without an article element in the template, one on a page is no more than a slot of it
+    kept = [b for b in found if b[2] == 2] if main or not drop else []
+    kept = kept or found
+    return " ".join(t for *_, t in slots_of(kept, drop)) or " ".join(t for *_, t in kept)
 
 
-def _text(page: str, main: int, drop) -> str:
-    blocks, own = [], []
+def blocks(page: str) -> list[tuple[Node, tuple[int, ...], int, str]]:
+    """(element, tokens, rank of its container, text) of every text block that is not furniture."""
+    out, own, toks, top, rank = [], [], [], None, 0
 
     def end():
         if own:
             if words := _html.unescape("".join(own)).split():
-                blocks.append(" ".join(words))
+                out.append((top, tuple(toks), rank, " ".join(words)))
             own.clear()
+            toks.clear()
 
     for kind, stack, text in walk(page):
         if kind == "text":
-            top = stack[-1]
-            if top.drop or not any(n.path == main for n in stack):
-                continue
-            if drop and top.name not in PROSE and _hash(top.path, "#" + " ".join(_html.unescape(text).split())) in drop:
+            if stack[-1].drop:
                 continue
+            top = stack[-1]
+            if not own:
+                rank = container(stack).rank
             own.append(text)
+            if words := " ".join(_html.unescape(text).split()):
+                toks.append(_hash(top.path, "#" + words))
         elif kind == "break":
             end()
     end()
-    return " ".join(blocks)
+    return out
+
+
+def slots_of(found: list, drop: frozenset | set) -> list:
+    """The blocks without template text outside paragraphs."""
+    return [b for b in found if b[0].name in PROSE or not all(t in drop for t in b[1])] if drop else found
 
 
 def count_tokens(pages: DataFrame) -> DataFrame:
     """host, tok, path, rank, page, n, chars: the tokens of every page; the
     token 0 stands for the page itself."""
     bounded_batches(pages.sparkSession)
-    src = pages.select(split_url(F.col("url"))[0].alias("host"), F.xxhash64(F.col("page_id").cast("string"), F.col("url").cast("string")).alias("page"),
+    src = pages.select(split_url(F.col("url"))[0].alias("host"), F.xxhash64(F.col("html").cast("string")).alias("page"),
                        F.col("html").cast("string").alias("html"))
-    schema = "host string, page long, tok long, path long, rank int, n int, chars long"
+    # copies of a page count once
+    again = materialize(src.groupBy("host", "page").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "page-copies")
+    if again.count() <= BROADCAST_HASHES:
+        again = F.broadcast(again)
+    src = src.join(again, ["host", "page"], "left").select("host", "page", "html", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+    schema = "host string, page long, tok long, path long, rank int, n int, chars long, share double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            host, page, cols = b.column(0).to_pylist(), b.column(1).to_pylist(), [[] for _ in range(7)]
+            host, page, share, cols = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), [[] for _ in range(8)]
             for k, text in enumerate(b.column(2)):
                 found = page_tokens(text.as_py() or "")
-                rows = [(host[k], page[k], 0, 0, 0, 1, 0), *[(host[k], page[k], t, v[1], v[2], v[0], v[3]) for t, v in found.items()]]
+                rows = [(host[k], page[k], 0, 0, 0, 1, 0, share[k]), *[(host[k], page[k], t, v[1], v[2], v[0], v[3], share[k]) for t, v in found.items()]]
                 for c, x in zip(cols, zip(*rows)):
                     c.extend(x)
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["host", "page", "tok", "path", "rank", "n", "chars"])
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["host", "page", "tok", "path", "rank", "n", "chars", "share"])
 
     return src.mapInArrow(run, schema)
 
 
 def deduce(pages: DataFrame) -> DataFrame:
-    """(host, main, texts): containers of the host's article by worth, and its template texts."""
+    """(host, main, texts): the article and main elements of the host's template, and its template texts."""
     toks = materialize(
         count_tokens(pages).groupBy("host", "tok").agg(
-            F.expr("bit_xor(xxhash64(page, n))").alias("vector"), F.count(F.lit(1)).alias("pages"),
+            F.sum(F.shiftright(F.xxhash64("page", "n"), 24)).alias("vector"), F.sum("share").alias("pages"),
             F.max(F.struct("rank", "path")).alias("at"), F.sum("chars").alias("chars"), F.sum("n").alias("n")), "page-tokens")
     hosts = toks.where("tok = 0").select("host", F.col("pages").alias("all"))
-    often = toks.where("tok <> 0 and pages > 1").join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("all"))
+    often = toks.where("tok <> 0 and pages > 1.5").join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("all") - 1e-6)
     # equivalence classes; the valid ones are the template
     valid = often.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= MIN_CLASS).select("host", "vector")
     template = materialize(often.join(valid, ["host", "vector"], "left_semi"), "page-template")
-    # slots: prose outside template text, by container
-    slots = (toks.where("chars > 0").join(template.select("host", "tok"), ["host", "tok"], "left_anti")
-                 .groupBy("host", F.col("at.path").alias("tok"), F.col("at.rank").alias("rank")).agg(F.sum("chars").alias("chars")))
-    slots = slots.join(template.select("host", "tok"), ["host", "tok"], "left_semi")
-    worth = F.struct((F.col("rank") == 2).cast("int").alias("a"), F.when(F.col("rank") > 0, F.col("chars") * 2).otherwise(F.col("chars")).alias("w"), F.col("tok"))
-    main = slots.groupBy("host").agg(F.max(worth).alias("best")).select("host", F.array("best.tok").alias("main"))
-    texts = (template.where((F.col("all") >= MIN_PAGES) & (F.col("pages") >= FURNITURE * F.col("all")) & (F.col("chars") > 0)
+    # slots in article and main elements: prose outside template text
+    slots = (toks.where("chars > 0 and at.rank = 2").join(template.select("host", "tok"), ["host", "tok"], "left_anti")
+                 .select("host", F.col("at.path").alias("tok")).distinct())
+    main = (slots.join(template.select("host", "tok"), ["host", "tok"], "left_semi")
+                 .groupBy("host").agg(F.sort_array(F.collect_list("tok")).alias("main")))
+    texts = (template.where((F.col("all") >= MIN_PAGES) & (F.col("pages") >= FURNITURE * F.col("all") - 1e-6) & (F.col("chars") > 0)
                             & (F.col("chars") <= MAX_FURNITURE_CHARS * F.col("n")))
                      .groupBy("host").agg(F.sort_array(F.collect_list("tok")).alias("texts")))  # each on most pages: no more than a page has
-    return main.join(texts, "host", "left")
+    return main.join(texts, "host", "full")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -350,7 +356,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     bounded_batches(pages.sparkSession)
     found = materialize(deduce(pages), "templates")
     src = pages.select("page_id", "url", split_url(F.col("url"))[0].alias("host"), F.col("html").cast("string").alias("html"))
-    hashes = F.size("main") + F.coalesce(F.size("texts"), F.lit(0)) + 1
+    hashes = F.coalesce(F.size("main"), F.lit(0)) + F.coalesce(F.size("texts"), F.lit(0)) + 1
     if (found.agg(F.sum(hashes).alias("n")).first()["n"] or 0) <= BROADCAST_HASHES:
         d = src.join(F.broadcast(found), "host", "left")
     else:
