@@ -12,9 +12,10 @@ a slot, and the slot that holds the prose is the article:
    vector (an order-free hash of page and count), its pages and its prose;
 2. classes by (host, fingerprint), valid with ``MIN_CLASS`` tokens on
    ``SUPPORT`` of the host's pages, two at least;
-3. the slots are what varies: all prose outside short template text (on
-   ``FURNITURE`` of at least ``MIN_PAGES`` pages, outside paragraphs) and
-   outside furniture;
+3. the slots are what varies: all prose outside template text (text tokens of
+   a valid class on ``FURNITURE`` of the host's pages, two at least; an
+   element goes only if all its own text is template, whatever its kind and
+   length) and outside furniture;
 4. each page yields the text of all its slots in page order, without
    navigation, forms, adverts, notices, comments and what else is furniture by
    element, role or class.  Where the host's template has slots in article or
@@ -49,8 +50,6 @@ from .urls import split_url
 SUPPORT = 0.5
 MIN_CLASS = 3
 FURNITURE = 0.9
-MIN_PAGES = 5
-MAX_FURNITURE_CHARS = 200
 # Hashes (8 bytes each) of all deduced templates that may be broadcast.
 BROADCAST_HASHES = 1_000_000
 SALTS = 64
@@ -298,8 +297,11 @@ def blocks(page: str) -> list[tuple[Node, tuple[int, ...], int, str]]:
 
 
 def slots_of(found: list, drop: frozenset | set) -> list:
-    """The blocks without template text outside paragraphs."""
-    return [b for b in found if b[0].name in PROSE or not all(t in drop for t in b[1])] if drop else found
+    """The blocks without template text; a prose element goes only if all its own text is template."""
+    if not drop:
+        return found
+    alive = {id(b[0]) for b in found if b[0].name in PROSE and not all(t in drop for t in b[1])}
+    return [b for b in found if (id(b[0]) in alive if b[0].name in PROSE else not all(t in drop for t in b[1]))]
 
 
 def count_tokens(pages: DataFrame) -> DataFrame:
@@ -334,7 +336,7 @@ def deduce(pages: DataFrame) -> DataFrame:
     toks = materialize(
         count_tokens(pages).groupBy("host", "tok").agg(
             F.sum(F.shiftright(F.xxhash64("page", "n"), 24)).alias("vector"), F.sum("share").alias("pages"),
-            F.max(F.struct("rank", "path")).alias("at"), F.sum("chars").alias("chars"), F.sum("n").alias("n")), "page-tokens")
+            F.max(F.struct("rank", "path")).alias("at"), F.sum("chars").alias("chars")), "page-tokens")
     hosts = toks.where("tok = 0").select("host", F.col("pages").alias("all"))
     often = toks.where("tok <> 0 and pages > 1.5").join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("all") - 1e-6)
     # equivalence classes; the valid ones are the template
@@ -345,8 +347,7 @@ def deduce(pages: DataFrame) -> DataFrame:
                  .select("host", F.col("at.path").alias("tok")).distinct())
     main = (slots.join(template.select("host", "tok"), ["host", "tok"], "left_semi")
                  .groupBy("host").agg(F.sort_array(F.collect_list("tok")).alias("main")))
-    texts = (template.where((F.col("all") >= MIN_PAGES) & (F.col("pages") >= FURNITURE * F.col("all") - 1e-6) & (F.col("chars") > 0)
-                            & (F.col("chars") <= MAX_FURNITURE_CHARS * F.col("n")))
+    texts = (template.where((F.col("pages") >= FURNITURE * F.col("all") - 1e-6) & (F.col("chars") > 0))
                      .groupBy("host").agg(F.sort_array(F.collect_list("tok")).alias("texts")))  # each on most pages: no more than a page has
     return main.join(texts, "host", "full")
 

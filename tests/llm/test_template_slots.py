@@ -14,7 +14,7 @@ def texts(spark, pages, host="a.b"):
 
 
 def test_article_in_siblings(spark):
-    pages = [f"<body>{MENU}<div class=lead><p>Lead {k}</p></div><div class=rest><p>Rest {k} is longer</p></div><footer>Foot</footer>" for k in range(6)]
+    pages = [f"<body>{MENU}<div class=lead><p>Lead {k}</p></div><div class=rest><p>Rest {k} is longer</p></div><p>Foot</p>" for k in range(6)]
     assert texts(spark, pages) == [f"Lead {k} Rest {k} is longer" for k in range(6)]
     pages = [f"<body>{MENU}<div class=entry-title><h1>Title {k}</h1></div><div class=entry-content><p>Body {k} and on</p></div>" for k in range(6)]
     assert texts(spark, pages) == [f"Title {k} Body {k} and on" for k in range(6)]
@@ -28,3 +28,18 @@ def test_two_templates(spark):
     a = [f"<body>{MENU}<div class=content><p>Of A {k} at some length</p></div><div class=box><p>Box {k}</p></div>" for k in range(7)]
     b = [f"<body>{MENU}<div class=story><p>Of B {k} at some length</p></div><div class=box><p>Box {k}</p></div>" for k in range(3)]
     assert texts(spark, a + b) == [*[f"Of A {k} at some length Box {k}" for k in range(7)], *[f"Of B {k} at some length Box {k}" for k in range(3)]]
+
+
+def test_template_text_in_prose_elements(spark):
+    notice = "This site asks its readers to subscribe to the weekly letter. " * 5
+    for n in (2, 3, 8):
+        pages = [f"<body>{MENU}<article><h1>Title {k}</h1><p>{notice}</p><h3>Subscribe now</h3><p>The <i>text</i> of {k}<br>and more</p>"
+                 f"<ul><li>Share it</li></ul><blockquote>Said {k}</blockquote></article>" for k in range(n)]
+        assert texts(spark, pages) == [f"Title {k} The text of {k} and more Said {k}" for k in range(n)]
+
+
+def test_copies_are_no_template(spark):
+    page = f"<body>{MENU}<article><h1>Title</h1><p>One</p><p>Two</p></article>"
+    assert texts(spark, [page, page]) == ["Title One Two"] * 2
+    other = f"<body>{MENU}<article><h1>Other</h1><p>Three</p></article>"
+    assert texts(spark, [page, page, page, other]) == [*["Title One Two"] * 3, "Other Three"]
