@@ -44,6 +44,12 @@ SCRIPT_STYLE = r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
 TAG = r"<[^>]*>"
 ARTICLE = r"(?is)<article\b[^>]*>(.*?)</article>"
 PARAGRAPH = r"(?i)<p\b[^>]*>(?:<b>)?([^<]*)"
+# A paragraph reaches to its closing tag or the next block.
+WHOLE_PARAGRAPH = (r"(?is)<p\b[^>]*>(.*?)(?=</p\s*>|</?(?:p|div|article|section|aside|main|nav|header|footer|form|fieldset|figure|figcaption|address|details"
+                   r"|ul|ol|li|dl|dt|dd|table|tbody|thead|tr|td|th|h[1-6]|hr|blockquote|pre)\b|\z)")
+INLINE_TAG = r"(?is)<!--.*?-->|<(?!br\b)[^>]*>"
+LAST_BREAKS = r"(?i)(?:<br\b[^>]*>\s*)+\z"
+BREAK = r"(?i)<br\b[^>]*>"
 ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a>"
 HREF = r"""(?i)\bhref\s*=\s*"([^"]*)\""""
 HAS_HREF = r"(?i)\bhref\s*="
@@ -106,12 +112,19 @@ def first_or_null(col, pattern: str) -> Column:
 
 
 def article(clean_html) -> Column:
-    return first_or_null(clean_html, ARTICLE)
+    """Markup of all articles of a page, in page order; NULL without one."""
+    c = _c(clean_html)
+    return F.when(c.rlike(ARTICLE), F.array_join(F.regexp_extract_all(c, F.lit(ARTICLE), F.lit(1)), "\n"))
 
 
 def paragraphs(clean_html) -> Column:
-    """Array of direct paragraph texts (bold lead-in kept) inside <article>."""
-    return F.regexp_extract_all(F.coalesce(article(clean_html), F.lit("")), F.lit(PARAGRAPH), F.lit(1))
+    """Array of whole paragraph texts inside <article>: tags removed, line breaks kept."""
+    found = F.regexp_extract_all(F.coalesce(article(clean_html), F.lit("")), F.lit(WHOLE_PARAGRAPH), F.lit(1))
+
+    def text(x: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, INLINE_TAG, ""), LAST_BREAKS, ""), BREAK, "\n")
+
+    return F.transform(found, text)
 
 
 def anchor_attrs(clean_html) -> Column:

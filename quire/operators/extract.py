@@ -44,7 +44,7 @@ def decoded_paragraphs(features: DataFrame) -> DataFrame:
 
 
 def explode_paragraphs(pages: DataFrame) -> DataFrame:
-    """Direct text of each <p> inside <article>, in order (blank kept).
+    """Whole text of each <p> inside <article>, in order (blank kept).
     Unused feature columns are pruned by Catalyst."""
     return paragraphs_of(page_features(pages))
 

@@ -114,9 +114,17 @@ class _TreeWalker(HTMLParser):
         self.prev_start = node if push else None
 
     def handle_starttag(self, tag, attrs):
+        self._break(tag)
         self._open(tag, attrs, tag not in VOID_TAGS)
 
+    def _break(self, tag):
+        # a line break counts once text follows it
+        if tag == "br":
+            for n in self.stack:
+                n["br"] = True
+
     def handle_startendtag(self, tag, attrs):
+        self._break(tag)
         self._open(tag, attrs, False)
         self.pending, self.prev_start = [], None
 
@@ -129,6 +137,12 @@ class _TreeWalker(HTMLParser):
             self.pending, self.prev_start = [], None
             return
         for n in self.stack:
+            if n.get("br"):
+                if not data.strip():
+                    continue
+                del n["br"]
+                if n["parts"]:
+                    n["parts"].append("\n")
             n["parts"].append(data)
         for n in self.pending:
             if n["first_text"] is None:
@@ -230,17 +244,17 @@ def select_nodes(nodes: DataFrame, rules: DataFrame) -> DataFrame:
 
 def rule_features(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Per-page features for the book job from the route's selector rules:
-    title = first 'title' node, paragraphs = leading text of each 'body'
+    title = first 'title' node, paragraphs = whole text of each 'body'
     node in document order.  Same columns as ``extract.page_features``."""
     from ..functions.text import unicode_strip
     spark = pages.sparkSession
     sel = select_nodes(html_nodes(pages), rules if rules is not None else rules_frame(spark))
     per = (sel.groupBy("page_id")
-              .agg(F.min_by(F.when(F.col("field") == "title", F.col("first_text")),
+              .agg(F.min_by(F.when(F.col("field") == "title", F.col("text")),
                             F.when(F.col("field") == "title", F.col("pos"))).alias("title"),
                    F.sort_array(F.collect_list(F.when(F.col("field") == "body",
-                                                      F.struct("pos", "first_text")))).alias("_b")))
-    paras = F.transform("_b", lambda x: x["first_text"])
+                                                      F.struct("pos", "text")))).alias("_b")))
+    paras = F.transform("_b", lambda x: x["text"])
     base = pages.select("page_id", "url", "book_id")
     return (base.join(per, "page_id", "left")
                 .select("page_id", "url", "book_id", unicode_strip("title").alias("title"),
