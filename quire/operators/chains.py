@@ -1,32 +1,26 @@
-"""Follow "next page" chains as a distributed list ranking.
+"""Follow "next page" chains by pointer doubling.
 
-The reference walks one link at a time.  Here every page learns its chain
-head and its distance from it by pointer jumping over the reversed edges:
-each round doubles the distance a pointer covers, so a chain of length L
-needs ceil(log2 L) rounds of one join each - no per-step loop, no
-recursion limit, no single task holding a chain.
+The reference walks one link at a time.  Here all walks go on at once: after
+k rounds each start has the first 2^k pages of its walk, and one join with
+the pointers 2^k pages ahead doubles that, so a walk of length L needs
+ceil(log2 L) rounds - no per-step loop, no recursion limit, no single task
+holding a chain.  Rows are (start, page): a page that several walks share
+comes once for each.
 
 Semantics of the walk kept from the reference, with its defects fixed:
 * a page has at most one "next" link (the smallest target if several);
 * a walk ends at a missing link;
-* a walk never visits a page twice (cycle guard): edges into a start page
-  are cut, and pages on a cycle that no start reaches are not output;
-* a page claimed as "next" by several pages stays in the chain of the
-  smallest claimant (SURVEY X11 names the revisit, not a fan-in rule).
+* a walk never visits a page twice (cycle guard); another start ends no walk;
+* pages on a cycle that no start reaches are in no walk: ``unreached`` gives them.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_root
 
-# Largest number of explicit start pages broadcast to the final filter.
-BROADCAST_MAX_STARTS = 2_000_000
-
 
 def follow_chain(edges: DataFrame, starts: DataFrame | None = None,
                  src: str = "from_url", dst: str = "to_url") -> DataFrame:
@@ -43,47 +37,27 @@ def follow_chain(edges: DataFrame, starts: DataFrame | None = None,
     nodes = (nxt.select(F.col("u").alias("node"))
                 .unionByName(e.select(F.col("v").alias("node")))
                 .distinct())
-    explicit = starts is not None
-    if not explicit:
+    if starts is None:
         starts = nodes.join(e.select(F.col("v").alias("node")), "node", "left_anti")
-    starts = starts.select("node").distinct()
-    # cut edges into a start: the walk from a start stops before revisiting it
-    e = e.join(starts.select(F.col("node").alias("v")), "v", "left_anti")
-    # reversed pointers; fan-in resolved to the smallest predecessor
-    prev = e.groupBy("v").agg(F.min("u").alias("p"))
-    state = (nodes.join(prev.withColumnRenamed("v", "node"), "node", "left")
-                  .select("node",
-                          F.coalesce("p", "node").alias("ptr"),
-                          F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("dist"),
-                          F.col("p").isNull().alias("is_head")))
-    heads = state.where("is_head").select("node")
-    # done <=> ptr is a head
-    state = (state.join(heads.withColumn("ph", F.lit(True)).withColumnRenamed("node", "ptr"), "ptr", "left")
-                  .select("node", "ptr", "dist", F.coalesce("ph", F.lit(False)).alias("done")))
-    state = materialize(state, "chain-state")
-    n = state.count()
-    max_rounds = max(1, math.ceil(math.log2(max(n, 2)))) + 1
-    for _ in range(max_rounds):
-        active = state.where(~F.col("done"))
-        if active.count() == 0:
-            break
-        # active pointers are distinct (list ranking): the join key has no hot value
-        b = state.select(F.col("node").alias("b_node"), F.col("ptr").alias("b_ptr"),
-                         F.col("dist").alias("b_dist"), F.col("done").alias("b_done"))
-        step = (active.join(b, active["ptr"] == b["b_node"])
-                      .select("node", F.col("b_ptr").alias("ptr"),
-                              (F.col("dist") + F.col("b_dist")).alias("dist"),
-                              F.col("b_done").alias("done")))
-        state = materialize(state.where("done").unionByName(step), "chain-state")
-    # rows still active sit on a cycle no start reaches
-    out = state.where("done")
-    if explicit:
-        # heads that are not starts are dropped (every head is a start by
-        # default).  ptr is hot here (a whole chain shares its head): the
-        # starts are broadcast when within the bound, so no row moves; else a
-        # shuffle join whose skewed side AQE splits.
-        st = starts.select(F.col("node").alias("ptr"))
-        if st.count() <= BROADCAST_MAX_STARTS:
-            st = F.broadcast(st)
-        out = out.join(st, "ptr", "left_semi")
-    return out.select(F.col("ptr").alias("head"), "node", (F.col("dist") + 1).alias("page_no"))
+    else:
+        starts = starts.select("node").distinct().join(nodes, "node", "left_semi")
+    walk = materialize(starts.select(F.col("node").alias("head"), "node", F.lit(1).cast("long").alias("page_no")), "chain-walk")
+    # jump: the page ``ahead`` pages on, of the pages that have one
+    jump, ahead, n = e, 1, walk.count()
+    while True:
+        far = walk.join(jump, walk["node"] == jump["u"]).select("head", F.col("v").alias("node"), (F.col("page_no") + ahead).alias("page_no"))
+        # on a cycle the first visit counts
+        walk = materialize(walk.unionByName(far).groupBy("head", "node").agg(F.min("page_no").alias("page_no")), "chain-walk")
+        before, n = n, walk.count()
+        if n == before:
+            return walk
+        again = jump.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        jump = materialize(jump.join(again, "v").select("u", F.col("w").alias("v")), "chain-jump")
+        ahead *= 2
+
+
+def unreached(edges: DataFrame, walks: DataFrame, src: str = "from_url", dst: str = "to_url") -> DataFrame:
+    """(node): the pages of ``edges`` in none of the walks of ``follow_chain``
+    - on, or linked only from, a cycle without a start, or by a further "next" link."""
+    nodes = edges.select(F.col(src).alias("node")).unionByName(edges.select(F.col(dst).alias("node")))
+    return nodes.where(F.col("node").isNotNull()).distinct().join(walks.select("node"), "node", "left_anti")
