@@ -11,8 +11,11 @@ median count of marked words: grade 2 at or above it, grade 1 below.
 
 Learning reads a bounded sample of the labelled rows (``FIT_ROWS``, taken by
 a hash of doc_id).  Words are counted by Spark over that sample; those whose
-chi-square against the label is large become features (at most ``FEATURES``,
-the only thing the driver sees besides the sample's few selected counts).
+chi-square against the label stands out from chance become features: by rank,
+as far as ``FALSE_SHARE`` of them at most are expected by chance among all
+words counted (Benjamini-Hochberg), so the cut follows the sample's size (at
+most ``FEATURES``, the only thing the driver sees besides the sample's few
+selected counts).
 Scoring runs over the whole text of every row in ``mapInArrow``; nothing is
 shuffled.
 
@@ -24,6 +27,7 @@ score alike; other columns pass by (``keep_clean`` returns them as they came).
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -41,7 +45,8 @@ from .common import bounded_batches, read
 FIT_ROWS = 20_000
 FEATURES = 8_192
 MIN_DOCS = 3
-MIN_CHI2 = 24.0
+# Expected share of chance among the chosen features.
+FALSE_SHARE = 0.2
 BEGINNINGS = (3, 4, 5, 6, 7)
 GRADES = 3
 CUT = 0.5
@@ -138,8 +143,10 @@ def select_features(sample: DataFrame) -> list[tuple[str, bool]]:
     c = seen.groupBy("f").agg(F.sum("a").cast("double").alias("a"), F.sum("m").cast("double").alias("m"))
     a, m = F.col("a"), F.col("m")
     chi = total * F.pow(a * total - m * pos, 2) / (m * (total - m) * float(pos) * (total - pos))
-    top = (c.where((m >= MIN_DOCS) & (m < total)).withColumn("chi", chi).where(F.col("chi") >= MIN_CHI2)
-            .orderBy(F.desc("chi"), "f").limit(FEATURES).collect())
+    c = materialize(c.where((m >= MIN_DOCS) & (m < total)).withColumn("chi", chi), "toxic-features")
+    top, tried = c.orderBy(F.desc("chi"), "f").limit(FEATURES).collect(), c.count()
+    passed = [k for k, r in enumerate(top, 1) if math.erfc(math.sqrt(r["chi"] / 2)) <= FALSE_SHARE * k / tried]
+    top = top[: passed[-1]] if passed else []
     return [(r["f"], r["a"] * total > r["m"] * pos) for r in top]
 
 
