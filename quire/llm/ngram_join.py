@@ -161,9 +161,10 @@ class Forest:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n, sig of every row that has a doc_id."""
+    """doc_id, key, n, sig and text_hash of every row that has a doc_id."""
     bounded_batches(docs.sparkSession)
-    src = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                                                            F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
@@ -171,9 +172,9 @@ def sign(docs: DataFrame) -> DataFrame:
             sets = [shingle(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([minhash(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "key", "n", "sig"])
+                 pa.array([minhash(s).tobytes() for s in sets], pa.binary()), b.column(2)], names=["doc_id", "key", "n", "sig", "text_hash"])
 
-    return src.mapInArrow(run, "doc_id long, key binary, n long, sig binary")
+    return src.mapInArrow(run, "doc_id long, key binary, n long, sig binary, text_hash long")
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
@@ -258,40 +259,58 @@ def _verify(units: DataFrame) -> DataFrame:
     return units.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(run, "cid long, key binary, links long, tied long")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the near-duplicate group), n_links
-    (other rows at or above the threshold) and kept, one row per row."""
-    signed = materialize(sign(docs), "signed")
+def _classes(signed: DataFrame) -> DataFrame:
+    """key, doc (smallest doc_id), copies, sig and cid of each text class.  The
+    cid is doc, but for a doc_id that comes with several texts: there the
+    further classes go by a hash of their key, so that only verified links tie them."""
     classes = materialize(signed.where("n > 0").groupBy("key").agg(
-        F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "classes")
+        F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "classes")
+    again = materialize(classes.groupBy("doc").agg(F.min("key").alias("own"), F.count(F.lit(1)).alias("m")).where("m > 1").select("doc", "own"), "repeated-ids")
+    if again.isEmpty():
+        return classes.withColumn("cid", F.col("doc"))
+    own = F.col("own").isNull() | (F.col("own") == F.col("key"))
+    return materialize(classes.join(again, "doc", "left").withColumn("cid", F.when(own, F.col("doc")).otherwise(F.xxhash64("key"))).drop("own"), "classes")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """What ``join`` returns of the rows with a doc_id, with their text_hash and text group."""
+    signed = materialize(sign(docs), "signed")
+    classes = _classes(signed)
     clusters = components(_candidates(classes)).select(F.col("node").alias("cid"), "root")
     # members with their texts, dealt into blocks of bounded size
-    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), F.col("text").cast("string").alias("text"))
-    members = materialize(clusters.join(texts, "cid").join(classes, "cid"), "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    members = materialize(clusters.join(classes, "cid").join(texts, "doc"), "members")
     size = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
     dealt = members.join(size, "root").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "key", "copies", "block", "sig", "text")
     found = materialize(_verify(units), "verified")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    # a doc_id that comes with several texts ties their classes
-    twice = signed.where("n > 0").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b")
-    again = twice.join(signed.where("n > 0"), "doc_id").join(classes.select("key", "cid"), "key").select(F.col("doc_id").alias("u"), F.col("cid").alias("v"))
-    groups = components(found.select(F.col("cid").alias("u"), F.col("tied").alias("v")).union(again)).select(F.col("node").alias("cid"), F.col("root").alias("group"))
-    of_class = (classes.select("key", "cid", "copies").join(links, "key", "left").join(groups, "cid", "left")
-                       .select("key", F.coalesce("group", "cid").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    rows = signed.select("doc_id", "key", "n").join(of_class, "key", "left")
-    rows = rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    groups = materialize(components(found.select(F.col("cid").alias("u"), F.col("tied").alias("v"))).select(F.col("node").alias("cid"), F.col("root").alias("group")), "groups")
+    # a group goes by its smallest doc_id
+    named = groups.join(classes.select("cid", "doc"), "cid").groupBy("group").agg(F.min("doc").alias("class_id"))
+    of_class = (classes.select("key", "cid", "doc", "copies").join(links, "key", "left").join(groups.join(named, "group"), "cid", "left")
+                       .select("key", F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("group", "cid").alias("group"),
+                               (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    rows = signed.select("doc_id", "key", "text_hash").join(of_class, "key", "left")
+    rows = rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group", "text_hash")
+    return rows.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the near-duplicate group), n_links
+    (other rows at or above the threshold) and kept, one row per row.  Texts
+    that share a doc_id are judged each for itself."""
     nameless = docs.where(F.col("doc_id").isNull()).select(
-        F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    rows = rows.unionByName(nameless)
-    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+        F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return _judged(docs).select("doc_id", "class_id", "n_links", "kept").unionByName(nameless)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group, all columns as they came; rows without a doc_id stay."""
-    kept = join(docs).where("kept").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = _judged(docs).where("kept").groupBy("doc_id", "group").agg(F.min("text_hash").alias("_text_hash")).select("doc_id", "_text_hash").distinct()
+    named = (docs.where(F.col("doc_id").isNotNull()).withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
+                 .join(kept, ["doc_id", "_text_hash"], "left_semi").dropDuplicates(["doc_id", "_text_hash"]))
     return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
