@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_cross_tokenizer_alignment
 from .bpe import op4_bpe_encode_decode
 from .licenses import op6_license_scan
 from .mixing import OP7_SQL, op7_source_mix
@@ -24,6 +25,7 @@ QUERIES = {q.__name__: q for q in (
     op8_embedding_near_dedup,
     op9_url_filters,
     op10_quality_rules,
+    op12_cross_tokenizer_alignment,
 )}
 
 ORACLE = {"op7_source_mix": OP7_SQL}
