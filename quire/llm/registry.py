@@ -9,6 +9,7 @@ from .mixing import OP7_SQL, op7_source_mix
 from .multi_index import op8_embedding_near_dedup
 from .ngram_join import op1_ngram_jaccard_join
 from .perspectives import op3_perspective_rotation
+from .phrases import OP13_SQL, op13_phrase_mining
 from .quality import op10_quality_rules
 from .templates import op5_html_extraction
 from .toxicity import op2_toxicity
@@ -26,6 +27,7 @@ QUERIES = {q.__name__: q for q in (
     op9_url_filters,
     op10_quality_rules,
     op12_cross_tokenizer_alignment,
+    op13_phrase_mining,
 )}
 
-ORACLE = {"op7_source_mix": OP7_SQL}
+ORACLE = {"op7_source_mix": OP7_SQL, "op13_phrase_mining": OP13_SQL}
