@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .alignment import op12_cross_tokenizer_alignment
 from .bpe import op4_bpe_encode_decode
+from .language_crf import op11_language_id
 from .licenses import op6_license_scan
 from .mixing import OP7_SQL, op7_source_mix
 from .multi_index import op8_embedding_near_dedup
@@ -26,6 +27,7 @@ QUERIES = {q.__name__: q for q in (
     op8_embedding_near_dedup,
     op9_url_filters,
     op10_quality_rules,
+    op11_language_id,
     op12_cross_tokenizer_alignment,
     op13_phrase_mining,
 )}
