@@ -8,16 +8,20 @@ it is counted from the next shard on until every shard has been its turn
 once.  So lengths interleave: pairs are counted while the words' cycle still
 runs.  The scans end when no shard has a phrase left to count.
 
+During the scans a phrase is its 64-bit hash: two that share one are counted
+together, which makes a count too large, never too small.  One last scan
+counts what reached the threshold by the phrases themselves, so the result is
+exact.
+
 Which phrases have reached the threshold is told to the tasks by a Bloom
 filter of fixed size (FILTER_BITS), made by Spark.  It only ever grows, and
 each shard remembers the filter of its last scan: an occurrence is counted
 when its parts are in the filter now and were not both in it then, which is
 once per phrase and shard.  A false positive counts a phrase that cannot
 reach the threshold, as its parts have not: results are exact whatever the
-filter's load.  The counts themselves never leave Spark: partial counts of a
-group of texts (ids local to the group, exact), merged by phrase with those
-of the rounds before, written to the shared folder; finished phrases below
-the threshold go.
+filter's load.  The counts never leave Spark: partial counts of a group of
+texts, merged with those of the rounds before, written to the shared folder;
+phrases that end their cycle below the threshold go.
 
 Texts: A-Z to lower case, cut at ``.,;:!?`` and line ends into pieces, these
 into words at spaces and tabs.
@@ -65,7 +69,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
-ROW = "lang string, k int, phrase string, h long, n long"
+HASHED = "h long, n long"
+SPELLED = "lang string, k int, phrase string, n long"
 
 
 class Filter:
@@ -102,94 +107,129 @@ def _hash(parent: np.ndarray, last: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def count_group(langs: pa.Array, texts: pa.Array, now: Filter | None, then: Filter | None) -> Iterator[pa.RecordBatch]:
-    """Phrase counts of a group of texts: words in a shard's first scan (no
-    ``then``), longer phrases whose parts are in ``now`` and not both in ``then``."""
-    texts = pc.binary_join_element_wise(pc.cast(texts, pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = _LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
-    kind = _KIND[raw]
-    inside = kind == 0
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
-    start, stop = edge[::2], edge[1::2]
-    if not len(start):
-        return
-    piece = np.cumsum(kind == 2, dtype=np.int32)[start]
-    doc = np.searchsorted(offsets[1:] - offsets[0], start, side="right")
-    cut = np.append(0, np.cumsum(stop - start))
-    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(raw[inside])).dictionary_encode()
-    lang = langs.dictionary_encode()
-    key = (lang.indices.to_numpy().astype(np.int64)[doc] << 32) + words.indices.to_numpy()
-    coded = pa.array(key).dictionary_encode()
-    word_id, own = coded.indices.to_numpy(), coded.dictionary.to_numpy()
-    word_lang, word_text = lang.dictionary.take(pa.array(own >> 32)), words.dictionary.take(pa.array(own & 0xFFFFFFFF))
-    prefix = [x.encode() + b"\x00" for x in lang.dictionary.to_pylist()]
-    word_hash = np.array([xxhash.xxh64_intdigest(prefix[c] + w.as_buffer().to_pybytes()) for c, w in zip((own >> 32).tolist(), word_text)], np.uint64)
-
-    def rows(k: int, lang: pa.Array, text: pa.Array, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        keep = np.flatnonzero(n)
-        at = pa.array(keep)
-        return pa.RecordBatch.from_arrays([lang.take(at), pa.array(np.full(len(keep), k, np.int32)), pc.cast(text.take(at), pa.string()),
-                                           pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["lang", "k", "phrase", "h", "n"])
-
-    if then is None:
-        n = np.bincount(word_id)
-        yield rows(1, word_lang, word_text, word_hash, n)
-        total = np.bincount(lang.indices.to_numpy()[doc], minlength=len(lang.dictionary))
-        yield rows(0, lang.dictionary, pa.array([""] * len(total), pa.string()), np.zeros(len(total), np.uint64), total)
-    if now is None:
-        return
-    # level k-1: which places start a phrase that reached the threshold, by now and by then; its id, text and hash
-    ident, text, h, last = word_id.astype(np.int64), word_text, word_hash, word_id
-    is_now = now.has(h)[ident]
-    is_then = then.has(h)[ident] if then is not None else np.zeros(len(ident), bool)
-    for k in range(2, MAX_WORDS + 1):
-        if len(start) < k:
-            return
-        m = len(start) - k + 1
-        at = np.flatnonzero(is_now[:m] & is_now[1 : m + 1] & (piece[:m] == piece[k - 1 :]))
-        if not len(at):
-            return
-        tail = last[at + k - 1]
-        coded = pa.array((ident[at] << 32) + tail).dictionary_encode()
-        idx, uniq = coded.indices.to_numpy(), coded.dictionary.to_numpy()
-        head, end = uniq >> 32, uniq & 0xFFFFFFFF
-        text = pc.binary_join_element_wise(text.take(pa.array(head)), word_text.take(pa.array(end)), pa.scalar(" ", pa.large_string()))
-        h = _hash(h[head], word_hash[end])
-        fresh = ~(is_then[at] & is_then[at + 1])
-        yield rows(k, word_lang.take(pa.array(end)), text, h, np.bincount(idx[fresh], minlength=len(uniq)))
-        ident = np.zeros(m, np.int64)
-        ident[at] = idx
-        is_now, is_then = np.zeros(m, bool), np.zeros(m, bool)
-        is_now[at] = now.has(h)[idx]
-        if then is not None:
-            is_then[at] = then.has(h)[idx]
-
-
-def scan(shard: DataFrame, now, then) -> DataFrame:
-    """Counts of one scan of a shard: lang, k, phrase, h, n; k = 0 are the words of a language in all."""
+class Places:
+    """The words of a group of texts: piece, language and id of each; text,
+    language and hash of each id."""
+
+    def __init__(self, langs: pa.Array, texts: pa.Array):
+        texts = pc.binary_join_element_wise(pc.cast(texts, pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = _LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
+        kind = _KIND[raw]
+        inside = kind == 0
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+        start, stop = edge[::2], edge[1::2]
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[start]
+        doc = np.searchsorted(offsets[1:] - offsets[0], start, side="right")
+        cut = np.append(0, np.cumsum(stop - start)).astype(np.int64)
+        words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(cut), pa.py_buffer(raw[inside])).dictionary_encode()
+        lang = langs.dictionary_encode()
+        self.langs, self.lang = lang.dictionary, lang.indices.to_numpy()[doc]
+        coded = pa.array((self.lang.astype(np.int64) << 32) + words.indices.to_numpy()).dictionary_encode()
+        self.id, own = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        self.word_lang, self.word = self.langs.take(pa.array(own >> 32)), words.dictionary.take(pa.array(own & 0xFFFFFFFF))
+        prefix = [x.encode() + b"\x00" for x in self.langs.to_pylist()]
+        self.hash = np.array([xxhash.xxh64_intdigest(prefix[c] + w.as_buffer().to_pybytes()) for c, w in zip((own >> 32).tolist(), self.word)], np.uint64)
+
+    def phrases(self, now: Filter, then: Filter | None) -> Iterator[tuple]:
+        """Per length from 2 on, the phrases whose parts are in ``now``: for
+        each (part, last word, hash), and the id of each place with whether
+        its parts were not both in ``then``.  A part is an id of the length before."""
+        ident, h = self.id, self.hash
+        is_now = now.has(h)[ident]
+        is_then = then.has(h)[ident] if then is not None else np.zeros(len(ident), bool)
+        for k in range(2, MAX_WORDS + 1):
+            m = max(len(self.id) - k + 1, 0)
+            at = np.flatnonzero(is_now[:m] & is_now[1 : m + 1] & (self.piece[:m] == self.piece[k - 1 :]))
+            if not len(at):
+                return
+            coded = pa.array((ident[at].astype(np.int64) << 32) + self.id[at + k - 1]).dictionary_encode()
+            idx, own = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+            part, last = own >> 32, own & 0xFFFFFFFF
+            h = _hash(h[part], self.hash[last])
+            yield k, part, last, h, idx, ~(is_then[at] & is_then[at + 1])
+            ident = np.zeros(m, np.int32)
+            ident[at] = idx
+            is_now, is_then = np.zeros(m, bool), np.zeros(m, bool)
+            is_now[at] = now.has(h)[idx]
+            if then is not None:
+                is_then[at] = then.has(h)[idx]
+
+
+def count_hashes(places: Places, now: Filter | None, then: Filter | None) -> pa.RecordBatch:
+    """(h, n): words in a shard's first scan (no ``then``), longer phrases whose
+    parts are in ``now`` and not both in ``then``."""
+    found = [(places.hash, np.bincount(places.id, minlength=len(places.hash)))] if then is None else []
+    if now is not None:
+        found += [(h, np.bincount(idx[fresh], minlength=len(h))) for *_, h, idx, fresh in places.phrases(now, then)]
+    h, n = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    keep = n > 0
+    return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["h", "n"])
+
+
+def count_phrases_of(places: Places, reached: Filter) -> Iterator[pa.RecordBatch]:
+    """(lang, k, phrase, n) of the phrases in the filter; k = 0: the words of a language in all."""
+    names = ["lang", "k", "phrase", "n"]
+
+    def rows(k: int, lang: pa.Array, text: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(n), k, np.int32)), pc.cast(text, pa.string()), pa.array(n.astype(np.int64))], names=names)
+
+    total = np.bincount(places.lang, minlength=len(places.langs))
+    yield rows(0, places.langs, pa.array([""] * len(total), pa.string()), total)
+    # the spelling of the phrases of one length that are in the filter, and where each id's is
+    own = np.flatnonzero(reached.has(places.hash))
+    spelled, where = places.word.take(pa.array(own)), np.zeros(len(places.hash), np.int64)
+    where[own] = np.arange(len(own))
+    yield rows(1, places.word_lang.take(pa.array(own)), spelled, np.bincount(places.id, minlength=len(places.hash))[own])
+    for k, part, last, h, idx, _ in places.phrases(reached, None):
+        own = np.flatnonzero(reached.has(h))
+        end = pa.array(last[own])
+        spelled = pc.binary_join_element_wise(spelled.take(pa.array(where[part[own]])), places.word.take(end), pa.scalar(" ", pa.large_string()))
+        where = np.zeros(len(h), np.int64)
+        where[own] = np.arange(len(own))
+        yield rows(k, places.word_lang.take(end), spelled, np.bincount(idx, minlength=len(h))[own])
+
+
+def scan(texts: DataFrame, count, schema: str) -> DataFrame:
+    """``count`` (places -> record batches) over groups of about GROUP_BYTES of text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new = Filter(now.value) if now is not None else None
-        old = Filter(then.value) if then is not None else None
         held: list[pa.RecordBatch] = []
         size = 0
 
-        def count() -> Iterator[pa.RecordBatch]:
+        def counted() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
             for lo, hi in _cuts(t["text"]):
                 part = t.slice(lo, hi - lo)
-                yield from count_group(*(part[c].combine_chunks() for c in ("lang", "text")), new, old)
+                places = Places(*(part[c].combine_chunks() for c in ("lang", "text")))
+                if len(places.id):
+                    yield from count(places)
 
         for b in batches:
             held.append(b)
             size += b.nbytes
             if size >= GROUP_BYTES:
-                yield from count()
+                yield from counted()
                 held, size = [], 0
         if held:
-            yield from count()
+            yield from counted()
+
+    return texts.select("lang", "text").mapInArrow(run, schema)
+
+
+def scan_round(texts: DataFrame, now, then) -> DataFrame:
+    """(h, n) of a shard; ``now`` and ``then`` are broadcast filter blocks or None."""
+    def count(places: Places) -> Iterator[pa.RecordBatch]:
+        yield count_hashes(places, Filter(now.value) if now is not None else None, Filter(then.value) if then is not None else None)
+
+    return scan(texts, count, HASHED)
+
+
+def scan_last(texts: DataFrame, reached) -> DataFrame:
+    """(lang, k, phrase, n) of the phrases in the broadcast filter."""
+    def count(places: Places) -> Iterator[pa.RecordBatch]:
+        yield from count_phrases_of(places, Filter(reached.value))
 
-    return shard.select("lang", "text").mapInArrow(run, ROW)
+    return scan(texts, count, SPELLED)
 
 
 def _cuts(texts: pa.ChunkedArray) -> Iterator[tuple[int, int]]:
@@ -213,33 +253,31 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHA
          .withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
          .write.option("compression", "zstd").partitionBy("shard").parquet(path))
     texts = spark.read.schema("lang string, text string, shard int").parquet(path)
-    totals = spark.createDataFrame([], ROW + ", since int")
-    blocks, version = None, 0
+    totals = spark.createDataFrame([], HASHED + ", since int")
+    blocks, version = np.zeros(filter_bits // 64, np.uint64), 0
     seen: list[int | None] = [None] * shards  # version of the filter at each shard's last scan
-    last: list = [None] * shards
+    last: list[np.ndarray | None] = [None] * shards
     r = 0
     while any(v != version for v in seen):
-        s, now = r % shards, None
+        s = r % shards
         if seen[s] != version:
-            now = spark.sparkContext.broadcast(blocks) if blocks is not None else None
+            now = spark.sparkContext.broadcast(blocks) if version else None
             # before the first scan nothing has been counted: words count, and all that is active
             then = spark.sparkContext.broadcast(last[s]) if last[s] is not None else None
-            found = scan(texts.where(F.col("shard") == s), now, then)
-            totals = totals.unionByName(found.withColumn("since", F.lit(r)))
-            totals = totals.groupBy("lang", "k", "phrase", "h").agg(F.sum("n").alias("n"), F.min("since").alias("since"))
+            found = scan_round(texts.where(F.col("shard") == s), now, then)
+            totals = totals.unionByName(found.withColumn("since", F.lit(r))).groupBy("h").agg(F.sum("n").alias("n"), F.min("since").alias("since"))
             # a phrase first met in round q was active in it: round q + shards - 1 ends its cycle
-            totals = materialize(totals.where((F.col("k") == 0) | (F.col("n") >= min_count) | (F.col("since") + (shards - 1) > r)), "phrase-counts")
-            last[s], seen[s] = blocks if blocks is not None else np.zeros(filter_bits // 64, np.uint64), version
+            totals = materialize(totals.where((F.col("n") >= min_count) | (F.col("since") + (shards - 1) > r)), "phrase-counts")
+            last[s], seen[s] = blocks, version
             for sent in (now, then):
                 if sent is not None:
                     sent.unpersist()
-            grown = filter_blocks(totals.where(F.col("k").between(1, MAX_WORDS - 1) & (F.col("n") >= min_count)), filter_bits)
-            if blocks is not None:
-                grown |= blocks
-            if not np.array_equal(grown, blocks if blocks is not None else np.zeros_like(grown)):
+            grown = blocks | filter_blocks(totals.where(F.col("n") >= min_count), filter_bits)
+            if not np.array_equal(grown, blocks):
                 blocks, version = grown, version + 1
         r += 1
-    return totals.where((F.col("k") == 0) | (F.col("n") >= min_count)).select("lang", "k", "phrase", "n")
+    exact = scan_last(texts, spark.sparkContext.broadcast(blocks)).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    return materialize(exact.where((F.col("k") == 0) | (F.col("n") >= min_count)), "phrases")
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, subsume_percent: int = SUBSUME_PERCENT, top: int = TOP,
