@@ -34,7 +34,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,8 +55,8 @@ SWITCH_SHARE = 0.2
 LEXICON_COUNT = 3
 AFFIX_CHARS = 4
 GRAM_CHARS = 3
-STEPS = 120
-RATE = 0.1
+STEPS = 60
+RATE = 0.2
 RIDGE = 0.02
 # Words a worker remembers the scores of; words whose sums are held at once.
 CACHE_WORDS = 400_000
@@ -71,14 +70,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-def features(word: str, lexicon) -> list[int]:
-    """Hashes of a word's features; ``lexicon`` holds the words with a feature of their own."""
+def features(word: str, lexicon) -> set[str]:
+    """A word's features: its n-grams between border marks, its affixes (which
+    hold a mark), and the whole word where ``lexicon`` has it."""
     marked = f"^{word}$"
-    found = {"g" + marked[k : k + n] for n in range(1, GRAM_CHARS + 1) for k in range(len(marked) - n + 1)}
-    found |= {"p" + word[:n] for n in range(1, AFFIX_CHARS + 1)} | {"s" + word[-n:] for n in range(1, AFFIX_CHARS + 1)}
+    found = {marked[k : k + n] for n in range(1, GRAM_CHARS + 1) for k in range(len(marked) - n + 1)}
+    for n in range(GRAM_CHARS + 1, AFFIX_CHARS + 2):
+        found.add(marked[:n])
+        found.add(marked[-n:])
     if word in lexicon:
-        found.add("w" + word)
-    return [xxhash.xxh64_intdigest(f) for f in found]
+        found.add(marked)
+    return found
 
 
 def letters(word: str) -> str:
@@ -142,10 +144,10 @@ def forward_backward(psi: np.ndarray, cut: np.ndarray, first: np.ndarray, move:
 
 
 class Model:
-    """Labels, weights of the features seen, lexicon and transitions."""
+    """Labels, place of each feature seen, weights, lexicon and transitions."""
 
-    def __init__(self, labels: list[str], keys: np.ndarray, weights: np.ndarray, lexicon: frozenset, first: np.ndarray, move: np.ndarray):
-        self.labels, self.keys, self.weights, self.lexicon, self.first, self.move = labels, keys, weights, lexicon, first, move
+    def __init__(self, labels: list[str], index: dict[str, int], weights: np.ndarray, lexicon: frozenset, first: np.ndarray, move: np.ndarray):
+        self.labels, self.index, self.weights, self.lexicon, self.first, self.move = labels, index, weights, lexicon, first, move
 
 
 class Scorer:
@@ -170,14 +172,18 @@ class Scorer:
         m, base = self.model, len(self.place)
         while base + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        found = [features(c, m.lexicon) if (c := letters(w)) else [] for w in new]
-        size = np.array([len(f) for f in found])
-        flat = np.array([x for f in found for x in f], np.uint64)
-        at = np.minimum(np.searchsorted(m.keys, flat), len(m.keys) - 1)
-        known = m.keys[at] == flat
-        row = np.repeat(np.arange(len(new)), size)[known]
+        index, flat, row, size = m.index, [], [], np.zeros(len(new))
+        for k, w in enumerate(new):
+            c = letters(w)
+            if c:
+                found = features(c, m.lexicon)
+                size[k] = len(found)
+                known = [index[f] for f in found if f in index]
+                flat += known
+                row += [k] * len(known)
+        at, row = np.array(flat, np.int64), np.array(row, np.int64)
         share = 1 / np.sqrt(np.maximum(size, 1))
-        score = np.stack([np.bincount(row, w[at[known]], len(new)) for w in m.weights.T], 1) * share[:, None]
+        score = np.stack([np.bincount(row, w[at], len(new)) for w in m.weights.T], 1) * share[:, None]
         psi = np.exp(score - score.max(1, keepdims=True))
         # no letter, no label: zeros
         self.table[base : base + len(new)] = np.where(size[:, None] > 0, np.maximum(psi, 1e-12), 0)
@@ -257,7 +263,7 @@ def fit(docs: DataFrame) -> Model:
     words, ys = [w for w in words if w], [y for w, y in zip(words, ys) if w]
     k = len(labels)
     if not words:
-        return Model([], np.zeros(0, np.uint64), np.zeros((0, 0)), frozenset(), np.zeros(0), np.zeros((0, 0)))
+        return Model([], {}, np.zeros((0, 0)), frozenset(), np.zeros(0), np.zeros((0, 0)))
     cut = np.append(0, np.cumsum([len(w) for w in words]))
     coded = pa.array([w for own in words for w in own], pa.large_string()).dictionary_encode()
     code, unique = coded.indices.to_numpy(), coded.dictionary.to_pylist()
@@ -266,7 +272,8 @@ def fit(docs: DataFrame) -> Model:
     lexicon = frozenset(w for w, n in zip(unique, seen) if n >= LEXICON_COUNT)
     found = [features(w, lexicon) for w in unique]
     size = np.array([len(f) for f in found])
-    keys, col = np.unique(np.array([x for f in found for x in f], np.uint64), return_inverse=True)
+    index: dict[str, int] = {}
+    col = np.array([index.setdefault(x, len(index)) for f in found for x in sorted(f)])
     row = np.repeat(np.arange(len(unique)), size)
     share = 1 / np.sqrt(size)
     inner = np.ones(len(code), bool)
@@ -276,7 +283,7 @@ def fit(docs: DataFrame) -> Model:
     target[np.arange(len(code)), y] = 1
     true_first, true_move = target[cut[:-1]].mean(0), np.zeros((k, k))
     np.add.at(true_move, (y[later - 1], y[later]), 1)
-    w, first, move = np.zeros((len(keys), k)), np.zeros(k), np.zeros((k, k))
+    w, first, move = np.zeros((len(index), k)), np.zeros(k), np.zeros((k, k))
     params, moments = [w, first, move], [(np.zeros_like(p), np.zeros_like(p)) for p in (w, first, move)]
     for step in range(1, STEPS + 1):
         score = np.stack([np.bincount(row, w[col, c], len(unique)) for c in range(k)], 1) * share[:, None]
@@ -288,14 +295,14 @@ def fit(docs: DataFrame) -> Model:
         expected = turn * (fore[later - 1].T @ (ahead / scale[:, None]))
         miss = target - p
         of_word = np.stack([np.bincount(code, miss[:, c], len(unique)) for c in range(k)], 1) * share[:, None]
-        grads = [np.stack([np.bincount(col, of_word[row, c], len(keys)) for c in range(k)], 1) - RIDGE * w,
+        grads = [np.stack([np.bincount(col, of_word[row, c], len(index)) for c in range(k)], 1) - RIDGE * w,
                  (true_first - p[cut[:-1]].mean(0)) * len(words) - RIDGE * first, true_move - expected - RIDGE * move]
         for q, g, (m, v) in zip(params, grads, moments):
             g = g / len(words)
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             q += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(labels, keys, w, lexicon, np.exp(first - first.max()), np.exp(move - move.max()))
+    return Model(labels, index, w, lexicon, np.exp(first - first.max()), np.exp(move - move.max()))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
