@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .html import escape_html
+from .html import markup_text
 from .text import _c
 
 # --- fixed values -----------------------------------------------------------
@@ -54,19 +54,18 @@ def page_file_name(idx) -> Column:
     return F.concat(F.lit("page_"), _c(idx).cast("string"), F.lit(".txt"))
 
 
-def wrap_paragraphs(content) -> Column:
-    """Paragraph-joined content as well-formed markup; NULL/empty -> ''."""
-    c = F.coalesce(_c(content), F.lit(""))
-    return F.when(c == "", c).otherwise(F.concat(F.lit("<p>"), c, F.lit("</p>")))
+def paragraphs_html(texts) -> Column:
+    """An array of paragraph texts as well-formed markup: each escaped, in its own <p>."""
+    return F.array_join(F.transform(_c(texts), lambda x: F.concat(F.lit("<p>"), markup_text(x), F.lit("</p>"))), "")
 
 
 def chapter_html(title, body_markup) -> Column:
     """Chapter markup with the title escaped (NULL-safe), well-formed."""
-    t = escape_html(F.coalesce(_c(title), F.lit("")))
+    t = markup_text(F.coalesce(_c(title), F.lit("")))
     return fill(CHAPTER_TEMPLATE, title=t, body=F.coalesce(_c(body_markup), F.lit("")))
 
 
 def title_page_html(title, author) -> Column:
-    t = escape_html(F.coalesce(_c(title), F.lit("")))
-    a = escape_html(F.coalesce(_c(author), F.lit(UNKNOWN_AUTHOR)))
+    t = markup_text(F.coalesce(_c(title), F.lit("")))
+    a = markup_text(F.coalesce(_c(author), F.lit(UNKNOWN_AUTHOR)))
     return fill(TITLE_PAGE_TEMPLATE, title=t, author=a, notice=F.lit(NOTICE))

@@ -82,6 +82,17 @@ def conditional_normalize_array(arr, trigger: str = "\r") -> tuple[Column, Colum
     return flag, F.when(flag, normalize_text(joined, True)).otherwise(joined)
 
 
+def paragraph_pieces_array(arr, trigger: str = "\r") -> Column:
+    """E3 with the paragraphs kept apart: the non-blank fragments split on
+    ``trigger``, '' and '\\n' pieces dropped; if any fragment held the trigger,
+    every piece is normalized."""
+    import re
+    kept = F.filter(_col(arr), lambda x: F.length(unicode_strip(x)) > 0)
+    pieces = F.filter(F.flatten(F.transform(kept, lambda x: F.split(x, re.escape(trigger), -1))), lambda p: (p != "") & (p != "\n"))
+    clean = F.filter(F.transform(pieces, lambda p: normalize_text(p)), lambda p: p != "")
+    return F.when(F.exists(kept, lambda x: x.contains(trigger)), clean).otherwise(pieces)
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.text import LABEL_SEPARATOR, label_value, unicode_strip
-from ..functions.urls import NEXT_PAGE_TEXT
+from ..functions.urls import NEXT_PAGE_TEXT, absolutise, split_url_head
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
@@ -73,8 +73,8 @@ def explode_links(pages: DataFrame) -> DataFrame:
 
 
 def nav_links(pages: DataFrame) -> DataFrame:
-    """Contents links of the test pages: the <a> inside <nav>."""
-    return _links(clean_pages(pages).withColumn("clean", F.coalesce(H.first_or_null("clean", H.NAV), F.lit(""))))
+    """Contents links of the test pages: the <a> inside every <nav>."""
+    return _links(clean_pages(pages).withColumn("clean", F.array_join(H.inside("clean", "nav"), "</a>")))
 
 
 def anchors_with_href(links: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def page_metadata(pages: DataFrame) -> DataFrame:
     return c.select(
         "page_id", "book_id", t.alias("title"), a.alias("author"),
         unicode_strip(H.decode_entities(F.get(paras, 0))).alias("description"),
-        H.first_or_null("clean", H.IMG_SRC).alias("cover_url"),
+        absolutise(H.image_source("clean"), split_url_head("url")).alias("cover_url"),
         H.html_lang("html").alias("html_lang"))
 
 

@@ -174,6 +174,17 @@ def reassemble(chunks: DataFrame, key_cols, text_col: str = "translated", out_co
                         .alias(out_col)))
 
 
+def reassemble_paragraphs(chunks: DataFrame, key_cols, para_col: str, text_col: str = "translated", out_col: str = "paragraphs") -> DataFrame:
+    """E1 on two levels: chunks joined to paragraphs, paragraphs collected in
+    order, per key an array of (para, text); empty paragraphs dropped.  One
+    exchange on the outer key serves both levels; a group is one source row."""
+    keys = list(key_cols)
+    kept = (chunks.where(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
+                  .select(*keys, para_col, "chunk_no", F.col(text_col).alias("t")).repartition(*[F.col(k) for k in keys]))
+    return (reassemble(kept, [*keys, para_col], "t", "text").groupBy(*keys)
+                .agg(F.sort_array(F.collect_list(F.struct(F.col(para_col).alias("para"), "text"))).alias(out_col)))
+
+
 def pandas_translator(unknown: DataFrame, fn: Callable[[pd.Series, str], pd.Series]) -> DataFrame:
     """Run a batch translator on (src_lang, chunk_hash, source_text) rows with
     mapInPandas; rows go in Arrow batches, one call per language per batch."""
@@ -193,9 +204,12 @@ def pandas_translator(unknown: DataFrame, fn: Callable[[pd.Series, str], pd.Seri
 def translate_texts(texts: DataFrame, key_cols, glossary: DataFrame | None = None,
                     memory: DataFrame | None = None, translator=None,
                     text_col: str = "text", lang_col: str = "src_lang",
-                    target: str = TARGET_LANG) -> tuple[DataFrame, DataFrame]:
+                    target: str = TARGET_LANG, para_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Texts -> chunks -> distinct -> minus memory -> translate -> union
     memory -> lookup -> reassemble.  Returns (translations, new memory rows).
+    With ``para_col`` the texts of a key are paragraphs numbered by it: each is
+    chunked by itself and the result has one row per key, ``paragraphs`` an
+    array of (para, text).
 
     Text already in the target language skips the translator (filter placed
     before the expensive call by hand: Catalyst cannot move it past Python)."""
@@ -205,7 +219,8 @@ def translate_texts(texts: DataFrame, key_cols, glossary: DataFrame | None = Non
     # translator as NULL
     known_lang = lambda df: df.withColumn("src_lang", F.coalesce("src_lang", F.lit("")))
     null_lang = lambda df: df.withColumn("src_lang", F.nullif(F.col("src_lang"), F.lit("")))
-    chunks = chunk_texts(known_lang(texts.withColumnRenamed(lang_col, "src_lang")), keys + ["src_lang"], text_col)
+    kept = keys + [para_col] if para_col else keys
+    chunks = chunk_texts(known_lang(texts.withColumnRenamed(lang_col, "src_lang")), kept + ["src_lang"], text_col)
     if memory is not None:
         memory = known_lang(memory.select("src_lang", "chunk_hash", "translated_text"))
     # one distinct-chunk table (written once) gives both the translator's
@@ -222,6 +237,8 @@ def translate_texts(texts: DataFrame, key_cols, glossary: DataFrame | None = Non
         fresh = known_lang(pandas_translator(null_lang(todo.select("src_lang", "chunk_hash", "source_text")), translator))
     known = fresh if memory is None else memory.unionByName(fresh)
     looked = lookup_translations(chunks, known, hot=hot)
+    if para_col:
+        return reassemble_paragraphs(looked, keys, para_col), null_lang(fresh)
     return reassemble(looked, keys, "translated", "translated_text"), null_lang(fresh)
 
 

@@ -1,8 +1,9 @@
 """Pages -> ordered, translated chapters of every book at once.
 
 A1 pages -> F1 chapter numbers (skew-safe) -> C3/B7 paragraphs -> E3/E2
-content -> J1 language per page -> J2 translation of titles and bodies
-(distinct chunks only, glossary translator) -> I5 chapter markup.
+paragraphs -> J1 language per page -> J2 translation of the title and each
+paragraph (distinct chunks only, glossary translator) -> I5 chapter markup,
+every paragraph escaped in its own <p>.
 One lazy plan apart from the materialised numbering and the language
 model; shuffles at the numbering, the chunk dedupe/lookup and the re-joins.
 """
@@ -35,53 +36,41 @@ def build_books(pages: DataFrame, training_docs: DataFrame, glossary: DataFrame
     else:
         feats = materialize(X.page_features(pages), "page-features")
     num = B.number_chapters(feats).select("page_id", "book_id", "chapter_no")
-    titles = feats.select("page_id", "title")
     # E2/E3 on each page's own paragraph array: no shuffle (trigger '\r' as in the reference)
-    normalized, body = B.conditional_normalize_array(F.transform("paragraphs", H.decode_entities))
-    content = feats.select("page_id", normalized.alias("normalized"), body.alias("content"))
+    pieces = B.paragraph_pieces_array(F.transform("paragraphs", H.decode_entities))
     art = feats.select("page_id", F.col("article_text").alias("text"))
     # one small row per page, used twice below: written once to the shared folder
     langs = materialize(LG.detect(art, LG.train(training_docs), "page_id", out_col="src_lang"), "page-langs")
-    texts = (titles.select("page_id", F.lit("title").alias("part"), F.col("title").alias("text"))
-                   .unionByName(content.select("page_id", F.lit("body").alias("part"), F.col("content").alias("text")))
-                   .join(langs, "page_id"))
-    tr, _ = TR.translate_texts(texts, ["page_id", "part"], glossary=glossary, memory=memory, translator=translator)
-    # two rows per page (title, body) -> one; collect_list keeps the
-    # aggregate hash-based (a max over strings would force a sort)
-    wide = (tr.groupBy("page_id")
-              .agg(F.map_from_entries(F.collect_list(F.struct("part", "translated_text"))).alias("_m"))
-              .select("page_id", F.col("_m")["title"].alias("t_title"), F.col("_m")["body"].alias("t_body")))
-    j = (num.select("page_id", "book_id", "chapter_no")
-            .join(langs, "page_id", "left")
-            .join(content.select("page_id", "normalized"), "page_id", "left")
-            .join(wide, "page_id", "left"))
-    body = F.when(F.coalesce(F.col("normalized"), F.lit(False)), F.coalesce(F.col("t_body"), F.lit(""))) \
-            .otherwise(M.wrap_paragraphs("t_body"))
+    # text 0 is the title, the others the paragraphs: each is translated by itself
+    texts = (feats.select("page_id", F.concat(F.array("title"), pieces).alias("texts")).join(langs, "page_id", "left")
+                  .select("page_id", "src_lang", F.posexplode("texts").alias("para_no", "text")))
+    tr, _ = TR.translate_texts(texts, ["page_id"], glossary=glossary, memory=memory, translator=translator, para_col="para_no")
+    title = F.get(F.filter("paragraphs", lambda x: x["para"] == 0), 0)["text"]
+    body = F.transform(F.filter("paragraphs", lambda x: x["para"] > 0), lambda x: x["text"])
+    wide = tr.select("page_id", title.alias("t_title"), M.paragraphs_html(body).alias("t_body"))
+    j = num.join(langs, "page_id", "left").join(wide, "page_id", "left")
     return j.select("book_id", "chapter_no", "page_id", "src_lang", F.col("t_title").alias("title"),
                     M.chapter_file_name("chapter_no").alias("file_name"),
-                    M.chapter_html("t_title", body).alias("chapter_html"))
+                    M.chapter_html("t_title", "t_body").alias("chapter_html"))
 
 
 def build_next_page_book(chain: DataFrame, pages: DataFrame, glossary: DataFrame | None = None,
                          translator=None) -> DataFrame:
     """The "next page" site's flow: pages in chain order; each page's body
     text has junk tokens removed, is split on two ideographic spaces, every
-    non-empty piece is translated (distinct chunks once), pieces are joined
-    with '</p><p>' in order and rendered as "Page n".  ``chain`` is
+    non-empty piece is translated (distinct chunks once), the pieces become
+    paragraphs in order, escaped, and the page is rendered as "Page n".  ``chain`` is
     (book_id, page_no, url); ``pages`` (page_id, url, html)."""
     body = pages.select("page_id", "url", H.html_lang("html").alias("src_lang"),
                         T.strip_tokens(H.node_text(F.coalesce(H.article(H.drop_scripts("html")), F.lit(""))))
                         .alias("body"))
     pieces = (body.select("page_id", "src_lang",
                           F.posexplode(T.split_pieces("body", T.IDEOGRAPHIC_PARAGRAPH)).alias("piece_no", "text"))
-                  .where(F.col("text") != "")
-                  .withColumn("piece_no", F.col("piece_no").cast("long")))
-    tr, _ = TR.translate_texts(pieces, ["page_id", "piece_no"], glossary=glossary, translator=translator)
-    joined = B.join_paragraphs(tr.select("page_id", F.col("piece_no").alias("pos"),
-                                         F.col("translated_text").alias("text")).where(F.col("text").isNotNull()),
-                               ["page_id"], out_col="content")
+                  .where(F.col("text") != ""))
+    tr, _ = TR.translate_texts(pieces, ["page_id"], glossary=glossary, translator=translator, para_col="piece_no")
+    joined = tr.select("page_id", M.paragraphs_html(F.transform("paragraphs", lambda x: x["text"])).alias("content"))
     j = (chain.join(body.select("page_id", "url"), "url")
               .join(joined, "page_id", "left"))
     return j.select("book_id", "page_no", M.numbered_page_file_name("page_no").alias("file_name"),
                     M.fill(M.PAGE_TEMPLATE, page_no=F.col("page_no").cast("string"),
-                           body=M.wrap_paragraphs("content")).alias("page_html"))
+                           body=F.coalesce("content", F.lit(""))).alias("page_html"))

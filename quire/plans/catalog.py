@@ -446,9 +446,10 @@ def append_links(spark, sf_dir):
 @register
 def chapter_html(spark, sf_dir):
     num = _numbered(spark, sf_dir)
-    title = num.join(_titles(spark, sf_dir), "page_id").select("page_id", "book_id", "chapter_no", "title")
-    j = title.join(_contents(spark, sf_dir), "page_id", "left")
-    return j.select("book_id", "chapter_no", M.chapter_html("title", M.wrap_paragraphs("content")).alias("chapter_html"))
+    f = X.decoded_paragraphs(X.page_features(load_pages(spark, sf_dir)))
+    kept = F.filter("paragraphs", lambda x: F.length(T.unicode_strip(x)) > 0)
+    j = num.select("page_id", "book_id", "chapter_no").join(f.select("page_id", "title", M.paragraphs_html(kept).alias("body")), "page_id")
+    return j.select("book_id", "chapter_no", M.chapter_html("title", "body").alias("chapter_html"))
 
 
 @register

@@ -84,13 +84,12 @@ def _():
     has = f"contains({title}, 'Author:')"
     parts = f"string_split({title}, 'Author:')"
     author_sel = f"CASE WHEN contains({footer}, {q(T.LABEL_SEPARATOR)}) THEN {S.unicode_strip(f'string_split({footer}, {q(T.LABEL_SEPARATOR)})[-1]')} END"
-    para0 = f"regexp_extract_all(coalesce({S.first_or_null('clean', H.ARTICLE)}, ''), {q(H.PARAGRAPH)}, 1)[1]"
-    return with_(S.PAGES) + (
-        f"SELECT page_id, CASE WHEN {has} THEN {S.unicode_strip(parts + '[1]')} ELSE {title} END AS title, "
+    return with_(S.PAGES, S.PARAS) + (
+        f"SELECT F.page_id, CASE WHEN {has} THEN {S.unicode_strip(parts + '[1]')} ELSE {title} END AS title, "
         f"CASE WHEN {has} THEN {S.unicode_strip(parts + '[2]')} ELSE {author_sel} END AS author, "
-        f"{S.unicode_strip(S.decode_entities(para0))} AS description, "
-        f"{S.first_or_null('clean', H.IMG_SRC)} AS cover_url, {S.first_or_null('html', H.HTML_LANG)} AS html_lang "
-        f"FROM (SELECT page_id, html, {S.drop_scripts('html')} AS clean FROM P)")
+        f"{S.unicode_strip('PA.text')} AS description, "
+        f"{S.first_or_null('clean', S.IMG_SRC)} AS cover_url, {S.first_or_null('html', H.HTML_LANG)} AS html_lang "
+        f"FROM (SELECT page_id, html, {S.drop_scripts('html')} AS clean FROM P) F LEFT JOIN PA ON PA.page_id = F.page_id AND PA.pos = 0")
 
 
 @sql("title_author_split")
@@ -367,17 +366,21 @@ def _fill_sql(template: str, **fields) -> str:
     return " || ".join(q(v) if k == "text" else fields[v] for k, v in M.template_parts(template))
 
 
-def _chapter_html_sql(title: str, content: str) -> str:
+def _chapter_html_sql(title: str, body: str) -> str:
     t = S.escape_html(f"coalesce({title}, '')")
-    body = f"(CASE WHEN coalesce({content}, '') = '' THEN '' ELSE '<p>' || {content} || '</p>' END)"
-    return _fill_sql(M.CHAPTER_TEMPLATE, title=t, body=body)
+    return _fill_sql(M.CHAPTER_TEMPLATE, title=t, body=f"coalesce({body}, '')")
+
+
+def _paragraphs_sql(text: str, order: str, where: str = "true") -> str:
+    return f"string_agg('<p>' || {S.escape_html(text)} || '</p>', '' ORDER BY {order}) FILTER (WHERE {where})"
 
 
 @sql("chapter_html")
 def _():
-    return with_(S.PAGES, S.CLEAN, S.PARAS, S.NONBLANK, _CONTENT, S.NUM) + (
-        f"SELECT N.book_id, N.chapter_no, {_chapter_html_sql(_TITLE_N, 'CT.content')} AS chapter_html "
-        "FROM N LEFT JOIN CT ON N.page_id = CT.page_id")
+    body = f"BM AS (SELECT page_id, {_paragraphs_sql('text', 'pos')} AS body FROM PB GROUP BY page_id)"
+    return with_(S.PAGES, S.CLEAN, S.PARAS, S.NONBLANK, body, S.NUM) + (
+        f"SELECT N.book_id, N.chapter_no, {_chapter_html_sql(_TITLE_N, 'BM.body')} AS chapter_html "
+        "FROM N LEFT JOIN BM ON N.page_id = BM.page_id")
 
 
 def _title_page_sql(title: str, author: str) -> str:
@@ -402,13 +405,14 @@ def _():
     return with_(S.PAGES, S.NUM, _BOOKS) + f"SELECT book_id, {_title_page_sql('title', 'author')} AS title_page FROM BK"
 
 
-_ART = ("ATX AS (SELECT page_id, " + S.node_text("coalesce(" + S.first_or_null(S.drop_scripts("html"), H.ARTICLE) + ", '')")
-        + " AS text, " + S.first_or_null("html", H.HTML_LANG) + " AS html_lang FROM P)")
+_ART_TEXT = ("AT0 AS (SELECT page_id, " + S.decode_entities("string_agg(txt, '' ORDER BY i)") + " AS text FROM TK WHERE depth > 0 GROUP BY page_id)")
+_ART = (_ART_TEXT + ", ATX AS (SELECT P.page_id, coalesce(AT0.text, '') AS text, " + S.first_or_null("html", H.HTML_LANG)
+        + " AS html_lang FROM P LEFT JOIN AT0 ON P.page_id = AT0.page_id)")
 
 
 @sql("detect_language")
 def _():
-    return with_(S.PAGES, _ART, *S.trigram_ctes("ATX", "page_id")) + (
+    return with_(S.PAGES, S.TOKENS, _ART, *S.trigram_ctes("ATX", "page_id")) + (
         "SELECT ATX.page_id, BEST.lang, ATX.html_lang FROM ATX JOIN BEST ON ATX.page_id = BEST.page_id")
 
 
@@ -448,28 +452,21 @@ def _build_sql(select: str) -> str:
         S.PAGES, S.CLEAN, S.PARAS, S.NONBLANK, S.NUM,
         f"TI AS (SELECT page_id, {S.title_text(S.drop_scripts('html'))} AS title FROM P)",
         f"CF AS (SELECT page_id, bool_or(contains(text, {cr})) AS normalized FROM PB GROUP BY page_id)",
-        "CJ AS (SELECT page_id, string_agg(piece, '</p><p>' ORDER BY pos, sub) AS joined FROM "
+        "CJ AS (SELECT PX.page_id, row_number() OVER (PARTITION BY PX.page_id ORDER BY pos, sub) AS para_no, CASE WHEN CF.normalized THEN "
+        + S.normalize_text("piece") + " ELSE piece END AS text FROM "
         f"(SELECT page_id, pos, generate_subscripts(l, 1) AS sub, unnest(l) AS piece FROM "
-        f"(SELECT page_id, pos, string_split(text, {cr}) AS l FROM PB)) WHERE piece <> '' AND piece <> chr(10) "
-        "GROUP BY page_id)",
-        "CO AS (SELECT CF.page_id, CF.normalized, CASE WHEN CF.normalized THEN "
-        + S.normalize_text("coalesce(CJ.joined, '')", True) + " ELSE coalesce(CJ.joined, '') END AS content "
-        "FROM CF LEFT JOIN CJ ON CF.page_id = CJ.page_id)",
+        f"(SELECT page_id, pos, string_split(text, {cr}) AS l FROM PB)) PX JOIN CF ON PX.page_id = CF.page_id WHERE piece <> '' AND piece <> chr(10))",
         _ART, *S.trigram_ctes("ATX", "page_id"),
-        "TX AS (SELECT u.page_id, u.part, BEST.lang AS src_lang, u.text FROM (SELECT page_id, 'title' AS part, "
-        "title AS text FROM TI UNION ALL SELECT page_id, 'body', content FROM CO) u JOIN BEST ON u.page_id = BEST.page_id)",
-        *S.glossary_ctes(), *S.translate_ctes("TX", "page_id, part", "B"),
-        "BW AS (SELECT page_id, max(CASE WHEN part = 'title' THEN translated_text END) AS t_title, "
-        "max(CASE WHEN part = 'body' THEN translated_text END) AS t_body FROM BR GROUP BY page_id)",
+        "TX AS (SELECT u.page_id, u.para_no, BEST.lang AS src_lang, u.text FROM (SELECT page_id, 0 AS para_no, "
+        "title AS text FROM TI UNION ALL SELECT page_id, para_no, text FROM CJ) u JOIN BEST ON u.page_id = BEST.page_id)",
+        *S.glossary_ctes(), *S.translate_ctes("TX", "page_id, para_no", "B"),
+        "BW AS (SELECT page_id, max(CASE WHEN para_no = 0 THEN translated_text END) AS t_title, "
+        + _paragraphs_sql("translated_text", "para_no", "para_no > 0") + " AS t_body FROM BR GROUP BY page_id)",
     ]
-    body = ("(CASE WHEN coalesce(CO.normalized, false) THEN coalesce(BW.t_body, '') ELSE "
-            "(CASE WHEN coalesce(BW.t_body, '') = '' THEN '' ELSE '<p>' || BW.t_body || '</p>' END) END)")
-    t = S.escape_html("coalesce(BW.t_title, '')")
-    html = _fill_sql(M.CHAPTER_TEMPLATE, title=t, body=body)
+    html = _chapter_html_sql("BW.t_title", "BW.t_body")
     final = ("FB AS (SELECT N.book_id, N.chapter_no, N.page_id, BEST.lang AS src_lang, BW.t_title AS title, "
              f"'chapter' || N.chapter_no || '.html' AS file_name, {html} AS chapter_html FROM N "
-             "LEFT JOIN BEST ON N.page_id = BEST.page_id LEFT JOIN CO ON N.page_id = CO.page_id "
-             "LEFT JOIN BW ON N.page_id = BW.page_id)")
+             "LEFT JOIN BEST ON N.page_id = BEST.page_id LEFT JOIN BW ON N.page_id = BW.page_id)")
     return with_(*parts, final) + select
 
 
@@ -496,13 +493,13 @@ def _():
     parts = f"string_split({title}, 'Author:')"
     author_sel = (f"CASE WHEN contains({footer}, {q(T.LABEL_SEPARATOR)}) THEN "
                   f"{S.unicode_strip(f'string_split({footer}, {q(T.LABEL_SEPARATOR)})[-1]')} END")
-    para0 = f"regexp_extract_all(coalesce({S.first_or_null('clean', H.ARTICLE)}, ''), {q(H.PARAGRAPH)}, 1)[1]"
-    pm = (f"PM AS (SELECT book_id, CASE WHEN {has} THEN {S.unicode_strip(parts + '[1]')} ELSE {title} END AS title, "
+    pm = (f"PM AS (SELECT F.book_id, CASE WHEN {has} THEN {S.unicode_strip(parts + '[1]')} ELSE {title} END AS title, "
           f"CASE WHEN {has} THEN {S.unicode_strip(parts + '[2]')} ELSE {author_sel} END AS author, "
-          f"{S.unicode_strip(S.decode_entities(para0))} AS description, "
-          f"{S.first_or_null('clean', H.IMG_SRC)} AS cover_url, {S.first_or_null('html', H.HTML_LANG)} AS language_code "
-          f"FROM (SELECT book_id, html, {S.drop_scripts('html')} AS clean FROM N WHERE chapter_no = 1))")
-    return with_(S.PAGES, S.NUM, pm) + (
+          f"{S.unicode_strip('PA.text')} AS description, "
+          f"{S.first_or_null('clean', S.IMG_SRC)} AS cover_url, {S.first_or_null('html', H.HTML_LANG)} AS language_code "
+          f"FROM (SELECT page_id, book_id, html, {S.drop_scripts('html')} AS clean FROM N WHERE chapter_no = 1) F "
+          "LEFT JOIN PA ON PA.page_id = F.page_id AND PA.pos = 0)")
+    return with_(S.PAGES, S.PARAS, S.NUM, pm) + (
         "SELECT PM.*, c.n_chapters FROM PM JOIN (SELECT book_id, count(*) AS n_chapters FROM P GROUP BY book_id) c "
         "ON PM.book_id = c.book_id")
 
@@ -515,8 +512,8 @@ def _():
 
 @sql("apply_rules")
 def _():
-    art = f"coalesce({S.first_or_null('html', H.ARTICLE)}, '')"
-    nav = f"coalesce({S.first_or_null('html', H.NAV)}, '')"
+    art = f"coalesce({S.first_or_null('html', '(?is)<article>(.*?)</article>')}, '')"
+    nav = f"coalesce({S.first_or_null('html', S.NAV_PART)}, '')"
 
     def field(name, src, count_re, first_re):
         n = f"len(regexp_extract_all({src}, {q(count_re)}, 0))"
@@ -542,19 +539,16 @@ def _():
 
 @sql("next_page_book")
 def _():
-    body = S.node_text("coalesce(" + S.first_or_null(S.drop_scripts("html"), H.ARTICLE) + ", '')")
+    body = "coalesce(AT0.text, '')"
     for t in T.JUNK_TOKENS:
         body = f"replace({body}, {q(t)}, '')"
     pieces = ("PS AS (SELECT page_id, src_lang, piece_no, text FROM (SELECT page_id, src_lang, "
-              "generate_subscripts(l, 1) - 1 AS piece_no, unnest(l) AS text FROM (SELECT page_id, "
+              "generate_subscripts(l, 1) - 1 AS piece_no, unnest(l) AS text FROM (SELECT P.page_id, "
               + S.first_or_null("html", H.HTML_LANG) + " AS src_lang, string_split(" + body + ", "
-              + q(T.IDEOGRAPHIC_PARAGRAPH) + ") AS l FROM P)) WHERE text <> '')")
-    joined = ("PJ AS (SELECT page_id, string_agg(translated_text, '</p><p>' ORDER BY piece_no) AS content "
-              "FROM QR WHERE translated_text IS NOT NULL GROUP BY page_id)")
-    content = "PJ.content"
-    wrapped = f"(CASE WHEN coalesce({content}, '') = '' THEN '' ELSE '<p>' || {content} || '</p>' END)"
-    html = _fill_sql(M.PAGE_TEMPLATE, page_no="CAST(CH.page_no AS VARCHAR)", body=wrapped)
-    return S.with_rec(S.PAGES, S.EDGES, S.WALK, S.CHAIN, pieces, *S.glossary_ctes(),
+              + q(T.IDEOGRAPHIC_PARAGRAPH) + ") AS l FROM P LEFT JOIN AT0 ON P.page_id = AT0.page_id)) WHERE text <> '')")
+    joined = f"PJ AS (SELECT page_id, {_paragraphs_sql('translated_text', 'piece_no', 'translated_text IS NOT NULL')} AS content FROM QR GROUP BY page_id)"
+    html = _fill_sql(M.PAGE_TEMPLATE, page_no="CAST(CH.page_no AS VARCHAR)", body="coalesce(PJ.content, '')")
+    return S.with_rec(S.PAGES, S.TOKENS, _ART_TEXT, S.EDGES, S.WALK, S.CHAIN, pieces, *S.glossary_ctes(),
                       *S.translate_ctes("PS", "page_id, piece_no", "Q"), joined) + (
         f"SELECT CH.book_id, CH.page_no, 'page' || CH.page_no || '.html' AS file_name, {html} AS page_html "
         "FROM CH JOIN P ON CH.url = P.url LEFT JOIN PJ ON P.page_id = PJ.page_id")

@@ -1,6 +1,8 @@
-"""DuckDB SQL forms of the Column functions, built from the same fixed values.
+"""DuckDB SQL forms of the Column functions.
 
 Used only to write the oracle SQL; the library itself never parses SQL.
+Paragraphs and article text come by another way than the engine's: the page
+is split at '<', the tags counted by window sums.
 """
 
 from __future__ import annotations
@@ -10,6 +12,16 @@ from ..functions import text as T
 from ..functions import urls as U
 
 
+# --- fixed values: what the given pages hold ----------------------------------
+ENTITIES = (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;?", "&"))
+ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a>"
+HREF = r"""(?i)\bhref\s*=\s*"([^"]*)\""""
+HAS_HREF = r"(?i)\bhref\s*="
+NAV_PART = r"(?is)<nav\b[^>]*>(.*?)</nav>"
+IMG_SRC = r"""(?i)<img\b[^>]*\bsrc\s*=\s*"([^"]*)\""""
+# ------------------------------------------------------------------------------
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -33,10 +45,8 @@ def slug(x: str) -> str:
 
 def decode_entities(x: str) -> str:
     out = x
-    for ent, ch in H.ENTITIES:
-        pat = H.entity_pattern(ent)
-        out = (f"regexp_replace({out}, {q(pat)}, {q(ch)}, 'g')" if pat
-               else f"replace({out}, {q(ent)}, {q(ch)})")
+    for ent, ch in ENTITIES:
+        out = f"regexp_replace({out}, {q(ent)}, {q(ch)}, 'g')"
     return out
 
 
@@ -84,24 +94,38 @@ def chunk_hash(x: str) -> str:
 
 PAGES = f"P AS (SELECT page_id, url, html, {host('url')} AS book_id FROM pages)"
 CLEAN = f"C AS (SELECT page_id, url, book_id, {drop_scripts('html')} AS clean FROM P)"
-PARAS = ("PA AS (SELECT page_id, book_id, generate_subscripts(l, 1) - 1 AS pos, "
-         f"{decode_entities('unnest(l)')} AS text FROM (SELECT page_id, book_id, "
-         f"regexp_extract_all(coalesce({first_or_null('clean', H.ARTICLE)}, ''), {q(H.PARAGRAPH)}, 1) AS l FROM C))")
+def _running(up: str, down: str) -> str:
+    return f"sum(CASE WHEN name IN ({up}) THEN 1 WHEN name IN ({down}) THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i)"
+
+
+# one row per '<': the tag's name ('/p' closes) and the text up to the next one
+_ENDS = ", ".join(q(x) for b in H.BLOCKS.split() for x in (b, "/" + b))
+TOKENS = (
+    "TK0 AS (SELECT page_id, book_id, generate_subscripts(l, 1) AS i, unnest(l) AS tok FROM (SELECT page_id, book_id, string_split(html, '<') AS l FROM P)), "
+    "TK1 AS (SELECT page_id, book_id, i, lower(regexp_extract(tok, '^/?[A-Za-z][A-Za-z0-9]*')) AS name, substring(tok, strpos(tok, '>') + 1) AS txt FROM TK0), "
+    f"TK2 AS (SELECT *, {_running(q('script') + ', ' + q('style'), q('/script') + ', ' + q('/style'))} AS raw FROM TK1), "
+    f"TK AS (SELECT *, {_running(q('article'), q('/article'))} AS depth, {_running(_ENDS, q('?'))} AS seg FROM TK2 WHERE raw = 0)")
+# a paragraph is what follows a <p> up to the next block tag; chr(1): a line break
+PARAS = (
+    f"{TOKENS}, PA0 AS (SELECT page_id, book_id, seg, min(i) AS first_i, arg_min(name, i) AS opener, "
+    "string_agg(CASE WHEN name = 'br' THEN chr(1) || txt ELSE txt END, '' ORDER BY i) AS body FROM TK WHERE depth > 0 GROUP BY page_id, book_id, seg), "
+    "PA AS (SELECT page_id, book_id, row_number() OVER (PARTITION BY page_id ORDER BY first_i) - 1 AS pos, "
+    + decode_entities("replace(regexp_replace(body, '(\\x01\\s*)+$', ''), chr(1), chr(10))") + " AS text FROM PA0 WHERE opener = 'p')")
 NONBLANK = f"PB AS (SELECT * FROM PA WHERE length({unicode_strip('text')}) > 0)"
 
 
 def _links_cte(name: str, src: str) -> str:
-    attrs = f"regexp_extract_all({src}, {q(H.ANCHOR)}, 1)"
-    inner = f"regexp_extract_all({src}, {q(H.ANCHOR)}, 2)"
+    attrs = f"regexp_extract_all({src}, {q(ANCHOR)}, 1)"
+    inner = f"regexp_extract_all({src}, {q(ANCHOR)}, 2)"
     return (f"{name} AS (SELECT page_id, url, book_id, pos, "
-            f"CASE WHEN regexp_matches(attrs, {q(H.HAS_HREF)}) THEN regexp_extract(attrs, {q(H.HREF)}, 1) END AS href, "
+            f"CASE WHEN regexp_matches(attrs, {q(HAS_HREF)}) THEN regexp_extract(attrs, {q(HREF)}, 1) END AS href, "
             f"{unicode_strip(node_text('inner_html'))} AS link_text, '<a' || attrs || '>' || inner_html || '</a>' AS markup "
             f"FROM (SELECT page_id, url, book_id, generate_subscripts(la, 1) - 1 AS pos, unnest(la) AS attrs, unnest(li) AS inner_html "
             f"FROM (SELECT page_id, url, book_id, {attrs} AS la, {inner} AS li FROM C)))")
 
 
 LINKS = _links_cte("L", "clean")
-NAV = ("CN AS (SELECT page_id, url, book_id, coalesce(" + first_or_null("clean", H.NAV) + ", '') AS clean FROM C), "
+NAV = ("CN AS (SELECT page_id, url, book_id, coalesce(" + first_or_null("clean", NAV_PART) + ", '') AS clean FROM C), "
        + _links_cte("NL", "clean").replace("FROM C)", "FROM CN)"))
 
 
