@@ -8,8 +8,10 @@ it is counted from the next shard on until every shard has been its turn
 once.  So lengths interleave: pairs are counted while the words' cycle still
 runs.  The scans end when no shard has a phrase left to count.
 
-During the scans a phrase is its 64-bit hash: two that share one are counted
-together, which makes a count too large, never too small.  One last scan
+Texts are cut into words once; the shards hold each text as the 64-bit hashes
+of its words (language included), 0 after each piece.  During the scans a
+phrase is a hash made of these: two that share one are counted together,
+which makes a count too large, never too small.  One last scan, of the texts,
 counts what reached the threshold by the phrases themselves, so the result is
 exact.
 
@@ -56,8 +58,10 @@ SHARDS = 3
 # Bits of the filter of phrases that reached the threshold (4 MB) and how many each sets.
 FILTER_BITS = 1 << 25
 FILTER_HASHES = 4
-# Bytes of text counted together in a task.
+# Bytes of text, or of hashes, counted together in a task.
 GROUP_BYTES = 8 << 20
+# Rows of a task's spelled counts before they are summed up.
+PARTIAL_ROWS = 1 << 20
 # The language's best are found in so many parts first.
 TOP_PARTS = 64
 
@@ -108,28 +112,14 @@ def _hash(parent: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 class Places:
-    """The words of a group of texts: piece, language and id of each; text,
-    language and hash of each id."""
+    """Words in order: the piece and the id of each, the hash of each id."""
 
-    def __init__(self, langs: pa.Array, texts: pa.Array):
-        texts = pc.binary_join_element_wise(pc.cast(texts, pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        raw = _LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
-        kind = _KIND[raw]
-        inside = kind == 0
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
-        start, stop = edge[::2], edge[1::2]
-        self.piece = np.cumsum(kind == 2, dtype=np.int32)[start]
-        doc = np.searchsorted(offsets[1:] - offsets[0], start, side="right")
-        cut = np.append(0, np.cumsum(stop - start)).astype(np.int64)
-        words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(cut), pa.py_buffer(raw[inside])).dictionary_encode()
-        lang = langs.dictionary_encode()
-        self.langs, self.lang = lang.dictionary, lang.indices.to_numpy()[doc]
-        coded = pa.array((self.lang.astype(np.int64) << 32) + words.indices.to_numpy()).dictionary_encode()
-        self.id, own = coded.indices.to_numpy(), coded.dictionary.to_numpy()
-        self.word_lang, self.word = self.langs.take(pa.array(own >> 32)), words.dictionary.take(pa.array(own & 0xFFFFFFFF))
-        prefix = [x.encode() + b"\x00" for x in self.langs.to_pylist()]
-        self.hash = np.array([xxhash.xxh64_intdigest(prefix[c] + w.as_buffer().to_pybytes()) for c, w in zip((own >> 32).tolist(), self.word)], np.uint64)
+    def __init__(self, hashes: np.ndarray):
+        """``hashes``: of the words in order, 0 after each piece."""
+        ends = hashes == 0
+        self.piece = np.cumsum(ends, dtype=np.int32)[~ends]
+        coded = pa.array(hashes[~ends].view(np.int64)).dictionary_encode()
+        self.id, self.hash = coded.indices.to_numpy(), coded.dictionary.to_numpy().view(np.uint64)
 
     def phrases(self, now: Filter, then: Filter | None) -> Iterator[tuple]:
         """Per length from 2 on, the phrases whose parts are in ``now``: for
@@ -156,6 +146,41 @@ class Places:
                 is_then[at] = then.has(h)[idx]
 
 
+class Texts(Places):
+    """The words of a group of texts, with their document and language, and
+    the spelling and language of each id."""
+
+    def __init__(self, langs: pa.Array, texts: pa.Array):
+        texts = pc.binary_join_element_wise(pc.cast(texts, pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = _LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
+        kind = _KIND[raw]
+        inside = kind == 0
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+        start, stop = edge[::2], edge[1::2]
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[start]
+        self.doc = np.searchsorted(offsets[1:] - offsets[0], start, side="right")
+        cut = np.append(0, np.cumsum(stop - start)).astype(np.int64)
+        words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(cut), pa.py_buffer(raw[inside])).dictionary_encode()
+        lang = langs.dictionary_encode()
+        self.langs, self.lang = lang.dictionary, lang.indices.to_numpy()[self.doc]
+        coded = pa.array((self.lang.astype(np.int64) << 32) + words.indices.to_numpy()).dictionary_encode()
+        self.id, own = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        self.word_lang, self.word = self.langs.take(pa.array(own >> 32)), words.dictionary.take(pa.array(own & 0xFFFFFFFF))
+        prefix = [x.encode() + b"\x00" for x in self.langs.to_pylist()]
+        # 0 ends a piece
+        self.hash = np.array([xxhash.xxh64_intdigest(prefix[c] + w.as_buffer().to_pybytes()) or 1 for c, w in zip((own >> 32).tolist(), self.word)], np.uint64)
+
+
+def hashed(langs: pa.Array, texts: pa.Array) -> pa.ListArray:
+    """Each text as the hashes of its words, 0 after each piece."""
+    t = Texts(langs, texts)
+    ends = np.flatnonzero(np.diff(t.piece, append=-1))  # the last word of each piece
+    flat = np.insert(t.hash[t.id], ends + 1, np.uint64(0))
+    size = np.bincount(t.doc, minlength=len(texts)) + np.bincount(t.doc[ends], minlength=len(texts))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(flat.view(np.int64)))
+
+
 def count_hashes(places: Places, now: Filter | None, then: Filter | None) -> pa.RecordBatch:
     """(h, n): words in a shard's first scan (no ``then``), longer phrases whose
     parts are in ``now`` and not both in ``then``."""
@@ -167,7 +192,7 @@ def count_hashes(places: Places, now: Filter | None, then: Filter | None) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["h", "n"])
 
 
-def count_phrases_of(places: Places, reached: Filter) -> Iterator[pa.RecordBatch]:
+def count_phrases_of(places: Texts, reached: Filter) -> Iterator[pa.RecordBatch]:
     """(lang, k, phrase, n) of the phrases in the filter; k = 0: the words of a language in all."""
     names = ["lang", "k", "phrase", "n"]
 
@@ -190,46 +215,67 @@ def count_phrases_of(places: Places, reached: Filter) -> Iterator[pa.RecordBatch
         yield rows(k, places.word_lang.take(end), spelled, np.bincount(idx, minlength=len(h))[own])
 
 
-def scan(texts: DataFrame, count, schema: str) -> DataFrame:
-    """``count`` (places -> record batches) over groups of about GROUP_BYTES of text."""
+def shard_words(docs: DataFrame, shards: int) -> DataFrame:
+    """(words, shard): the hashed texts, dealt over the shards row by row,
+    written once to the shared folder."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+        for b in batches:
+            for lo, hi in _cuts(pa.chunked_array([b.column(1)])):
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([hashed(*part.columns)], names=["words"])
 
-        def counted() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            for lo, hi in _cuts(t["text"]):
-                part = t.slice(lo, hi - lo)
-                places = Places(*(part[c].combine_chunks() for c in ("lang", "text")))
-                if len(places.id):
-                    yield from count(places)
+    path = scratch_path(docs.sparkSession, "phrase-shards")
+    (docs.mapInArrow(run, "words array<long>").withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
+         .write.option("compression", "zstd").partitionBy("shard").parquet(path))
+    return docs.sparkSession.read.schema("words array<long>, shard int").parquet(path)
+
+
+def scan_round(shard: DataFrame, now, then) -> DataFrame:
+    """(h, n) of a shard; ``now`` and ``then`` are broadcast filter blocks or None."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new = Filter(now.value) if now is not None else None
+        old = Filter(then.value) if then is not None else None
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            return count_hashes(Places(np.concatenate(held)), new, old)
 
         for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size >= GROUP_BYTES:
-                yield from counted()
-                held, size = [], 0
+            held.append(pc.list_flatten(b.column(0)).to_numpy().view(np.uint64))
+            if sum(x.nbytes for x in held) >= GROUP_BYTES:
+                yield counted()
+                held = []
         if held:
-            yield from counted()
+            yield counted()
 
-    return texts.select("lang", "text").mapInArrow(run, schema)
+    return shard.select("words").mapInArrow(run, HASHED)
 
 
-def scan_round(texts: DataFrame, now, then) -> DataFrame:
-    """(h, n) of a shard; ``now`` and ``then`` are broadcast filter blocks or None."""
-    def count(places: Places) -> Iterator[pa.RecordBatch]:
-        yield count_hashes(places, Filter(now.value) if now is not None else None, Filter(then.value) if then is not None else None)
-
-    return scan(texts, count, HASHED)
+def scan_last(docs: DataFrame, reached) -> DataFrame:
+    """(lang, k, phrase, n) of the phrases in the broadcast filter, summed up per task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Filter(reached.value)
+        held: list[pa.Table] = []
 
+        def summed() -> pa.Table:
+            t = pa.concat_tables(held).group_by(["lang", "k", "phrase"], use_threads=False).aggregate([("n", "sum")])
+            return t.select(["lang", "k", "phrase", "n_sum"]).rename_columns(["lang", "k", "phrase", "n"])
 
-def scan_last(texts: DataFrame, reached) -> DataFrame:
-    """(lang, k, phrase, n) of the phrases in the broadcast filter."""
-    def count(places: Places) -> Iterator[pa.RecordBatch]:
-        yield from count_phrases_of(places, Filter(reached.value))
+        for b in batches:
+            for lo, hi in _cuts(pa.chunked_array([b.column(1)])):
+                texts = Texts(*b.slice(lo, hi - lo).columns)
+                if len(texts.id):
+                    held.append(pa.Table.from_batches(list(count_phrases_of(texts, known))))
+            if sum(t.num_rows for t in held) > PARTIAL_ROWS:
+                t = summed()
+                if t.num_rows > PARTIAL_ROWS // 2:
+                    yield from t.to_batches()
+                    t = t.slice(0, 0)
+                held = [t]
+        if held:
+            yield from summed().to_batches()
 
-    return scan(texts, count, SPELLED)
+    return docs.mapInArrow(run, SPELLED)
 
 
 def _cuts(texts: pa.ChunkedArray) -> Iterator[tuple[int, int]]:
@@ -248,11 +294,8 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHA
     that come at least ``min_count`` times, and of a language's words (k = 0)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    path = scratch_path(spark, "phrase-shards")
-    (docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-         .withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
-         .write.option("compression", "zstd").partitionBy("shard").parquet(path))
-    texts = spark.read.schema("lang string, text string, shard int").parquet(path)
+    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    words = shard_words(texts, shards)
     totals = spark.createDataFrame([], HASHED + ", since int")
     blocks, version = np.zeros(filter_bits // 64, np.uint64), 0
     seen: list[int | None] = [None] * shards  # version of the filter at each shard's last scan
@@ -264,7 +307,7 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHA
             now = spark.sparkContext.broadcast(blocks) if version else None
             # before the first scan nothing has been counted: words count, and all that is active
             then = spark.sparkContext.broadcast(last[s]) if last[s] is not None else None
-            found = scan_round(texts.where(F.col("shard") == s), now, then)
+            found = scan_round(words.where(F.col("shard") == s), now, then)
             totals = totals.unionByName(found.withColumn("since", F.lit(r))).groupBy("h").agg(F.sum("n").alias("n"), F.min("since").alias("since"))
             # a phrase first met in round q was active in it: round q + shards - 1 ends its cycle
             totals = materialize(totals.where((F.col("n") >= min_count) | (F.col("since") + (shards - 1) > r)), "phrase-counts")
