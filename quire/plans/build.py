@@ -20,13 +20,16 @@ from ..operators import books as B
 from ..operators import extract as X
 from ..operators import language as LG
 from ..operators import translate as TR
+from ..operators.contents import chapter_pages
 from ..session import materialize
 
 
 def build_books(pages: DataFrame, training_docs: DataFrame, glossary: DataFrame | None = None,
                 memory: DataFrame | None = None, translator=None, extraction: str = "regex",
-                rules: DataFrame | None = None) -> DataFrame:
-    """``extraction='regex'`` reads title/body with native regexes (fast
+                rules: DataFrame | None = None, order: DataFrame | None = None) -> DataFrame:
+    """``order`` (book_id, chapter_no, url), as ``contents.contents_order``
+    gives it, numbers the chapters and says which pages are any; without it
+    every page is a chapter, in page order.  ``extraction='regex'`` reads title/body with native regexes (fast
     path, for <article>/<h1>/<p> pages); ``'rules'`` takes them from the
     route's selector rules over the HTML-node UDTF (any site in the rules)."""
     # one scan of the page bodies; every branch below reads this narrow table
@@ -35,7 +38,12 @@ def build_books(pages: DataFrame, training_docs: DataFrame, glossary: DataFrame
         feats = materialize(rule_features(pages, rules), "page-features")
     else:
         feats = materialize(X.page_features(pages), "page-features")
-    num = B.number_chapters(feats).select("page_id", "book_id", "chapter_no")
+    if order is not None:
+        chapters = chapter_pages(order.select("book_id", "chapter_no", "url"), feats.select("url", "page_id")).where(F.col("page_id").isNotNull())
+        num = materialize(chapters.select("page_id", "book_id", "chapter_no"), "chapters")
+        feats = feats.join(num.select("page_id").distinct(), "page_id", "left_semi")
+    else:
+        num = B.number_chapters(feats).select("page_id", "book_id", "chapter_no")
     # E2/E3 on each page's own paragraph array: no shuffle (trigger '\r' as in the reference)
     pieces = B.paragraph_pieces_array(F.transform("paragraphs", H.decode_entities))
     art = feats.select("page_id", F.col("article_text").alias("text"))

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
+from ..functions.urls import NEXT_PAGE_TEXT
 from ..operators import extract as X
 from ..functions import markup as M
 from ..operators import books as B
+from ..operators import contents as CO
 from ..operators import language as LG
 from ..operators import nodes as ND
 from ..operators import translate as TR
@@ -427,6 +429,36 @@ def pagewise_order(spark, sf_dir):
     return n.select("book_id", "toc_page", "pos", "href", "link_no")
 
 
+def _contents_site(spark, sf_dir):
+    """Contents pages derived from the given pages: each host's pages from the
+    last to the first, 20 links a page, each naming the next contents page,
+    the first link of a page repeated at its end."""
+    p = load_pages(spark, sf_dir).select("page_id", "url", "book_id", (-F.col("page_id")).alias("back"))
+    n = number_within(p, ["book_id"], ["back"], "no").withColumn("part", F.floor((F.col("no") - 1) / 20))
+    anchor = F.concat(F.lit("<li><a href='"), H.escape_html("url"), F.lit("'>Page "), F.col("no").cast("string"), F.lit("</a>"))
+    parts = n.groupBy("book_id", "part").agg(F.sort_array(F.collect_list(F.struct("no", anchor.alias("a")))).alias("l"))
+    listed = F.array_join(F.transform("l", lambda x: x["a"]), "")
+    html = F.concat(F.lit("<html><body><nav><ul>"), listed, F.element_at("l", 1)["a"], F.lit("</ul></nav><a href=/contents-"),
+                    (F.col("part") + 1).cast("string"), F.lit(">" + NEXT_PAGE_TEXT + "</a></body></html>"))
+    return parts.select((F.xxhash64("book_id", "part")).alias("page_id"), F.concat(F.lit("http://"), F.col("book_id"), F.lit("/contents-"), F.col("part").cast("string")).alias("url"),
+                        "book_id", html.alias("html"))
+
+
+@register
+def contents_order(spark, sf_dir):
+    """Chapter numbers from contents lists (derived from the pages) that run over several pages."""
+    order = CO.contents_order(materialize(_contents_site(spark, sf_dir), "contents-site"))
+    placed = CO.chapter_pages(order, load_pages(spark, sf_dir))
+    return placed.select("book_id", "chapter_no", "url", "title", "toc_page", "page_id")
+
+
+@register
+def build_books_by_contents(spark, sf_dir):
+    """J4 with the chapters in the order of the contents lists."""
+    order = CO.contents_order(materialize(_contents_site(spark, sf_dir), "contents-site"))
+    return _build_books(load_pages(spark, sf_dir), _docs(spark, sf_dir), order=order)
+
+
 @register
 def lexical_order(spark, sf_dir):
     num = _numbered(spark, sf_dir).select("book_id", "chapter_no",
@@ -543,7 +575,7 @@ def book_export(spark, sf_dir):
 @register
 def html_nodes(spark, sf_dir):
     n = ND.html_nodes(load_pages(spark, sf_dir))
-    return n.select("page_id", F.col("pos").cast("long").alias("pos"), "tag", "path", "first_text")
+    return n.select("page_id", F.col("pos").cast("long").alias("pos"), "tag")
 
 
 @register

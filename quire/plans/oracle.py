@@ -190,6 +190,7 @@ def _base(*more):
     return [S.PAGES, S.CLEAN, S.NAV, S.NUM, S.EDGES, S.WALK, S.CHAIN, S.TOC, *more]
 
 
+_BACK = "BN AS (SELECT *, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page_id DESC) AS BIGINT) AS chapter_no FROM P)"
 _NUM_TOC = "NT AS (SELECT *, CAST(row_number() OVER (PARTITION BY book_id ORDER BY toc_page, pos) AS BIGINT) AS link_no FROM TL)"
 
 
@@ -446,10 +447,15 @@ def _():
         "CAST(length(html) AS BIGINT) AS n_chars FROM N")
 
 
-def _build_sql(select: str) -> str:
+@sql("contents_order")
+def _():
+    return with_(S.PAGES, _BACK) + ("SELECT book_id, chapter_no, url, 'Page ' || chapter_no AS title, (chapter_no - 1) // 20 + 1 AS toc_page, page_id FROM BN")
+
+
+def _build_sql(select: str, num: str = "N") -> str:
     cr = "chr(13)"
     parts = [
-        S.PAGES, S.CLEAN, S.PARAS, S.NONBLANK, S.NUM,
+        S.PAGES, S.CLEAN, S.PARAS, S.NONBLANK, S.NUM, _BACK,
         f"TI AS (SELECT page_id, {S.title_text(S.drop_scripts('html'))} AS title FROM P)",
         f"CF AS (SELECT page_id, bool_or(contains(text, {cr})) AS normalized FROM PB GROUP BY page_id)",
         "CJ AS (SELECT PX.page_id, row_number() OVER (PARTITION BY PX.page_id ORDER BY pos, sub) AS para_no, CASE WHEN CF.normalized THEN "
@@ -465,7 +471,7 @@ def _build_sql(select: str) -> str:
     ]
     html = _chapter_html_sql("BW.t_title", "BW.t_body")
     final = ("FB AS (SELECT N.book_id, N.chapter_no, N.page_id, BEST.lang AS src_lang, BW.t_title AS title, "
-             f"'chapter' || N.chapter_no || '.html' AS file_name, {html} AS chapter_html FROM N "
+             f"'chapter' || N.chapter_no || '.html' AS file_name, {html} AS chapter_html FROM {num} N "
              "LEFT JOIN BEST ON N.page_id = BEST.page_id LEFT JOIN BW ON N.page_id = BW.page_id)")
     return with_(*parts, final) + select
 
@@ -480,6 +486,11 @@ def _():
     return _build_sql("SELECT book_id, chapter_no, page_id, src_lang, title, file_name, chapter_html FROM FB")
 
 
+@sql("build_books_by_contents")
+def _():
+    return _build_sql("SELECT book_id, chapter_no, page_id, src_lang, title, file_name, chapter_html FROM FB", "BN")
+
+
 @sql("chapter_files")
 def _():
     return _build_sql("SELECT book_id, file_name, chapter_html FROM FB")
@@ -504,6 +515,12 @@ def _():
         "ON PM.book_id = c.book_id")
 
 
+@sql("html_nodes")
+def _():
+    return ("SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS pos, lower(unnest(l)) AS tag FROM "
+            "(SELECT page_id, regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1) AS l FROM pages)")
+
+
 @sql("tag_counts")
 def _():
     return ("SELECT lower(t) AS tag, count(*) AS n_nodes FROM (SELECT unnest(regexp_extract_all(html, "
