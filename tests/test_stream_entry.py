@@ -43,7 +43,7 @@ def test_entry_contract(spark):
     assert E.entry(spark).columns == cols
     assert set(E.oracle_sql()) <= set(E.queries())
     missing = set(E.QUERIES) - set(E.oracle_sql())  # the optional subpackage has its own tests
-    assert missing == {"html_nodes"}          # rows-only by design (tree output); counted via tag_counts
+    assert missing == set()
 
 
 @pytest.fixture(scope="module")
