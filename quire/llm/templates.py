@@ -59,6 +59,7 @@ _ATTR = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _NAMES = re.compile(r"[a-z]+")
 
 RAW = frozenset("script style noscript template textarea title iframe svg math select option datalist xmp noframes object canvas audio video".split())
+_RAW_ENDS = {name: re.compile("</" + name, re.IGNORECASE | re.ASCII) for name in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr img".split())
 HEAD = frozenset(("head", "meta", "link", "base"))
@@ -92,7 +93,7 @@ def attributes(text: str) -> dict[str, str]:
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, rest): text, open and close, in page order; comments,
     declarations and elements without prose of their own are passed over."""
-    at, end, low = 0, len(page), None
+    at, end = 0, len(page)
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
@@ -111,11 +112,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             if m[1]:
                 yield "close", name, ""
             elif name in RAW and not m[3].endswith("/"):
-                if low is None:
-                    # same length: only A-Z change
-                    low = page.translate(_LOWER)
-                stop = low.find("</" + name, at)
-                at = end if stop < 0 else stop
+                stop = _RAW_ENDS[name].search(page, at)
+                at = stop.start() if stop else end
             else:
                 yield "open", name, m[3]
         else:
@@ -123,9 +121,6 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = lt + 1
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def furniture(name: str, attrs: dict[str, str], in_main: bool) -> bool:
     """Is the element none of the article, by its tag, role or names?"""
     if name in WRAPPERS:
@@ -365,10 +360,15 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         d = src.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     d = d.select("page_id", "url", "html", "main", "texts")
 
+    def sets(lists: list) -> list[frozenset]:
+        # pages of one host have the same list: one set for each
+        made: dict[tuple, frozenset] = {}
+        return [made.setdefault(key, frozenset(key)) if (key := tuple(t or ())) not in made else made[key] for t in lists]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             main, texts = b.column(3).to_pylist(), b.column(4).to_pylist()
-            got = [extract(h.as_py(), m or [], frozenset(t or ())) for h, m, t in zip(b.column(2), main, texts)]
+            got = [extract(h.as_py(), m or [], t) for h, m, t in zip(b.column(2), main, sets(texts))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())],
                                              names=["page_id", "url", "text", "n_chars"])
 
