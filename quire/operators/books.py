@@ -140,6 +140,23 @@ def absolute(links: DataFrame) -> DataFrame:
     return links.withColumn("link_url", U.absolutise("href", U.split_url_head("url")))
 
 
+def translated_metadata(meta: DataFrame, model, glossary: DataFrame | None = None, memory: DataFrame | None = None, translator=None) -> DataFrame:
+    """Book metadata in the target language: the description's language is
+    detected (``model``: ``language.train``) and kept as ``language_code``;
+    title, author and description are translated from it.  A field without
+    text stays NULL; a book without description keeps its declared code."""
+    from . import language as LG
+    from . import translate as TR
+    said = meta.where(F.length(unicode_strip(F.coalesce("description", F.lit("")))) > 0).select("book_id", F.col("description").alias("text"))
+    code = LG.detect(said, model, "book_id", out_col="detected")
+    m = meta.join(code, "book_id", "left").withColumn("language_code", F.coalesce("detected", "language_code")).drop("detected")
+    fields = ("title", "author", "description")
+    texts = m.select("book_id", F.col("language_code").alias("src_lang"), F.posexplode(F.array(*fields)).alias("part", "text"))
+    tr, _ = TR.translate_texts(texts, ["book_id"], glossary=glossary, memory=memory, translator=translator, para_col="part")
+    got = lambda k: F.get(F.filter("paragraphs", lambda x: x["para"] == k), 0)["text"]
+    return m.drop(*fields).join(tr.select("book_id", *[got(k).alias(f) for k, f in enumerate(fields)]), "book_id", "left").select(meta.columns)
+
+
 def book_metadata(pages: DataFrame) -> DataFrame:
     """B4 per book: metadata of each book's first page.  The first page is
     picked with a partial aggregate (min_by), not a sort of the whole book."""

@@ -17,7 +17,7 @@ hot trigram).  Document-side trigrams are counted per document first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_root
@@ -42,6 +42,20 @@ class TrigramModel:
         self.wide, self.langs, self.priors, self.denoms, self.vocab = wide, langs, priors, denoms, vocab
 
 
+def save_model(model: TrigramModel, path: str) -> None:
+    """Keep a model: its trigram table and, per language, prior and denominator."""
+    model.wide.write.mode("overwrite").parquet(f"{path}/grams")
+    rows = [(lang, model.priors[lang], model.denoms[lang], model.vocab) for lang in model.langs]
+    model.wide.sparkSession.createDataFrame(rows, "lang string, prior double, denom double, vocab long").write.mode("overwrite").parquet(f"{path}/langs")
+
+
+def load_model(spark: SparkSession, path: str) -> TrigramModel:
+    rows = spark.read.parquet(f"{path}/langs").orderBy("lang").collect()  # one row per language
+    langs = [r["lang"] for r in rows]
+    return TrigramModel(spark.read.parquet(f"{path}/grams"), langs, {r["lang"]: r["prior"] for r in rows}, {r["lang"]: r["denom"] for r in rows},
+                        rows[0]["vocab"] if rows else 0)
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> TrigramModel:
     """One pass over the training text: trigram counts per language land
     directly in one row per trigram with a count column per language (the
@@ -67,17 +81,18 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Tr
 
 def detect(texts: DataFrame, model: TrigramModel, key: str, text_col: str = "text",
            out_col: str = "lang") -> DataFrame:
-    # one shuffle of the texts by key; the per-(key, gram) count, the
-    # broadcast model join and the per-key sums then need no further exchange
-    keyed = texts.select(key, text_col).repartition(key)
-    grams = trigrams(keyed, [key], text_col).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
-    wide = F.broadcast(model.wide) if model.vocab <= BROADCAST_MAX_GRAMS else model.wide
-    j = grams.join(wide, "gram")
+    """Per row of ``texts``: the key and the likeliest language.  No exchange
+    carries text: trigrams meet the broadcast model where the text is, and only
+    (key, sums) go on; a model too large to broadcast is met by (key, gram) counts."""
+    grams = trigrams(texts.select(key, text_col), [key], text_col)
+    if model.vocab <= BROADCAST_MAX_GRAMS:
+        j = grams.join(F.broadcast(model.wide), "gram").withColumn("n", F.lit(1))
+    else:
+        j = grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n")).join(model.wide, "gram")
     aggs = [F.sum("n").alias("_m")] + [F.sum(F.col("n") * F.col(f"`{lang}`")).alias(f"_s_{lang}")
                                         for lang in model.langs]
     per = j.groupBy(key).agg(*aggs)
-    # keys from the already key-partitioned side: this join adds no exchange
-    base = keyed.select(key).join(per, key, "left")
+    base = texts.select(key).join(per, key, "left")
     m = F.coalesce(F.col("_m"), F.lit(0)).cast("double")
     cands = []
     for lang in model.langs:

@@ -26,10 +26,16 @@ from ..session import materialize
 
 def build_books(pages: DataFrame, training_docs: DataFrame, glossary: DataFrame | None = None,
                 memory: DataFrame | None = None, translator=None, extraction: str = "regex",
-                rules: DataFrame | None = None, order: DataFrame | None = None) -> DataFrame:
+                rules: DataFrame | None = None, order: DataFrame | None = None,
+                model: LG.TrigramModel | None = None, memory_out: str | None = None) -> DataFrame:
     """``order`` (book_id, chapter_no, url), as ``contents.contents_order``
     gives it, numbers the chapters and says which pages are any; without it
-    every page is a chapter, in page order.  ``extraction='regex'`` reads title/body with native regexes (fast
+    every page is a chapter, in page order.  ``model`` is a kept language model
+    (else one is trained on ``training_docs``).  Chunks translated in this run
+    are appended to the table ``memory_out``; read back as ``memory``, a second
+    run on the same texts calls no translator.
+
+    ``extraction='regex'`` reads title/body with native regexes (fast
     path, for <article>/<h1>/<p> pages); ``'rules'`` takes them from the
     route's selector rules over the HTML-node UDTF (any site in the rules)."""
     # one scan of the page bodies; every branch below reads this narrow table
@@ -48,11 +54,13 @@ def build_books(pages: DataFrame, training_docs: DataFrame, glossary: DataFrame
     pieces = B.paragraph_pieces_array(F.transform("paragraphs", H.decode_entities))
     art = feats.select("page_id", F.col("article_text").alias("text"))
     # one small row per page, used twice below: written once to the shared folder
-    langs = materialize(LG.detect(art, LG.train(training_docs), "page_id", out_col="src_lang"), "page-langs")
+    langs = materialize(LG.detect(art, model or LG.train(training_docs), "page_id", out_col="src_lang"), "page-langs")
     # text 0 is the title, the others the paragraphs: each is translated by itself
     texts = (feats.select("page_id", F.concat(F.array("title"), pieces).alias("texts")).join(langs, "page_id", "left")
                   .select("page_id", "src_lang", F.posexplode("texts").alias("para_no", "text")))
-    tr, _ = TR.translate_texts(texts, ["page_id"], glossary=glossary, memory=memory, translator=translator, para_col="para_no")
+    tr, fresh = TR.translate_texts(texts, ["page_id"], glossary=glossary, memory=memory, translator=translator, para_col="para_no")
+    if memory_out:
+        fresh.write.mode("append").parquet(memory_out)
     title = F.get(F.filter("paragraphs", lambda x: x["para"] == 0), 0)["text"]
     body = F.transform(F.filter("paragraphs", lambda x: x["para"] > 0), lambda x: x["text"])
     wide = tr.select("page_id", title.alias("t_title"), M.paragraphs_html(body).alias("t_body"))

@@ -572,6 +572,22 @@ def book_export(spark, sf_dir):
     return SK.read_books(spark, path)
 
 
+@register
+def book_parts(spark, sf_dir):
+    """A5 whole: navigation, title page and chapters of every book, written in order and read back."""
+    pages = load_pages(spark, sf_dir)
+    chapters = materialize(_build_books(pages, _docs(spark, sf_dir)), "book-chapters")
+    path = scratch_path(spark, "book-parts")
+    SK.write_book_parts(SK.book_parts(chapters, _book_meta(spark, sf_dir)), path)
+    return SK.read_book_parts(spark, path).select("book_id", "part_no", "kind", "file_name", "title", "content")
+
+
+@register
+def translated_metadata(spark, sf_dir):
+    """B4 + J1 + J2 per book: title, author and description translated from the description's language."""
+    return B.translated_metadata(_book_meta(spark, sf_dir), LG.train(_docs(spark, sf_dir)))
+
+
 @register
 def html_nodes(spark, sf_dir):
     n = ND.html_nodes(load_pages(spark, sf_dir))

@@ -452,7 +452,7 @@ def _():
     return with_(S.PAGES, _BACK) + ("SELECT book_id, chapter_no, url, 'Page ' || chapter_no AS title, (chapter_no - 1) // 20 + 1 AS toc_page, page_id FROM BN")
 
 
-def _build_sql(select: str, num: str = "N") -> str:
+def _build_sql(select: str, num: str = "N", more: tuple = ()) -> str:
     cr = "chr(13)"
     parts = [
         S.PAGES, S.CLEAN, S.PARAS, S.NONBLANK, S.NUM, _BACK,
@@ -473,7 +473,7 @@ def _build_sql(select: str, num: str = "N") -> str:
     final = ("FB AS (SELECT N.book_id, N.chapter_no, N.page_id, BEST.lang AS src_lang, BW.t_title AS title, "
              f"'chapter' || N.chapter_no || '.html' AS file_name, {html} AS chapter_html FROM {num} N "
              "LEFT JOIN BEST ON N.page_id = BEST.page_id LEFT JOIN BW ON N.page_id = BW.page_id)")
-    return with_(*parts, final) + select
+    return with_(*parts, final, *more) + select
 
 
 @sql("build_books")
@@ -496,8 +496,7 @@ def _():
     return _build_sql("SELECT book_id, file_name, chapter_html FROM FB")
 
 
-@sql("book_export")
-def _():
+def _book_export_cte() -> str:
     footer = S.unicode_strip(S.node_text(S.first_or_null("clean", H.FOOTER)))
     title = S.title_text("clean")
     has = f"contains({title}, 'Author:')"
@@ -510,11 +509,38 @@ def _():
           f"{S.first_or_null('clean', S.IMG_SRC)} AS cover_url, {S.first_or_null('html', H.HTML_LANG)} AS language_code "
           f"FROM (SELECT page_id, book_id, html, {S.drop_scripts('html')} AS clean FROM N WHERE chapter_no = 1) F "
           "LEFT JOIN PA ON PA.page_id = F.page_id AND PA.pos = 0)")
-    return with_(S.PAGES, S.PARAS, S.NUM, pm) + (
+    return pm
+
+
+@sql("book_export")
+def _():
+    return with_(S.PAGES, S.PARAS, S.NUM, _book_export_cte()) + (
         "SELECT PM.*, c.n_chapters FROM PM JOIN (SELECT book_id, count(*) AS n_chapters FROM P GROUP BY book_id) c "
         "ON PM.book_id = c.book_id")
 
 
+@sql("book_parts")
+def _():
+    item = "'<li><a href=\"' || file_name || '\">' || " + S.escape_html("coalesce(title, '')") + " || '</a></li>'"
+    nav = (f"NV AS (SELECT book_id, (chapter_no - 1) // 1000 AS k, '<nav><ol>' || string_agg({item}, '' ORDER BY chapter_no) || '</ol></nav>' AS content FROM FB GROUP BY ALL)")
+    return _build_sql(
+        "SELECT book_id, k - max(k) OVER (PARTITION BY book_id) - 1 AS part_no, 'nav' AS kind, 'nav' || k || '.html' AS file_name, CAST(NULL AS VARCHAR) AS title, content FROM NV "
+        f"UNION ALL SELECT book_id, 0, 'title', 'titlepage.html', title, {_title_page_sql('title', 'author')} FROM BK "
+        "UNION ALL SELECT book_id, chapter_no, 'chapter', file_name, title, chapter_html FROM FB", "N", (_BOOKS, nav))
+
+
+@sql("translated_metadata")
+def _():
+    texts = ("MX AS (SELECT PM.book_id, coalesce(BEST.lang, PM.language_code) AS src_lang, u.part, u.text FROM PM LEFT JOIN BEST ON PM.book_id = BEST.book_id, "
+             "LATERAL (SELECT 0 AS part, PM.title AS text UNION ALL SELECT 1, PM.author UNION ALL SELECT 2, PM.description) u)")
+    one = lambda k, name: f"max(CASE WHEN part = {k} THEN translated_text END) AS {name}"
+    return with_(S.PAGES, S.PARAS, S.NUM, _book_export_cte(), f"DX AS (SELECT book_id, description AS text FROM PM WHERE length({S.unicode_strip('description')}) > 0)",
+                 *S.trigram_ctes("DX", "book_id"), texts, *S.glossary_ctes(), *S.translate_ctes("MX", "book_id, part", "M"),
+                 f"MR2 AS (SELECT book_id, {one(0, 'title')}, {one(1, 'author')}, {one(2, 'description')} FROM MR GROUP BY book_id)") + (
+        "SELECT PM.book_id, MR2.title, MR2.author, MR2.description, PM.cover_url, coalesce(BEST.lang, PM.language_code) AS language_code "
+        "FROM PM LEFT JOIN MR2 ON PM.book_id = MR2.book_id LEFT JOIN BEST ON PM.book_id = BEST.book_id")
+
+
 @sql("html_nodes")
 def _():
     return ("SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS pos, lower(unnest(l)) AS tag FROM "
