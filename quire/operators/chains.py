@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_root
+from .skew import split_hot_join
 
 
 def follow_chain(edges: DataFrame, starts: DataFrame | None = None,
@@ -56,6 +57,33 @@ def follow_chain(edges: DataFrame, starts: DataFrame | None = None,
         ahead *= 2
 
 
+def chain_forest(edges: DataFrame, src: str = "from_url", dst: str = "to_url") -> DataFrame:
+    """The walks without their shared pages repeated: (node, root, depth), one
+    row per page - the page its walk ends at and how many links lead there.  A
+    walk's page at ``depth`` d is number ``depth(start) - d + 1`` of it; the
+    pages of chosen starts come from ``follow_chain(edges, starts)``.  Pages
+    whose walk runs into a cycle have neither root nor depth.
+
+    Each round doubles how far every page looks ahead; pages that see their
+    root leave the loop, so a root that all walks share is no join key."""
+    spark = edges.sparkSession
+    shared_root(spark)
+    nxt = edges.where(F.col(src).isNotNull()).groupBy(F.col(src).alias("node")).agg(F.min(dst).alias("ptr"))
+    ends = edges.select(F.col(dst).alias("node")).where(F.col("node").isNotNull()).distinct().join(nxt, "node", "left_anti").withColumn("ptr", F.lit(None).cast(edges.schema[dst].dataType))
+    # ptr: the page ``dist`` links on; done: it has no next one
+    state = materialize(nxt.unionByName(ends).select(
+        "node", F.coalesce("ptr", "node").alias("ptr"), F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long").alias("dist"), F.col("ptr").isNull().alias("done")), "chain-forest")
+    n, ahead = state.count(), 1
+    while ahead <= n and state.where(~F.col("done")).limit(1).count():
+        far = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"))
+        # a page that many walks run into is one hot key
+        on = split_hot_join(state.where(~F.col("done")), far, ["ptr"], "inner")
+        on = on.select("node", F.col("ptr2").alias("ptr"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"))
+        state = materialize(state.where("done").unionByName(on), "chain-forest")
+        ahead *= 2
+    return state.select("node", F.when(F.col("done"), F.col("ptr")).alias("root"), F.when(F.col("done"), F.col("dist")).alias("depth"))
+
+
 def unreached(edges: DataFrame, walks: DataFrame, src: str = "from_url", dst: str = "to_url") -> DataFrame:
     """(node): the pages of ``edges`` in none of the walks of ``follow_chain``
     - on, or linked only from, a cycle without a start, or by a further "next" link."""

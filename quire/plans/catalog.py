@@ -21,7 +21,7 @@ from ..operators import contents as CO
 from ..operators import language as LG
 from ..operators import nodes as ND
 from ..operators import translate as TR
-from ..operators.chains import follow_chain
+from ..operators.chains import chain_forest, follow_chain
 from ..operators.numbering import number_within
 from ..operators.skew import HOT_ROWS, split_hot_join
 from ..session import materialize, scratch_path
@@ -286,6 +286,13 @@ def conversation_chains(spark, sf_dir):
                      F.split("node", ":")[1].cast("long").alias("turn"))
 
 
+@register
+def chain_depths(spark, sf_dir):
+    """C6 without repeated pages: every page's distance from the end of its chain."""
+    forest = chain_forest(B.next_page_edges(_numbered(spark, sf_dir)))
+    return forest.select(F.col("node").alias("url"), F.col("root").alias("last_url"), "depth")
+
+
 @register
 def paged_toc(spark, sf_dir):
     t = _toc_links(spark, sf_dir)

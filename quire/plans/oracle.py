@@ -199,6 +199,13 @@ def _():
     return S.with_rec(S.PAGES, S.EDGES, S.WALK, S.CHAIN) + "SELECT book_id, page_no, url FROM CH"
 
 
+@sql("chain_depths")
+def _():
+    return with_(S.PAGES) + (
+        "SELECT url, last_value(url) OVER w AS last_url, count(*) OVER w - row_number() OVER (PARTITION BY book_id ORDER BY page_id) AS depth FROM P "
+        "WINDOW w AS (PARTITION BY book_id ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+
+
 @sql("conversation_chains")
 def _():
     node = "CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)"
