@@ -6,6 +6,12 @@ so it can run as a scheduled job, a checkpoint in the shared folder, and
 landed before appending.  State lives in the landed table, not in
 executor memory; pages carry no event time, so there is no watermark.
 A replayed batch (after a failure) finds its URLs landed and adds nothing.
+
+The landed table is laid out by URL bucket (a hash of the URL), so a batch
+reads the URLs of the buckets it touches, no others.  Landed pages leave
+before their text is extracted.  Of several pages with one URL in a batch the
+smallest page_id lands (null last; then the smallest title and content); a
+null URL is a URL like any other.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from __future__ import annotations
 import os
 import threading
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import decode_entities
@@ -24,6 +30,12 @@ from ..operators.extract import page_features
 
 # Largest micro-batch (rows) whose URLs are broadcast to the landed-table scan.
 BROADCAST_MAX_BATCH = 5_000_000
+# URL buckets of the landed table; fixed for the table's life.
+BUCKETS = 64
+
+
+def url_bucket(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(BUCKETS)).cast("int")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -40,13 +52,40 @@ def _exists(spark: SparkSession, path: str) -> bool:
             return False
 
 
-def _landed_urls(spark: SparkSession, landed: str, query_id: str, epoch_id: int) -> DataFrame | None:
-    """URLs landed by other epochs and queries (this epoch's own folder is
-    excluded, so a replay does not filter out what its first attempt wrote)."""
-    if _exists(spark, landed):
-        own = (F.col("query") == query_id) & (F.col("epoch") == epoch_id)
-        return spark.read.parquet(landed).where(~own).select("url")
-    return None
+def landed_urls(spark: SparkSession, landed: str, buckets: list[int], query_id: str, epoch_id: int) -> DataFrame | None:
+    """URLs of these buckets landed by other epochs and queries (this epoch's
+    own folder is excluded, so a replay does not filter out what its first
+    attempt wrote).  Buckets, query and epoch are folders: only those asked
+    for are read."""
+    if not _exists(spark, landed):
+        return None
+    own = (F.col("query") == query_id) & (F.col("epoch") == epoch_id)
+    return spark.read.parquet(landed).where(F.col("bucket").isin(buckets) & ~own).select("url")
+
+
+def unseen(batch: DataFrame, landed: str, query_id: str, epoch_id: int) -> DataFrame:
+    """The rows of a batch whose URL has not landed yet."""
+    spark = batch.sparkSession
+    urls = batch.select("url").distinct()
+    # at most BUCKETS rows
+    buckets = [r["bucket"] for r in urls.select(url_bucket(F.col("url")).alias("bucket")).distinct().collect()]
+    seen = landed_urls(spark, landed, buckets, query_id, epoch_id)
+    if seen is None:
+        return batch
+    if urls.count() <= BROADCAST_MAX_BATCH:
+        # the batch is the small side: which of its URLs are landed is a
+        # map-only scan of the touched buckets (broadcast semi join), not a
+        # shuffle of their URLs
+        u = urls.select(F.col("url").alias("u"))
+        seen = seen.join(F.broadcast(u), F.col("url").eqNullSafe(F.col("u")), "left_semi")
+    seen = seen.select(F.col("url").alias("u"))
+    return batch.join(seen, F.col("url").eqNullSafe(F.col("u")), "left_anti")
+
+
+def first_of_url(rows: DataFrame) -> DataFrame:
+    """One row per URL, the same one on every run."""
+    order = Window.partitionBy("url").orderBy(F.col("page_id").asc_nulls_last(), "title", "content")
+    return rows.withColumn("_no", F.row_number().over(order)).where("_no = 1").drop("_no")
 
 
 def ingest_pages(spark: SparkSession, source_dir: str, landed: str, checkpoint: str,
@@ -66,24 +105,15 @@ def ingest_pages(spark: SparkSession, source_dir: str, landed: str, checkpoint:
         query_id = ids[0]
         # per-page work needs no other page: title and the joined body come
         # from array functions on the page's own paragraphs (no grouping)
-        feats = page_features(batch.select("page_id", "url", "html", host("url").alias("book_id"))
-                              .withColumn("n_chars", F.length("html").cast("long")))
+        fresh = unseen(batch.select("page_id", "url", "html"), landed, query_id, epoch_id)
+        feats = page_features(fresh.withColumn("book_id", host("url")).withColumn("n_chars", F.length("html").cast("long")))
         paras = F.filter(F.transform("paragraphs", decode_entities), lambda x: F.length(unicode_strip(x)) > 0)
-        rows = (feats.select("page_id", "url", "book_id", "n_chars", "title",
-                             F.array_join(paras, PARAGRAPH_JOIN).alias("content"))
-                     .dropDuplicates(["url"]))
-        seen = _landed_urls(batch.sparkSession, landed, query_id, epoch_id)
-        if seen is not None:
-            urls = rows.select("url")
-            if urls.count() <= BROADCAST_MAX_BATCH:
-                # the batch is the small side: which of its URLs are landed is a
-                # map-only scan of the landed table (broadcast semi join), not a
-                # shuffle of every landed URL per micro-batch
-                seen = seen.join(F.broadcast(urls), "url", "left_semi")
-            rows = rows.join(seen, "url", "left_anti")
+        rows = first_of_url(feats.select("page_id", "url", "book_id", "n_chars", "title",
+                                         F.array_join(paras, PARAGRAPH_JOIN).alias("content")))
         # one folder per query and epoch, overwritten: a replayed batch rewrites its own
-        # output instead of appending a second copy
-        rows.write.mode("overwrite").parquet(os.path.join(landed, f"query={query_id}", f"epoch={epoch_id}"))
+        # output instead of appending a second copy; a bucket is one file of it
+        (rows.withColumn("bucket", url_bucket(F.col("url"))).repartition("bucket").write.mode("overwrite")
+             .partitionBy("bucket").parquet(os.path.join(landed, f"query={query_id}", f"epoch={epoch_id}")))
 
     q = (stream.writeStream.foreachBatch(land)
                .option("checkpointLocation", checkpoint)
@@ -92,4 +122,4 @@ def ingest_pages(spark: SparkSession, source_dir: str, landed: str, checkpoint:
     ids.append(str(q.id))
     started.set()
     q.awaitTermination()
-    return spark.read.parquet(landed).drop("query", "epoch")
+    return spark.read.parquet(landed).drop("query", "epoch", "bucket")
