@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,12 +89,15 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_row
     return F.broadcast(df) if n <= max_rows else df
 
 
+def chunk_array(text_col: str = "text", size: int = CHUNK_SIZE) -> Column:
+    # consecutive greedy matches of 1..size code points: one linear regex pass
+    return F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def chunk_texts(df: DataFrame, key_cols, text_col: str = "text", size: int = CHUNK_SIZE) -> DataFrame:
     """(keys..., chunk_no, chunk); empty or NULL text gives no chunk."""
     keys = list(key_cols)
-    # consecutive greedy matches of 1..size code points: one linear regex pass
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
-    return (df.select(*keys, F.posexplode(pieces).alias("chunk_no", "chunk"))
+    return (df.select(*keys, F.posexplode(chunk_array(text_col, size)).alias("chunk_no", "chunk"))
               .select(*keys, F.col("chunk_no").cast("long").alias("chunk_no"), "chunk"))
 
 
@@ -235,13 +238,41 @@ def translate_texts(texts: DataFrame, key_cols, glossary: DataFrame | None = Non
         fresh = glossary_translate(todo, g, ["src_lang", "chunk_hash"])
     else:
         fresh = known_lang(pandas_translator(null_lang(todo.select("src_lang", "chunk_hash", "source_text")), translator))
-    known = fresh if memory is None else memory.unionByName(fresh)
-    looked = lookup_translations(chunks, known, hot=hot)
+    # every distinct chunk with its translation (its own text where there is
+    # none), so an occurrence travels as a hash and never as text
+    if memory is None and translator is None:
+        kept_text = dist.where(F.col("src_lang") == target).select("src_lang", "chunk_hash", F.col("source_text").alias("translated_text"))
+        full = fresh.unionByName(kept_text)
+    else:
+        known = fresh if memory is None else memory.unionByName(fresh)
+        full = (dist.select("src_lang", "chunk_hash", "source_text").join(known, ["src_lang", "chunk_hash"], "left")
+                    .select("src_lang", "chunk_hash", F.coalesce("translated_text", "source_text").alias("translated_text")))
+    uses = chunks.select(*kept, "src_lang", "chunk_no", chunk_hash("chunk").alias("chunk_hash"))
+    looked = split_hot_join(uses, full.withColumnRenamed("translated_text", "translated"), ["src_lang", "chunk_hash"], "left", hot=hot)
     if para_col:
         return reassemble_paragraphs(looked, keys, para_col), null_lang(fresh)
     return reassemble(looked, keys, "translated", "translated_text"), null_lang(fresh)
 
 
+def as_is(text_col: str = "text") -> Column:
+    """What translation makes of a text in the target language: its chunks
+    joined again, NULL if there is none."""
+    return F.nullif(F.array_join(chunk_array(text_col), " "), F.lit(""))
+
+
+def translate_rows(df: DataFrame, key_cols, text_col: str = "text", lang_col: str = "src_lang", target: str = TARGET_LANG, **how) -> DataFrame:
+    """J2 for a table of texts: (keys..., translated_text), a row for each row
+    of ``df``.  Rows in the target language are answered where they lie: only
+    the others are chunked, looked up and shuffled (a memory's rows in the
+    target language are not looked at).  ``how`` goes to ``translate_texts``."""
+    keys = list(key_cols)
+    home = F.coalesce(F.col(lang_col) == target, F.lit(False))
+    away = df.where(~home)
+    tr, _ = translate_texts(away, keys, text_col=text_col, lang_col=lang_col, target=target, **how)
+    done = away.select(*keys).join(tr, keys, "left")
+    return df.where(home).select(*keys, as_is(text_col).alias("translated_text")).unionByName(done)
+
+
 def apply_corrections(memory: DataFrame, corrections: DataFrame) -> DataFrame:
     """Corrections left-joined to the memory; per key the correction with
     the highest priority wins (then the greatest text)."""

@@ -516,8 +516,7 @@ def detect_language(spark, sf_dir):
 @register
 def translate_documents(spark, sf_dir):
     d = _docs(spark, sf_dir).withColumnRenamed("lang", "src_lang")
-    tr, _ = TR.translate_texts(d, ["doc_id"])
-    return d.select("doc_id").join(tr, "doc_id", "left")
+    return TR.translate_rows(d, ["doc_id"])
 
 
 @register
