@@ -15,7 +15,8 @@ A source may hold any share of the rows: its sums are partial aggregates over
 
 Defined results: null text has size 0; a null source is a source of its own,
 last in order; rows that share a doc_id share a hash and are taken together
-(null ids too); a source without words takes nothing; an empty table gives an
+(null ids too); a row without words is taken as often as its source is taken
+whole, so a source without words takes nothing; an empty table gives an
 empty result; other columns are not read by ``mix`` and pass through ``apply_mix``.
 """
 
@@ -102,15 +103,17 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return state
 
 
-def copies() -> Column:
-    return F.col("whole") + (F.col("h") < F.col("below")).cast("long")
+def copies(worded: Column) -> Column:
+    """How often a row is taken; without words it adds nothing to a budget, so
+    the part under the threshold is not for it."""
+    return F.col("whole") + (worded & (F.col("h") < F.col("below"))).cast("long")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
     sizes = materialize(sized(docs), "sizes")
     marks = thresholds(sizes, source_targets(sizes, weights))
-    return sizes.join(marks, "skey").select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
+    return sizes.join(marks, "skey").select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("size") > 0)).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, weights=WEIGHTS) -> DataFrame:
@@ -118,8 +121,9 @@ def apply_mix(docs: DataFrame, weights=WEIGHTS) -> DataFrame:
     sizes = materialize(sized(docs), "sizes")
     marks = thresholds(sizes, source_targets(sizes, weights)).select("skey", "whole", "below")
     kept = docs.select(F.struct("*").alias("row")).select(
-        "row", null_safe_key(F.col("row.source")).alias("skey"), doc_hash(F.col("row.doc_id")).alias("h"))
-    kept = kept.join(marks, "skey").select("row", copies().alias("n")).where("n > 0")
+        "row", null_safe_key(F.col("row.source")).alias("skey"), doc_hash(F.col("row.doc_id")).alias("h"),
+        F.coalesce(F.col("row.text").cast("string").rlike(WORD), F.lit(False)).alias("worded"))
+    kept = kept.join(marks, "skey").select("row", copies(F.col("worded")).alias("n")).where("n > 0")
     return kept.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
 
 
