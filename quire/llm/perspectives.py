@@ -14,8 +14,12 @@ offsets are running sums within a block plus the sums of the blocks before.
 
 Native: DataFrame functions only.
 
+Texts and names cannot forge a turn: ``<|`` is rendered as ``<\\|``, and
+``<\\|`` with a further backslash, so taking one away gives the text back; a
+line break in a name is rendered as a space.
+
 Defined results: messages go by turn (null last), role and text; equal rows
-are a message each; a null or blank role is the participant ``unknown``; a
+are a message each; roles lose the white space around them, a null or blank one is ``unknown``; a
 null text is empty; rows without a conv_id are one conversation; a
 conversation of system turns alone is rendered once, with a null speaker and
 no mask; an empty table gives no rows; further columns are not read.
@@ -33,12 +37,13 @@ from .common import null_safe_key, read
 SYSTEM = "system"
 UNKNOWN = "unknown"
 BLOCK = 1024
-OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
+CLOSE = "<|end|>\n"
+_AROUND = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
 def messages(conversations: DataFrame) -> DataFrame:
     """Numbered messages: ckey, conv_id, seq (from 0), block, name, text."""
-    name = F.trim(F.coalesce(F.col("role").cast("string"), F.lit("")))
+    name = F.regexp_replace(F.coalesce(F.col("role").cast("string"), F.lit("")), _AROUND, "")
     m = conversations.select(
         "conv_id", null_safe_key(F.col("conv_id")).alias("ckey"), F.col("turn").isNull().alias("late"), "turn",
         F.when(name == "", F.lit(UNKNOWN)).otherwise(name).alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -54,6 +59,11 @@ def speakers(numbered: DataFrame) -> DataFrame:
     return last.join(own, "ckey", "left").select("ckey", "speaker", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("block"))
 
 
+def escaped(text: Column) -> Column:
+    """The text without the opening of a mark."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
 def part_of(name: Column, speaker: Column) -> Column:
     return (F.when(name == SYSTEM, F.lit(SYSTEM)).when(name == speaker, F.lit("assistant")).otherwise(F.lit("user")))
 
@@ -64,8 +74,8 @@ def rotate(conversations: DataFrame) -> DataFrame:
     numbered = materialize(messages(conversations), "messages")
     d = numbered.join(speakers(numbered), ["ckey", "block"])
     d = d.withColumn("part", part_of(F.col("name"), F.col("speaker")))
-    lead = F.concat(F.lit("<|"), F.col("part"), F.lit("|>\n"), F.when(F.col("part") == "user", F.concat("name", F.lit(": "))).otherwise(F.lit("")))
-    d = d.withColumn("lead", lead).withColumn("rendered", F.concat("lead", "text", F.lit(CLOSE)))
+    lead = F.concat(F.lit("<|"), F.col("part"), F.lit("|>\n"), F.when(F.col("part") == "user", F.concat(escaped(F.regexp_replace("name", r"[\r\n]+", " ")), F.lit(": "))).otherwise(F.lit("")))
+    d = d.withColumn("lead", lead).withColumn("rendered", F.concat(F.col("lead"), escaped(F.col("text")), F.lit(CLOSE)))
     by = ["ckey", "block", "speaker"]
     # a window holds one block of one perspective
     within = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
