@@ -5,8 +5,9 @@ labelled rows (``labels.quality``: 0 is poor) sequential covering learns an
 ordered list of rules, each a conjunction of ``statistic >= t`` or
 ``statistic < t``: a rule grows by the condition of largest FOIL gain on two
 thirds of the labelled rows, is pruned back to the prefix that does best on
-the other third, and is kept while it is precise there; the rows it covers
-are set aside and the next rule is grown.  The list becomes one ordered
+the other third, and is kept if it is precise there; the rows it covers
+are set aside and the next rule is grown; after a rule that is not kept the
+next one starts with another condition, until none is left.  The list becomes one ordered
 ``CASE WHEN`` over the statistics.
 
 Native: statistics are column expressions over the whole text, learning
@@ -32,10 +33,11 @@ from .common import WORD, read
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MAX_RULES = 8
-MAX_CONDITIONS = 3
 # A rule is kept if this share of what it covers among the pruning rows is
-# poor (one clean row is counted in advance), and it covers so many of them.
+# poor (one poor row is counted in advance), one at least, and it covers twice
+# MIN_COVER poor rows of all; MIN_COVER is the least that a condition may cover.
+# Both end the learning: every kept rule takes rows with it, every further
+# condition clean rows, and a start that led to no rule is not tried again.
 MIN_PRECISION = 0.97
 MIN_COVER = 3
 QUANTILES = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.975, 0.99, 0.995, 0.999)
@@ -140,8 +142,9 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
 
 
-def _best(hist: dict, cuts: dict[str, list[float]], p0: int, n0: int, least: int) -> Condition | None:
-    """The condition of largest gain, given (poor, clean) counts by statistic and bin."""
+def _best(hist: dict, cuts: dict[str, list[float]], p0: int, n0: int, least: int, aside: set) -> Condition | None:
+    """The condition of largest gain, given (poor, clean) counts by statistic
+    and bin; ``aside`` are (statistic, direction) pairs that are not tried."""
     best, found = 1e-9, None
     for name, values in cuts.items():
         bins = [hist.get((name, k), (0, 0)) for k in range(len(values) + 1)]
@@ -149,7 +152,7 @@ def _best(hist: dict, cuts: dict[str, list[float]], p0: int, n0: int, least: int
         for k, v in enumerate(values):
             p, n = p + bins[k][0], n + bins[k][1]
             for at_least, (a, b) in ((False, (p, n)), (True, (p0 - p, n0 - n))):
-                if a >= least and (g := _gain(a, b, p0, n0)) > best:
+                if a >= least and b < n0 and (name, at_least) not in aside and (g := _gain(a, b, p0, n0)) > best:
                     best, found = g, Condition(name, at_least, v)
     return found
 
@@ -172,32 +175,37 @@ def learn(labelled: DataFrame) -> list[Rule]:
     bins = F.array(*[F.struct(F.lit(c).alias("name"), _bin(c, cuts[c]).alias("bin")) for c in names])
     coded = materialize(labelled.withColumn("bins", bins), "quality-labelled")
     rules: list[Rule] = []
-    while len(rules) < MAX_RULES:
+    aside: set[tuple[str, bool]] = set()
+    while True:
         left = coded
         for r in rules:
             left = left.where(~_test(r))
         rule: list[Condition] = []
-        while len(rule) < MAX_CONDITIONS:
+        while True:
             got = (left.where(F.col("grow") & _test(rule)).select("poor", F.explode("bins").alias("b"))
                        .groupBy("b.name", "b.bin").agg(F.count(F.when(F.col("poor"), 1)).alias("p"), F.count(F.when(~F.col("poor"), 1)).alias("n")).collect())
             hist = {(x["name"], x["bin"]): (x["p"], x["n"]) for x in got}
             p0 = sum(v[0] for (c, _), v in hist.items() if c == names[0])
             n0 = sum(v[1] for (c, _), v in hist.items() if c == names[0])
-            if not p0 or not n0 or (c := _best(hist, cuts, p0, n0, MIN_COVER)) is None:
+            if not p0 or not n0 or (c := _best(hist, cuts, p0, n0, MIN_COVER, set() if rule else aside)) is None:
                 break
             rule.append(c)
         if not rule:
             break
         # prune: the prefix with the best (poor - clean) / covered on the other rows
         prefixes = [rule[: k + 1] for k in range(len(rule))]
-        seen = left.where(~F.col("grow")).agg(*[F.count(F.when(_test(x) & (F.col("poor") == poor), 1)).alias(f"c{k}_{poor}")
-                                                for k, x in enumerate(prefixes) for poor in (True, False)]).first()
+        seen = left.agg(*[F.count(F.when(_test(x) & (F.col("poor") == poor) & ~F.col("grow"), 1)).alias(f"c{k}_{poor}")
+                          for k, x in enumerate(prefixes) for poor in (True, False)],
+                        *[F.count(F.when(_test(x) & F.col("poor"), 1)).alias(f"all{k}") for k, x in enumerate(prefixes)]).first()
         worth = [(((p := seen[f"c{k}_True"]) - (n := seen[f"c{k}_False"])) / (p + n + 1), p, n) for k in range(len(prefixes))]
         k = max(range(len(prefixes)), key=lambda i: (worth[i][0], -i))
         _, p, n = worth[k]
-        if p < MIN_COVER or p / (p + n + 1) < MIN_PRECISION * p / (p + 1):
-            break
+        if not p or seen[f"all{k}"] < 2 * MIN_COVER or p / (p + n + 1) < MIN_PRECISION * p / (p + 1):
+            # no rule starts so: the next one starts with another statistic or direction
+            aside.add((rule[0].name, rule[0].at_least))
+            continue
         rules.append(tuple(prefixes[k]))
+        aside.clear()
     return rules
 
 
