@@ -15,10 +15,13 @@ a slot, and the slot that holds the prose is the article:
 3. the slots are what varies: all prose outside template text (text tokens of
    a valid class on ``FURNITURE`` of the host's pages, two at least; an
    element goes only if all its own text is template, whatever its kind and
-   length) and outside furniture;
+   length) and outside furniture.  In articles a repeated heading stays where
+   a slot follows it, and an article of which the template would take more
+   than half the blocks keeps them: it is a near copy of other pages;
 4. each page yields the text of all its slots in page order, without
    navigation, forms, adverts, notices, comments and what else is furniture by
-   element, role or class.  Where the host's template has slots in article or
+   element, role or class (inside an article only by names that say nothing
+   else, and never a paragraph's).  Where the host's template has slots in article or
    main elements, or the host shows no template, a page that has such elements
    yields theirs only.  A page whose text is template altogether keeps it.
 
@@ -76,6 +79,13 @@ FURNITURE_NAMES = frozenset((
     "login search widget widgets toolbar pager pagination masthead topbar").split())
 HEADER_NAMES = frozenset(("header", "masthead"))
 IN_ARTICLE = frozenset("comment comments reply replies ad ads advert advertisement sponsored related promo".split())
+# words that say nothing of an element's use: inside an article a name is
+# furniture only if these are all that stands beside furniture's words
+PLAIN_NAMES = frozenset((
+    "area bar block body bottom box btn button buttons center col column container content cta element footer group head header heading holder icons "
+    "inline inner item items left link links list message module outer panel part post posts right row section site slot small story title top unit "
+    "user wrap wrapper your our the this").split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 dt".split())
 NOT_FURNITURE = frozenset("has with no without content article main body wrapper container page layout site".split())
 CONTENT_NAMES = frozenset("content article main post entry story text body".split())
 # a new block of the kind closes an open one, up to a container
@@ -138,6 +148,10 @@ def furniture(name: str, attrs: dict[str, str], in_main: bool) -> bool:
         if name in MAIN_TAGS:
             if own & IN_ARTICLE:
                 return True
+        elif in_main:
+            # a paragraph's name is no evidence there: template text goes by its class
+            if name not in PROSE and own & FURNITURE_NAMES and own <= FURNITURE_NAMES | PLAIN_NAMES:
+                return True
         elif own & FURNITURE_NAMES and not own & NOT_FURNITURE - {"content", "container", "wrapper", "body"}:
             return True
         elif own & HEADER_NAMES and not in_main and not own & NOT_FURNITURE:
@@ -261,7 +275,11 @@ def extract(page: str | None, main: list[int], drop: frozenset | set) -> str:
     # without an article element in the template, one on a page is no more than a slot of it
     kept = [b for b in found if b[2] == 2] if main or not drop else []
     kept = kept or found
-    return " ".join(t for *_, t in slots_of(kept, drop)) or " ".join(t for *_, t in kept)
+    slots = slots_of(kept, drop)
+    # an article that is mostly the text of other pages is their near copy, no template
+    if kept[:1] and kept[0][2] == 2 and 2 * len(slots) < len(kept):
+        slots = kept
+    return " ".join(t for *_, t in slots) or " ".join(t for *_, t in kept)
 
 
 def blocks(page: str) -> list[tuple[Node, tuple[int, ...], int, str]]:
@@ -292,11 +310,24 @@ def blocks(page: str) -> list[tuple[Node, tuple[int, ...], int, str]]:
 
 
 def slots_of(found: list, drop: frozenset | set) -> list:
-    """The blocks without template text; a prose element goes only if all its own text is template."""
+    """The blocks without template text; a prose element goes only if all its
+    own text is template, a heading in an article only if it heads no slot:
+    with varying text after it, and not template text before it, it stays."""
     if not drop:
         return found
     alive = {id(b[0]) for b in found if b[0].name in PROSE and not all(t in drop for t in b[1])}
-    return [b for b in found if (id(b[0]) in alive if b[0].name in PROSE else not all(t in drop for t in b[1]))]
+    keep = [id(b[0]) in alive if b[0].name in PROSE else not all(t in drop for t in b[1]) for b in found]
+    # from the end: what each heading heads
+    heads, below = [False] * len(found), False
+    for k in range(len(found) - 1, -1, -1):
+        if not keep[k] and found[k][2] == 2 and found[k][0].name in HEADINGS:
+            heads[k] = below
+        else:
+            below = keep[k]
+    for k, own in enumerate(heads):
+        if own and (k == 0 or keep[k - 1]):
+            keep[k] = True
+    return [b for b, kept in zip(found, keep) if kept]
 
 
 def count_tokens(pages: DataFrame) -> DataFrame:
