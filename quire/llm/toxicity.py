@@ -53,7 +53,7 @@ FALSE_SHARE = 0.4
 BEGINNINGS = (3, 4, 5, 6, 7)
 GRADES = 3
 CUT = 0.5
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 60_000
 STEPS = 400
 # Penalty over the whole sample: a prior on the weights, alike at every size.
 RIDGE = 0.1
