@@ -47,3 +47,21 @@ def test_batch_with_nothing_new_and_an_empty_one(spark):
     assert first == 2
     assert land(spark, [page(3, "u1", "c")], landed).count() == 2
     assert land(spark, [page(4, "u4", "d")], landed).count() == 3
+
+
+def test_a_table_that_is_a_folder_of_parts(spark):
+    import os
+
+    from quire.plans.catalog import stream_ingest
+    folder = scratch_path(spark, "t-tables")
+    rows = [page(k, f"http://h{k % 3}.x/{k}", f"t{k}") for k in range(40)]
+    spark.createDataFrame(rows, SCHEMA).repartition(5).write.parquet(os.path.join(folder, "pages.parquet"))
+    got = {(r.page_id, r.url, r.title) for r in stream_ingest(spark, folder).collect()}
+    assert got == {(k, u, f"t{k}") for k, u, _ in rows}
+
+
+def test_pages_without_a_row(spark):
+    landed = scratch_path(spark, "t-landed")
+    got = land(spark, [], landed)
+    assert got.columns == ["page_id", "url", "book_id", "n_chars", "title", "content"] and got.count() == 0
+    assert land(spark, [page(1, "u1", "a")], landed).count() == 1
