@@ -38,25 +38,25 @@ def build_books(pages: DataFrame, training_docs: DataFrame, glossary: DataFrame
     ``extraction='regex'`` reads title/body with native regexes (fast
     path, for <article>/<h1>/<p> pages); ``'rules'`` takes them from the
     route's selector rules over the HTML-node UDTF (any site in the rules)."""
-    # one scan of the page bodies; every branch below reads this narrow table
     if extraction == "rules":
         from ..operators.nodes import rule_features
-        feats = materialize(rule_features(pages, rules), "page-features")
+        feats = rule_features(pages, rules)
     else:
-        feats = materialize(X.page_features(pages), "page-features")
+        feats = X.page_features(pages)
+    # one scan of the page bodies; every branch below reads this narrow table.
+    # E2/E3 on each page's own paragraph array: no shuffle (trigger '\r' as in the reference)
+    feats = materialize(B.paragraph_pieces(feats), "page-features")
     if order is not None:
         chapters = chapter_pages(order.select("book_id", "chapter_no", "url"), feats.select("url", "page_id")).where(F.col("page_id").isNotNull())
         num = materialize(chapters.select("page_id", "book_id", "chapter_no"), "chapters")
         feats = feats.join(num.select("page_id").distinct(), "page_id", "left_semi")
     else:
         num = B.number_chapters(feats).select("page_id", "book_id", "chapter_no")
-    # E2/E3 on each page's own paragraph array: no shuffle (trigger '\r' as in the reference)
-    pieces = B.paragraph_pieces_array(F.transform("paragraphs", H.decode_entities))
     art = feats.select("page_id", F.col("article_text").alias("text"))
     # one small row per page, used twice below: written once to the shared folder
     langs = materialize(LG.detect(art, model or LG.train(training_docs), "page_id", out_col="src_lang"), "page-langs")
     # text 0 is the title, the others the paragraphs: each is translated by itself
-    texts = (feats.select("page_id", F.concat(F.array("title"), pieces).alias("texts")).join(langs, "page_id", "left")
+    texts = (feats.select("page_id", F.concat(F.array("title"), F.col("pieces")).alias("texts")).join(langs, "page_id", "left")
                   .select("page_id", "src_lang", F.posexplode("texts").alias("para_no", "text")))
     tr, fresh = TR.translate_texts(texts, ["page_id"], glossary=glossary, memory=memory, translator=translator, para_col="para_no")
     if memory_out:
@@ -77,12 +77,14 @@ def build_next_page_book(chain: DataFrame, pages: DataFrame, glossary: DataFrame
     non-empty piece is translated (distinct chunks once), the pieces become
     paragraphs in order, escaped, and the page is rendered as "Page n".  ``chain`` is
     (book_id, page_no, url); ``pages`` (page_id, url, html)."""
-    body = pages.select("page_id", "url", H.html_lang("html").alias("src_lang"),
-                        T.strip_tokens(H.node_text(F.coalesce(H.article(H.drop_scripts("html")), F.lit(""))))
-                        .alias("body"))
+    clean = pages.select("page_id", "url", H.html_lang("html").alias("src_lang"), H.drop_scripts("html").alias("clean"))
+    text = clean.select("page_id", "url", "src_lang", H.strip_tags(F.array_join(H.inside("clean", "article"), "\n")).alias("text"))
+    body = text.select("page_id", "url", "src_lang", T.strip_tokens(H.decode_entities("text")).alias("body"))
     pieces = (body.select("page_id", "src_lang",
                           F.posexplode(T.split_pieces("body", T.IDEOGRAPHIC_PARAGRAPH)).alias("piece_no", "text"))
                   .where(F.col("text") != ""))
+    # read twice (distinct chunks, their uses): page bodies are read once
+    pieces = materialize(pieces, "page-pieces")
     tr, _ = TR.translate_texts(pieces, ["page_id"], glossary=glossary, translator=translator, para_col="piece_no")
     joined = tr.select("page_id", M.paragraphs_html(F.transform("paragraphs", lambda x: x["text"])).alias("content"))
     j = (chain.join(body.select("page_id", "url"), "url")
