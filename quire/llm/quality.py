@@ -40,6 +40,8 @@ MAX_REPEAT_PERCENT = 50
 # condition clean rows, and a start that led to no rule is not tried again.
 MIN_PRECISION = 0.97
 MIN_COVER = 3
+# Labelled rows that a task of the learning counts.
+TASK_ROWS = 50_000
 QUANTILES = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.975, 0.99, 0.995, 0.999)
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -172,19 +174,20 @@ def learn(labelled: DataFrame) -> list[Rule]:
              for c in names for poor in (False, True)]
     row = labelled.agg(*marks).first()
     cuts = {c: sorted({v for poor in (False, True) for v in row[f"{c}_{poor}"] or ()}) for c in names}
-    bins = F.array(*[F.struct(F.lit(c).alias("name"), _bin(c, cuts[c]).alias("bin")) for c in names])
-    coded = materialize(labelled.withColumn("bins", bins), "quality-labelled")
+    # a condition tells rows apart by the threshold bins of their statistics
+    # alone: rows alike in these are one, with their number
+    alike = labelled.select("poor", "grow", *[_bin(c, cuts[c]).alias(c) for c in names]).groupBy("poor", "grow", *names)
+    coded = materialize(alike.agg(F.count(F.lit(1)).alias("rows")), "quality-labelled")
+    coded = coded.coalesce(max(1, math.ceil(coded.count() / TASK_ROWS)))
+    growing = coded.where("grow")
     rules: list[Rule] = []
     aside: set[tuple[str, bool]] = set()
+    whole = _histogram(growing, names)  # of the rows no rule covers yet
+    left = _test((), cuts)
     while True:
-        left = coded
-        for r in rules:
-            left = left.where(~_test(r))
         rule: list[Condition] = []
         while True:
-            got = (left.where(F.col("grow") & _test(rule)).select("poor", F.explode("bins").alias("b"))
-                       .groupBy("b.name", "b.bin").agg(F.count(F.when(F.col("poor"), 1)).alias("p"), F.count(F.when(~F.col("poor"), 1)).alias("n")).collect())
-            hist = {(x["name"], x["bin"]): (x["p"], x["n"]) for x in got}
+            hist = _histogram(growing.where(left & _test(rule, cuts)), names) if rule else whole
             p0 = sum(v[0] for (c, _), v in hist.items() if c == names[0])
             n0 = sum(v[1] for (c, _), v in hist.items() if c == names[0])
             if not p0 or not n0 or (c := _best(hist, cuts, p0, n0, MIN_COVER, set() if rule else aside)) is None:
@@ -194,9 +197,10 @@ def learn(labelled: DataFrame) -> list[Rule]:
             break
         # prune: the prefix with the best (poor - clean) / covered on the other rows
         prefixes = [rule[: k + 1] for k in range(len(rule))]
-        seen = left.agg(*[F.count(F.when(_test(x) & (F.col("poor") == poor) & ~F.col("grow"), 1)).alias(f"c{k}_{poor}")
-                          for k, x in enumerate(prefixes) for poor in (True, False)],
-                        *[F.count(F.when(_test(x) & F.col("poor"), 1)).alias(f"all{k}") for k, x in enumerate(prefixes)]).first()
+        rows = lambda which: F.coalesce(F.sum(F.when(which, F.col("rows"))), F.lit(0))
+        seen = coded.where(left).agg(*[rows(_test(x, cuts) & (F.col("poor") == poor) & ~F.col("grow")).alias(f"c{k}_{poor}")
+                                       for k, x in enumerate(prefixes) for poor in (True, False)],
+                                     *[rows(_test(x, cuts) & F.col("poor")).alias(f"all{k}") for k, x in enumerate(prefixes)]).first()
         worth = [(((p := seen[f"c{k}_True"]) - (n := seen[f"c{k}_False"])) / (p + n + 1), p, n) for k in range(len(prefixes))]
         k = max(range(len(prefixes)), key=lambda i: (worth[i][0], -i))
         _, p, n = worth[k]
@@ -205,14 +209,27 @@ def learn(labelled: DataFrame) -> list[Rule]:
             aside.add((rule[0].name, rule[0].at_least))
             continue
         rules.append(tuple(prefixes[k]))
+        covered = _histogram(growing.where(left & _test(rules[-1], cuts)), names)
+        whole = {b: (x[0] - covered.get(b, (0, 0))[0], x[1] - covered.get(b, (0, 0))[1]) for b, x in whole.items()}
+        left = left & ~_test(rules[-1], cuts)
         aside.clear()
     return rules
 
 
-def _test(conditions) -> Column:
+def _histogram(coded: DataFrame, names: list[str]) -> dict[tuple[str, int], tuple[int, int]]:
+    """(poor, clean) rows by statistic and bin."""
+    bins = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("bin")) for c in names])
+    count = lambda poor: F.sum(F.when(F.col("poor") == poor, F.col("rows")).otherwise(0))
+    got = coded.select("poor", "rows", F.explode(bins).alias("b")).groupBy("b.name", "b.bin").agg(count(True).alias("p"), count(False).alias("n")).collect()
+    return {(x["name"], x["bin"]): (x["p"], x["n"]) for x in got}
+
+
+def _test(conditions, cuts: dict[str, list[float]]) -> Column:
+    """The conditions on the bins of the statistics."""
     out = F.lit(True)
     for c in conditions:
-        out = out & ((F.col(c.name) >= c.value) if c.at_least else (F.col(c.name) < c.value))
+        reached = F.col(c.name) > cuts[c.name].index(c.value)
+        out = out & (reached if c.at_least else ~reached)
     return out
 
 
