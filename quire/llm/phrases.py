@@ -62,6 +62,8 @@ FILTER_HASHES = 4
 GROUP_BYTES = 8 << 20
 # Rows of a task's spelled counts before they are summed up.
 PARTIAL_ROWS = 1 << 20
+# Splits of the texts that a task of the last scan sums up at most.
+LAST_SPLITS = 16
 # The language's best are found in so many parts first.
 TOP_PARTS = 64
 
@@ -278,6 +280,13 @@ def scan_last(docs: DataFrame, reached) -> DataFrame:
     return docs.mapInArrow(run, SPELLED)
 
 
+def gathered(docs: DataFrame) -> DataFrame:
+    """The texts in no more tasks than run at once, but few splits in each: a
+    phrase that comes everywhere is a row of every task's counts."""
+    splits = docs.rdd.getNumPartitions()
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-splits // LAST_SPLITS)))
+
+
 def _cuts(texts: pa.ChunkedArray) -> Iterator[tuple[int, int]]:
     """Row ranges of about GROUP_BYTES of text."""
     size = pc.cumulative_sum(pc.cast(pc.binary_length(texts), pa.int64())).to_numpy()
@@ -319,7 +328,7 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHA
             if not np.array_equal(grown, blocks):
                 blocks, version = grown, version + 1
         r += 1
-    exact = scan_last(texts, spark.sparkContext.broadcast(blocks)).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    exact = scan_last(gathered(texts), spark.sparkContext.broadcast(blocks)).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
     return materialize(exact.where((F.col("k") == 0) | (F.col("n") >= min_count)), "phrases")
 
 
