@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, read
+from .common import bounded_batches, read, tidy
 
 # Entries of a worker's word and fragment tables before they are emptied.
 CACHE_ENTRIES = 400_000
@@ -227,7 +227,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     schema = T.StructType([T.StructField(id_col, src.schema["_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())),
                            T.StructField("decoded", T.StringType())])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,20 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``; after it, memory that nothing holds any more
+    goes back to the system: a Python worker outlives its task."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # no glibc
+            pass
+
+    return tidied
+
+
 def words(text: Column, pattern: str) -> Column:
     """All matches of ``pattern`` in the whole text; null gives no words."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(" + pattern + ")"), F.lit(1))

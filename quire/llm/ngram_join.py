@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import bounded_batches, read
+from .common import bounded_batches, read, tidy
 from .components import components
 
 SHINGLE = 5
@@ -58,7 +58,7 @@ TOLERANCE = 1e-6
 SET_SIZE = 64
 BLOCK_ROWS = 256
 BLOCK_BYTES = 4 << 20
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -174,7 +174,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 [b.column(0), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([minhash(s).tobytes() for s in sets], pa.binary()), b.column(2)], names=["doc_id", "key", "n", "sig", "text_hash"])
 
-    return src.mapInArrow(run, "doc_id long, key binary, n long, sig binary, text_hash long")
+    return src.mapInArrow(tidy(run), "doc_id long, key binary, n long, sig binary, text_hash long")
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
                 links += [(own[forest.root(k)]["cid"], own[k]["cid"]) for k in range(len(own)) if forest.root(k) != k]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    return grouped.mapInArrow(run, "u long, v long").union(large)
+    return grouped.mapInArrow(tidy(run), "u long, v long").union(large)
 
 
 def _verify_unit(rows: list[dict], shingle: Shingler) -> list[tuple]:
@@ -256,7 +256,7 @@ def _verify(units: DataFrame) -> DataFrame:
                                                  names=["cid", "key", "links", "tied"])
 
     unit = ["root", "i", "j"]
-    return units.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(run, "cid long, key binary, links long, tied long")
+    return units.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(tidy(run), "cid long, key binary, links long, tied long")
 
 
 def _classes(signed: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import bounded_batches, read
+from .common import bounded_batches, read, tidy
 
 FIT_ROWS = 20_000
 FEATURES = 8_192
@@ -149,7 +149,7 @@ def select_features(sample: DataFrame) -> list[tuple[str, bool]]:
                     toxic.clear()
         yield summed()
 
-    seen = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "f string, a long, m long")
+    seen = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(tidy(run), "f string, a long, m long")
     n = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     total, pos = n["n"], n["t"] or 0
     if not pos or pos == total:
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                                               pa.array([list(g.values()) for g, _ in got], pa.list_(pa.int32())),
                                               pa.array([w for _, w in got], pa.int32()), b.column(1)], names=["k", "n", "words", "toxic"])
 
-    rows = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "k array<int>, n array<int>, words int, toxic int").collect()
+    rows = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(tidy(run), "k array<int>, n array<int>, words int, toxic int").collect()
     grades = _grades([(r["k"], r["n"], r["toxic"]) for r in rows], marks)
     return _fit(index, [(r["k"], r["n"], r["words"]) for r in rows], grades)
 
@@ -227,29 +227,34 @@ def _fit(index, rows, grades: np.ndarray) -> Model:
     return Model(index, w, raw[0] + np.append(0.0, np.cumsum(np.exp(raw[1:]))), usual, most)
 
 
-def score(df: DataFrame, model: Model, keep=("doc_id",)) -> DataFrame:
-    """The kept columns with severity, p_toxic, grade and toxic of every row."""
+def score(df: DataFrame, model: Model, keep=("doc_id",), text_in: str | None = None) -> DataFrame:
+    """The kept columns with severity, p_toxic, grade and toxic of every row.
+    ``text_in``: the kept column, a struct, whose field ``text`` is judged."""
     bounded_batches(df.sparkSession)
-    src = df.select(*keep, F.col("text").cast("string").alias("_text"))
+    # the text goes to the workers once, also where the kept row holds it
+    src = df.select(*keep) if text_in else df.select(*keep, F.col("text").cast("string").alias("_text"))
     schema = T.StructType([*(src.schema[c] for c in keep), T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()),
                            T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())])
 
+    at = src.schema[text_in].dataType.names.index("text") if text_in else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(model.index)
         for b in batches:
-            got = [model.score(*count(t)) for t in b.column(len(keep)).to_pylist()]
+            texts = b.column(len(keep)) if text_in is None else b.column(list(keep).index(text_in)).flatten()[at]
+            got = [model.score(*count(t)) for t in texts.to_pylist()]
             sev, p, grade = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[: len(keep)], pa.array(sev, pa.float64()), pa.array(p, pa.float64()), pa.array(grade, pa.int32()),
                  pa.array([x >= CUT for x in p], pa.bool_())], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not toxic, all columns as they came."""
     model = fit(docs, labels)
-    scored = score(docs.select(F.struct("*").alias("row"), F.col("text")), model, keep=("row",))
+    scored = score(docs.select(F.struct("*").alias("row")), model, keep=("row",), text_in="row")
     return scored.where(~F.col("toxic")).select("row.*")
 
 
