@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,12 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, read, tidy
 
-# Entries of a worker's word and fragment tables before they are emptied.
-CACHE_ENTRIES = 400_000
+# A worker's word and fragment tables hold twice so many entries at most, none
+# of a longer key: some tens of MB, whatever the texts.
+CACHE_ENTRIES = 150_000
+CACHE_KEY = 48
+# Texts of about so many bytes are encoded before their rows are sent on.
+SLICE_BYTES = 1 << 20
 # A text is cut before white space into pieces of about this many characters.
 PIECE_CHARS = 1 << 20
 # Longer fragments are merged with a heap instead of repeated scans.
@@ -54,16 +60,24 @@ def byte_chars() -> list[str]:
 
 
 class Table(dict):
-    """A bounded memo: computes what it lacks, starts anew when full."""
+    """A bounded memo: computes what it lacks.  When full, it starts anew with
+    the keys that are met again."""
 
     def __init__(self, compute):
         super().__init__()
         self.compute = compute
+        self.older = {}
 
     def __missing__(self, key):
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > CACHE_KEY:
+                return value
         if len(self) >= CACHE_ENTRIES:
+            self.older = self.copy()
             self.clear()
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value
 
 
@@ -79,7 +93,8 @@ class ForcedBoundaryBPE:
         self.vocab: dict[str, int] = model["vocab"]
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
+        self.ids = self.vocab | self.added
+        self.names = {i: t for t, i in self.ids.items()}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.inside = {p for t in self.vocab for p in self._pairs(self._symbols(t))}
         self.library = Tokenizer.from_file(path)
@@ -111,11 +126,14 @@ class ForcedBoundaryBPE:
         out.append(tuple(symbols[start:]))
         return out
 
-    def _word(self, word: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(chain.from_iterable(self.fragments[f] for f in self.cut(self._symbols(word + _END))))
-        return ids, " ".join(self.names[i] for i in ids)
+    def _word(self, word: str) -> str:
+        """Token names, joined by a space, which no token holds: they take the
+        least room in the tables."""
+        cut = self.cut(self._symbols(word + _END))
+        # the word tables remember a word that is one fragment
+        return self._merge(cut[0]) if len(cut) == 1 else " ".join([self.fragments[f] for f in cut])
 
-    def _merge(self, symbols: tuple[str, ...]) -> tuple[int, ...]:
+    def _merge(self, symbols: tuple[str, ...]) -> str:
         if len(symbols) > SCAN_SYMBOLS:
             return self._merge_long(symbols)
         parts, rank, never = list(symbols), self.rank, 1 << 60
@@ -128,9 +146,9 @@ class ForcedBoundaryBPE:
                 ranks[k - 1] = rank.get((parts[k - 1], parts[k]), never)
             if k < len(ranks):
                 ranks[k] = rank.get((parts[k], parts[k + 1]), never)
-        return tuple([self.vocab[p] for p in parts])
+        return " ".join(parts)
 
-    def _merge_long(self, symbols: tuple[str, ...]) -> tuple[int, ...]:
+    def _merge_long(self, symbols: tuple[str, ...]) -> str:
         parts: list[str | None] = list(symbols)
         after = [*range(1, len(parts)), -1]
         before = [*range(-1, len(parts) - 1)]
@@ -147,7 +165,7 @@ class ForcedBoundaryBPE:
             for left, right in ((before[k], k), (k, after[k])):
                 if left >= 0 and right >= 0 and (p := (parts[left], parts[right])) in self.rank:
                     heapq.heappush(heap, (self.rank[p], left, *p))
-        return tuple(self.vocab[p] for p in parts if p is not None)
+        return " ".join([p for p in parts if p is not None])
 
     def _pieces(self, text: str) -> Iterator[str]:
         at = 0
@@ -159,14 +177,14 @@ class ForcedBoundaryBPE:
             at = stop.start()
         yield text[at:] if at else text
 
-    def words(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str]]]:
-        """Lists of (ids, token names) of the words of the text, in order."""
+    def words(self, text: str) -> Iterator[list[str]]:
+        """Lists of the words of the text as token names, in order."""
         parts = [text]
         if self.split_added and "<|" in text:
             parts = self.split_added.split(text)
         for part in parts:
             if part in self.added:
-                yield [((self.added[part],), part)]
+                yield [part]
                 continue
             for piece in self._pieces(part):
                 if _UNUSUAL.search(piece):
@@ -176,14 +194,15 @@ class ForcedBoundaryBPE:
                 else:
                     yield list(map(self.plain.__getitem__, _WORDS.findall(piece.lower())))
 
-    def encode(self, text: str | None) -> tuple[list[int], str]:
+    def encode(self, text: str | None) -> tuple[array, str]:
         """Ids and decoded text."""
-        ids: list[int] = []
-        names: list[str] = []
+        ids, decoded = array("i"), []
         for found in self.words(text or ""):
-            ids.extend(chain.from_iterable([w[0] for w in found]))
-            names.extend([w[1] for w in found])
-        return ids, " ".join(names)
+            if found:
+                names = " ".join(found)
+                ids.extend(map(self.ids.__getitem__, names.split(" ")))
+                decoded.append(names)
+        return ids, " ".join(decoded)
 
     def decode(self, ids) -> str:
         return " ".join(self.names[i] for i in ids if i in self.names)
@@ -204,6 +223,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in runs whose texts take about SLICE_BYTES: ids and
+    decoded texts in Python take many times the room of the text."""
+    at = taken = 0
+    for k, n in enumerate(pc.binary_length(batch.column(1)).to_pylist(), 1):
+        taken += n or 0
+        if taken >= SLICE_BYTES or k == batch.num_rows:
+            yield batch.slice(at, k - at)
+            at, taken = k, 0
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``id_col``, ``ids`` (array<int>) and ``decoded`` of every row.  The
     vocabulary file is read by each worker at ``path``."""
@@ -214,16 +244,13 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            keys = batch.column(0)
-            texts = batch.column(1).to_pylist()
-            ids, decoded = zip(*map(bpe.encode, texts)) if texts else ((), ())
-            offsets = [0]
-            for x in ids:
-                offsets.append(offsets[-1] + len(x))
-            flat = pa.array(chain.from_iterable(ids), type=pa.int32(), size=offsets[-1])
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.array(decoded, pa.string())],
-                names=[id_col, "ids", "decoded"])
+            for part in slices(batch):
+                ids, decoded = zip(*[bpe.encode(text.as_py()) for text in part.column(1)])
+                offsets = [0, *accumulate(map(len, ids))]
+                flat = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(ids))])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.array(decoded, pa.string())],
+                    names=[id_col, "ids", "decoded"])
 
     schema = T.StructType([T.StructField(id_col, src.schema["_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())),
                            T.StructField("decoded", T.StringType())])
