@@ -178,50 +178,97 @@ def learn(labelled: DataFrame) -> list[Rule]:
     # alone: rows alike in these are one, with their number
     alike = labelled.select("poor", "grow", *[_bin(c, cuts[c]).alias(c) for c in names]).groupBy("poor", "grow", *names)
     coded = materialize(alike.agg(F.count(F.lit(1)).alias("rows")), "quality-labelled")
-    coded = coded.coalesce(max(1, math.ceil(coded.count() / TASK_ROWS)))
+    # every step of the learning reads them: few files, whatever the shuffle's partitions
+    tasks = max(1, math.ceil(coded.count() / TASK_ROWS))
+    coded = materialize(coded.coalesce(tasks), "quality-coded").coalesce(tasks)
     growing = coded.where("grow")
     rules: list[Rule] = []
     aside: set[tuple[str, bool]] = set()
-    whole = _histogram(growing, names)  # of the rows no rule covers yet
+    whole = _histogram(growing.withColumn("rule", F.lit(0)), names).get(0, {})  # of the rows no rule covers yet
     left = _test((), cuts)
+    width = 1
     while True:
-        rule: list[Condition] = []
-        while True:
-            hist = _histogram(growing.where(left & _test(rule, cuts)), names) if rule else whole
-            p0 = sum(v[0] for (c, _), v in hist.items() if c == names[0])
-            n0 = sum(v[1] for (c, _), v in hist.items() if c == names[0])
-            if not p0 or not n0 or (c := _best(hist, cuts, p0, n0, MIN_COVER, set() if rule else aside)) is None:
-                break
-            rule.append(c)
-        if not rule:
+        # the next starts, best first: after one that leads to no rule comes
+        # another statistic or direction; 1, 2, 4 ... of them are grown at once
+        tried: list[list[Condition]] = []
+        p0, n0 = _totals(whole, names)
+        while len(tried) < width and (c := _best(whole, cuts, p0, n0, MIN_COVER, aside)) is not None:
+            tried.append([c])
+            aside.add((c.name, c.at_least))
+        if not tried:
             break
-        # prune: the prefix with the best (poor - clean) / covered on the other rows
-        prefixes = [rule[: k + 1] for k in range(len(rule))]
-        rows = lambda which: F.coalesce(F.sum(F.when(which, F.col("rows"))), F.lit(0))
-        seen = coded.where(left).agg(*[rows(_test(x, cuts) & (F.col("poor") == poor) & ~F.col("grow")).alias(f"c{k}_{poor}")
-                                       for k, x in enumerate(prefixes) for poor in (True, False)],
-                                     *[rows(_test(x, cuts) & F.col("poor")).alias(f"all{k}") for k, x in enumerate(prefixes)]).first()
-        worth = [(((p := seen[f"c{k}_True"]) - (n := seen[f"c{k}_False"])) / (p + n + 1), p, n) for k in range(len(prefixes))]
-        k = max(range(len(prefixes)), key=lambda i: (worth[i][0], -i))
-        _, p, n = worth[k]
-        if not p or seen[f"all{k}"] < 2 * MIN_COVER or p / (p + n + 1) < MIN_PRECISION * p / (p + 1):
-            # no rule starts so: the next one starts with another statistic or direction
-            aside.add((rule[0].name, rule[0].at_least))
+        hists = _grow(growing.where(left), tried, names, cuts)
+        seen = _prefix_counts(coded.where(left), tried, cuts)
+        kept = next(((i, k) for i, rule in enumerate(tried) if (k := _pruned(rule, seen[i])) is not None), None)
+        width *= 2
+        if kept is None:
             continue
-        rules.append(tuple(prefixes[k]))
-        covered = _histogram(growing.where(left & _test(rules[-1], cuts)), names)
-        whole = {b: (x[0] - covered.get(b, (0, 0))[0], x[1] - covered.get(b, (0, 0))[1]) for b, x in whole.items()}
+        i, k = kept
+        rules.append(tuple(tried[i][: k + 1]))
+        whole = {b: (x[0] - hists[i][k].get(b, (0, 0))[0], x[1] - hists[i][k].get(b, (0, 0))[1]) for b, x in whole.items()}
         left = left & ~_test(rules[-1], cuts)
         aside.clear()
+        width = 1
     return rules
 
 
-def _histogram(coded: DataFrame, names: list[str]) -> dict[tuple[str, int], tuple[int, int]]:
-    """(poor, clean) rows by statistic and bin."""
+def _grow(growing: DataFrame, rules: list[list[Condition]], names: list[str], cuts: dict[str, list[float]]) -> list[list[dict]]:
+    """Adds conditions to each rule while one gains; the histograms of the rows
+    that each prefix of each rule covers."""
+    hists: list[list[dict]] = [[] for _ in rules]
+    active = list(range(len(rules)))
+    while active:
+        covers = F.array_compact(F.array(*[F.when(_test(rules[i], cuts), F.lit(i)) for i in active]))
+        got = _histogram(growing.withColumn("rule", F.explode(covers)), names)
+        grown = []
+        for i in active:
+            hists[i].append(hist := got.get(i, {}))
+            p0, n0 = _totals(hist, names)
+            if p0 and n0 and (c := _best(hist, cuts, p0, n0, MIN_COVER, set())) is not None:
+                rules[i].append(c)
+                grown.append(i)
+        active = grown
+    return hists
+
+
+def _prefix_counts(coded: DataFrame, rules: list[list[Condition]], cuts: dict[str, list[float]]) -> list[list[tuple[int, int, int]]]:
+    """By rule and prefix: the poor and the clean pruning rows it covers, and
+    the poor rows of all."""
+    def depth(rule: list[Condition]) -> Column:
+        """How many conditions hold before the first that does not."""
+        out = F.when(~_test(rule[:1], cuts), 0)
+        for k in range(1, len(rule)):
+            out = out.when(~_test(rule[k : k + 1], cuts), k)
+        return out.otherwise(len(rule))
+
+    covers = F.array_compact(F.array(*[F.when(_test(r[:1], cuts), F.struct(F.lit(i).alias("rule"), depth(r).alias("depth"))) for i, r in enumerate(rules)]))
+    got = coded.select("poor", "grow", "rows", F.explode(covers).alias("c")).groupBy("c.rule", "c.depth", "poor", "grow").agg(F.sum("rows").alias("n")).collect()
+    count = lambda i, k, poor, grow: sum(x["n"] for x in got if (x["rule"], x["poor"], x["grow"]) == (i, poor, grow) and x["depth"] > k)
+    return [[(p := count(i, k, True, False), count(i, k, False, False), p + count(i, k, True, True)) for k in range(len(r))] for i, r in enumerate(rules)]
+
+
+def _pruned(rule: list[Condition], seen: list[tuple[int, int, int]]) -> int | None:
+    """The place of the last condition of the prefix with the best
+    (poor - clean) / covered on the pruning rows; none if it is not precise."""
+    k = max(range(len(rule)), key=lambda i: ((seen[i][0] - seen[i][1]) / (seen[i][0] + seen[i][1] + 1), -i))
+    p, n, poor = seen[k]
+    return None if not p or poor < 2 * MIN_COVER or p / (p + n + 1) < MIN_PRECISION * p / (p + 1) else k
+
+
+def _totals(hist: dict, names: list[str]) -> tuple[int, int]:
+    own = [v for (c, _), v in hist.items() if c == names[0]]
+    return sum(v[0] for v in own), sum(v[1] for v in own)
+
+
+def _histogram(coded: DataFrame, names: list[str]) -> dict[int, dict[tuple[str, int], tuple[int, int]]]:
+    """(poor, clean) rows by the rule that covers them, statistic and bin."""
     bins = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("bin")) for c in names])
     count = lambda poor: F.sum(F.when(F.col("poor") == poor, F.col("rows")).otherwise(0))
-    got = coded.select("poor", "rows", F.explode(bins).alias("b")).groupBy("b.name", "b.bin").agg(count(True).alias("p"), count(False).alias("n")).collect()
-    return {(x["name"], x["bin"]): (x["p"], x["n"]) for x in got}
+    got = coded.select("rule", "poor", "rows", F.explode(bins).alias("b")).groupBy("rule", "b.name", "b.bin").agg(count(True).alias("p"), count(False).alias("n")).collect()
+    out: dict[int, dict[tuple[str, int], tuple[int, int]]] = {}
+    for x in got:
+        out.setdefault(x["rule"], {})[x["name"], x["bin"]] = (x["p"], x["n"])
+    return out
 
 
 def _test(conditions, cuts: dict[str, list[float]]) -> Column:
